@@ -54,13 +54,13 @@ def aggregate(
         result = grouped.agg(*outputs)
     else:
         result = grouped.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    return _attach(t, df, keys, result)
+    return attach(t, df, keys, result)
 
 
 def frequencies(t: Tracked, column: str, name: str = "count") -> Tracked:
     """How often each value of a column occurs."""
     df = t.df.na.drop(subset=[column])
-    return _attach(t, df, [column], df.groupBy(column).agg(F.count(F.lit(1)).alias(name)))
+    return attach(t, df, [column], df.groupBy(column).agg(F.count(F.lit(1)).alias(name)))
 
 
 def expand_spec(columns: list[str], keys: list[str], spec) -> list[tuple[str, str, Function]]:
@@ -99,7 +99,7 @@ def _call(t: Tracked, column: str, function: Function) -> Column:
     return FUNCTIONS[function](F.col(column))
 
 
-def _attach(t: Tracked, df, keys: list[str], result) -> Tracked:
+def attach(t: Tracked, df, keys: list[str], result) -> Tracked:
     """Give an aggregate's result its handle column and remember the rows behind each handle."""
     handle = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     node = GroupNode(

@@ -36,7 +36,7 @@ def join(
     right_keys = shared or ([right_on] if isinstance(right_on, str) else list(right_on))
 
     left_names, right_names = _data_names(left, right, shared, suffixes)
-    hidden_names = _hidden_names(left, right)
+    right_hidden = hidden_names(left, right)
     key_names = {k: f"_key{i}" for i, k in enumerate(shared)}
 
     left_df = left.df.select(
@@ -44,7 +44,7 @@ def join(
     )
     right_df = right.df.select(
         *[F.col(c).alias(right_names.get(c, key_names.get(c))) for c in right.columns],
-        *[F.col(c).alias(hidden_names[c]) for c in right.hidden],
+        *[F.col(c).alias(right_hidden[c]) for c in right.hidden],
     )
     pairs = [
         (F.col(left_names[lk]), F.col(key_names.get(rk) or right_names[rk]))
@@ -61,9 +61,9 @@ def join(
         *[left_value(c) for c in left.columns],
         *[right_names[c] for c in right.columns if c not in shared],
         *left.hidden,
-        *[hidden_names[c] for c in right.hidden],
+        *[right_hidden[c] for c in right.hidden],
     )
-    nodes = left.nodes | {hidden_names[c]: node for c, node in right.nodes.items()}
+    nodes = left.nodes | {right_hidden[c]: node for c, node in right.nodes.items()}
     return replace(left, df=df, nodes=nodes, fresh=None, exact=False)
 
 
@@ -80,7 +80,7 @@ def _data_names(left, right, shared, suffixes) -> tuple[dict[str, str], dict[str
     return left_names, right_names
 
 
-def _hidden_names(left: Tracked, right: Tracked) -> dict[str, str]:
+def hidden_names(left: Tracked, right: Tracked) -> dict[str, str]:
     """Names for the right side's hidden columns; a source met before gets a numbered second column."""
     taken, names = set(left.hidden), {}
     for column in right.hidden:

@@ -17,6 +17,8 @@ def in_parts(df: DataFrame, keys: list[str], order: str, part_rows: int = PART_R
     most rows/part_rows of them, and they are broadcast only while their number stays small.
     """
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_rows)
+    if part_rows & (part_rows - 1):
+        raise ValueError("part_rows must be a power of two")
     n_hot = hot.limit(MAX_BROADCAST_GROUPS + 1).count()
     if n_hot == 0:
         return df.withColumn("_part", F.lit(0).cast("long"))
@@ -27,11 +29,9 @@ def in_parts(df: DataFrame, keys: list[str], order: str, part_rows: int = PART_R
     match = F.lit(True)
     for k, n in names.items():
         match = match & F.col(k).eqNullSafe(F.col(n))
-    block = F.floor(F.col(order) / part_rows) if part_rows & (part_rows - 1) else F.shiftright(
-        order, part_rows.bit_length() - 1
-    )
+    block = F.shiftrightunsigned(order, part_rows.bit_length() - 1)
     return (
         df.join(hot, match, "left")
-        .withColumn("_part", F.when(F.col("_is_hot"), block.cast("long") + 1).otherwise(F.lit(0).cast("long")))
+        .withColumn("_part", F.when(F.col("_is_hot"), block + 1).otherwise(F.lit(0).cast("long")))
         .drop("_is_hot", *names.values())
     )

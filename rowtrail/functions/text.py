@@ -46,7 +46,7 @@ def min_hashes(text: Column, n: int, low: int = 2, high: int = 4) -> Column:
 
     A text without n-grams gives zeros.
     """
-    numbers = F.array_distinct(F.transform(ngram_range(text, low, high), gram_number))
+    numbers = F.transform(F.array_distinct(ngram_range(text, low, high)), gram_number)
     factors = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in hash_factors(n)])
 
     def smallest(f: Column) -> Column:

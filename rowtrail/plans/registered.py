@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from rowtrail.plans import aggregate_queries, join_queries, lineage_queries, row_queries  # noqa: F401
+from rowtrail.plans import (  # noqa: F401
+    aggregate_queries, feature_queries, fuzzy_queries, join_queries, lineage_queries, row_queries,
+)
 from rowtrail.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MERSENNE = (1 << 31) - 1
+GRAM_FACTOR = 1_048_583
 
 
 def char_ngrams(text: Column, n: int) -> Column:
@@ -31,11 +32,6 @@ def trigram_set(text: Column, tag: str = "") -> Column:
     return F.transform(grams, lambda g: F.concat(F.lit(tag), g)) if tag else grams
 
 
-def gram_number(gram: Column) -> Column:
-    """28 bits of the md5 of a gram."""
-    return F.conv(F.substring(F.md5(gram), 1, 7), 16, 10).cast("long")
-
-
 def hash_factors(n: int) -> list[tuple[int, int]]:
     """Multiplier and offset of each of ``n`` linear hash functions modulo 2^31 - 1."""
     return [((i + 1) * 1103515245 % MERSENNE, (i + 1) * 12345 % MERSENNE) for i in range(n)]
@@ -44,13 +40,29 @@ def hash_factors(n: int) -> list[tuple[int, int]]:
 def min_hashes(text: Column, n: int, low: int = 2, high: int = 4) -> Column:
     """Array of ``n`` values in [0, 1): per hash function the smallest value over the text's n-grams.
 
-    A text without n-grams gives zeros.
+    A gram's number folds its code points: h = (h * GRAM_FACTOR + code) mod 2^31 - 1, starting from the gram
+    length. A text without n-grams gives zeros. Built-in array functions express this too, but take about
+    twenty times as long as numpy on Arrow batches: they interpret one lambda call per gram and function.
     """
-    numbers = F.transform(F.array_distinct(ngram_range(text, low, high)), gram_number)
-    factors = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in hash_factors(n)])
-
-    def smallest(f: Column) -> Column:
-        values = F.transform(numbers, lambda x: (x * f["a"] + f["b"]) % MERSENNE)
-        return F.coalesce(F.array_min(values) / F.lit(MERSENNE), F.lit(0.0))
-
-    return F.transform(factors, smallest)
+    factors, prime, step = hash_factors(n), MERSENNE, GRAM_FACTOR
+
+    def signatures(texts):
+        import numpy as np
+        import pandas as pd
+
+        def signature(value: str) -> list[float]:
+            codes = np.frombuffer(value.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+            numbers = [np.empty(0, np.int64)]
+            for k in range(low, high + 1):
+                h = np.full(max(0, len(codes) - k + 1), k, np.int64)
+                for i in range(k):
+                    h = (h * step + codes[i : i + len(h)]) % prime
+                numbers.append(h)
+            grams = np.unique(np.concatenate(numbers))
+            if not len(grams):
+                return [0.0] * n
+            return [float(((grams * a + b) % prime).min()) / prime for a, b in factors]
+
+        return pd.Series([signature(v) for v in texts])
+
+    return F.pandas_udf(signatures, "array<double>")(text)

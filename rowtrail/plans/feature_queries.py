@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from rowtrail.features.base import Branches, Chain
@@ -9,7 +10,7 @@ from rowtrail.features.encoding import (
     GapEncoder, MinHashEncoder, OneHotEncoder01, OrdinalEncoder, TableVectorizer, TargetEncoder, TextEncoder,
 )
 from rowtrail.features.scaling import MedianImputer, MostFrequentImputer, RobustScaler, SquashingScaler, StandardScaler
-from rowtrail.functions.text import MERSENNE, hash_factors
+from rowtrail.functions.text import GRAM_FACTOR, MERSENNE, hash_factors
 from rowtrail.operators import split
 from rowtrail.plans.registry import query, rounded, shown
 from rowtrail.plans.shop import CUSTOMERS_SQL, LINES_SQL, PRODUCTS_SQL
@@ -120,8 +121,6 @@ def onehot(shop):
     FROM part LEFT JOIN r ON r.p_name = part.p_name""",
 )
 def onehot_sparse(shop):
-    from pyspark.ml.functions import vector_to_array
-
     t = shop.tracked("part", "p_partkey").select("p_partkey", "p_name")
     encoder = OneHotEncoder01(["p_name"], max_dense=10).fit(shop.tracked("part", "p_partkey").filter("p_size > 3"))
     full = shown(encoder.transform(t))
@@ -183,19 +182,21 @@ def target_encode(shop):
     )
 
 
-def min_hash_sql(column: str, table: str, key: str, n: int, prefix: str | None = None) -> str:
+def min_hash_sql(column: str, table: str, key: str, n: int) -> str:
     """SELECT of ``key`` and n min-hash columns over the 2- to 4-grams of a text column."""
     factors = hash_factors(n)
-    prefix = prefix or column
-    grams = " || ".join(
-        f"[substr(t, i, {k}) FOR i IN range(1, length(t) - {k} + 2)]" for k in (2, 3, 4)
-    )
+    def gram(k: int) -> str:
+        number = str(k)
+        for i in range(k):
+            number = f"({number} * {GRAM_FACTOR} + us[i + {i}]) % {MERSENNE}"
+        return f"[{number} FOR i IN range(1, len(us) - {k} + 2)]"
+
     values = ", ".join(
-        f"coalesce(list_min([(x * {a} + {b}) % {MERSENNE} FOR x IN xs]) / {float(MERSENNE)}, 0.0) AS {prefix}_{i}"
-        for i, (a, b) in enumerate(factors)
+        f"coalesce(list_min([(x * {a} + {b}) % {MERSENNE} FOR x IN xs]) / {float(MERSENNE)}, 0.0) AS {column}_{i}"
+        for i, (a, b) in enumerate(hash_factors(n))
     )
-    return f"""SELECT k AS {key}, {values} FROM (SELECT k, [('0x' || substr(md5(g), 1, 7))::BIGINT FOR g IN list_distinct(gs)] AS xs
-      FROM (SELECT k, {grams} AS gs FROM (SELECT {key} AS k, {column} AS t FROM {table})))"""
+    return f"""SELECT k AS {key}, {values} FROM (SELECT k, list_distinct({" || ".join(gram(k) for k in (2, 3, 4))}) AS xs
+      FROM (SELECT {key} AS k, [unicode(substr({column}, i, 1))::BIGINT FOR i IN range(1, length({column}) + 1)] AS us FROM {table}))"""
 
 
 @query(
@@ -212,7 +213,7 @@ def minhash_enc(shop):
     f"""SELECT m.*, {ONE}, 'documents:' || doc_id AS prov FROM ({min_hash_sql('text', 'documents', 'doc_id', 30)}) m""",
 )
 def minhash_documents(shop):
-    t = shop.tracked("documents", "doc_id").select("doc_id", "text")
+    t = shop.documents().select("doc_id", "text")
     return shown(MinHashEncoder(["text"], 30).fit(t).transform(t))
 
 
@@ -224,7 +225,7 @@ def gap_enc(shop):
 
 @query("text_enc")
 def text_enc(shop):
-    t = shop.tracked("documents", "doc_id").select("doc_id", "text")
+    t = shop.documents().select("doc_id", "text")
     return shown(TextEncoder(["text"], 10, buckets=256).fit(t).transform(t))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowtrail.operators.tracked import Tracked
 from rowtrail.sources.numbering import number_rows
-from rowtrail.sources.readers import read_table
+from rowtrail.sources.readers import read_table, spread
 from rowtrail.sources.storage import store
 from rowtrail.sources.trail import Trail
 
@@ -59,6 +59,9 @@ class Shop:
     def lines(self, as_name: str = "lineitem") -> Tracked:
         return self.trail.source(self.numbered_lines, as_name, row_key="line_row").drop("line_row")
 
+    def documents(self) -> Tracked:
+        return self.trail.source(spread(self.table("documents")), "documents", row_key="doc_id")
+
     # -- roles ---------------------------------------------------------------------------------------
 
     def customers(self) -> Tracked:

@@ -88,7 +88,7 @@ class Shop:
         return self.trail.source(df.join(delivered, "order_id", "left"), as_name, row_key="order_id")
 
     def order_items(self, as_name: str = "order_items") -> Tracked:
-        """order_id, item_id, product_id, price and freight; money in whole cents too."""
+        """order_id, item_id, product_id, price and freight; money in whole cents too; item_row, the row number."""
         df = self.numbered_lines.select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").cast("long").alias("item_id"),
@@ -97,9 +97,9 @@ class Shop:
             (F.col("l_extendedprice") * F.col("l_tax")).alias("freight"),
             cents("l_extendedprice").alias("price_cents"),
             cents("l_extendedprice * l_tax").alias("freight_cents"),
-            "line_row",
+            F.col("line_row").alias("item_row"),
         )
-        return self.trail.source(df, as_name, row_key="line_row").drop("line_row")
+        return self.trail.source(df, as_name, row_key="item_row")
 
     def payments(self, as_name: str = "payments") -> Tracked:
         """order_id, payment_type, installments, payment_value; the value in whole cents too."""
@@ -114,6 +114,16 @@ class Shop:
         )
         return self.trail.source(df, as_name, row_key="line_row").drop("line_row")
 
+    def order_payments(self) -> Tracked:
+        """order_id, payment_type, installments, payment_cents: the one payment of each order."""
+        df = self.table("orders").select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_orderpriority").alias("payment_type"),
+            (1 + F.col("o_orderkey") % 6).alias("installments"),
+            cents("o_totalprice").alias("payment_cents"),
+        )
+        return self.trail.source(df, "payments", row_key="order_id")
+
     def reviews(self) -> Tracked:
         """order_id, review_score 1 to 5; every seventh order has none."""
         df = self.table("orders").filter("o_orderkey % 7 <> 0").select(
@@ -174,6 +184,8 @@ ITEMS_SQL = """items AS (SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIG
 PAYMENTS_SQL = """payments AS (SELECT l_orderkey AS order_id, l_returnflag AS payment_type,
   CAST(l_linenumber AS BIGINT) AS installments, l_extendedprice * (1 - l_discount) AS payment_value,
   CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) AS payment_cents, l_shipdate AS paid, rid FROM lines)"""
+ORDER_PAYMENTS_SQL = """order_payments AS (SELECT o_orderkey AS order_id, o_orderpriority AS payment_type,
+  1 + o_orderkey % 6 AS installments, CAST(round(o_totalprice * 100) AS BIGINT) AS payment_cents FROM orders)"""
 REVIEWS_SQL = """reviews AS (SELECT o_orderkey AS order_id, 1 + o_orderkey % 5 AS review_score FROM orders
   WHERE o_orderkey % 7 <> 0)"""
 CUSTOMERS_SQL = """customers AS (SELECT c_custkey AS customer_id, CAST(c_nationkey AS BIGINT) AS zip,
@@ -185,7 +197,8 @@ TRANSLATIONS_SQL = """translations AS (SELECT category, lower(category) AS categ
   WHERE category < (SELECT max(p_type) FROM part))"""
 GEO_SQL = """geo AS (SELECT s_suppkey AS gid, CAST(s_nationkey AS BIGINT) AS geo_zip, s_acctbal AS lat,
   CAST(s_suppkey AS DOUBLE) AS lng, n_name AS city, r_name AS region
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+geo_first AS (SELECT * FROM geo QUALIFY row_number() OVER (PARTITION BY geo_zip ORDER BY gid) = 1)"""
 
 
 def packed(table_id: int, row: str) -> str:

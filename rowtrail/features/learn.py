@@ -31,7 +31,7 @@ class Learner:
     seed: int = 0
 
     def fit(self, train: Tracked) -> "Learner":
-        self.features = None
+        train = train.stored("train")  # every fitted step reads it once or more
         for step in self.steps:
             step.fit(train)
             train = step.transform(train)
@@ -112,7 +112,7 @@ def top_risks(predicted: Tracked, k: int) -> DataFrame:
 
 def cross_validate(t: Tracked, make_learner, folds: int, seed: int = 0, key: str | None = None) -> list[tuple[int, float, int]]:
     """(fold, score, test rows) of a learner fitted anew without each fold."""
-    folded = with_folds(t, folds, seed, key, "_fold")
+    folded = with_folds(t, folds, seed, key, "_fold").stored("folds")
     out = []
     for fold in range(folds):
         train = folded.filter(F.col("_fold") != fold).drop("_fold")

@@ -19,6 +19,11 @@ from rowtrail.operators.tracked import GroupNode, Tracked
 from rowtrail.sources.storage import store
 
 
+# A walk through more aggregates than this writes its intermediate (output, group) pairs, else the plan of
+# level k would hold the plans of all levels above it.
+STORED_DEPTH = 2
+
+
 # -- edges -------------------------------------------------------------------------------------------
 
 
@@ -75,8 +80,10 @@ def _walk(rows: DataFrame, outs: list[str], scalars: list[str], links: dict[str,
             waiting.setdefault(node.number, (node, []))[1].append(wanted)
 
     visit(rows, scalars, links, weight)
+    depth = 0
     while waiting:
         node, wanted = waiting.pop(max(waiting))  # an aggregate reads only older aggregates
+        depth += 1
         if not node.keys:
             raise ValueError(
                 "a whole-frame aggregate was filtered or joined: every row behind it would meet every output "
@@ -84,6 +91,8 @@ def _walk(rows: DataFrame, outs: list[str], scalars: list[str], links: dict[str,
             )
         wanted = reduce(DataFrame.unionByName, wanted)
         wanted = wanted.groupBy(*outs, "_h").agg(F.sum("times").alias("times")) if bag else wanted.distinct()
+        if depth > STORED_DEPTH:
+            wanted = store(wanted, "wanted")
         visit(wanted.join(node.inputs, "_h"), node.scalars, node.links, carried)
     if not found:
         raise ValueError("the frame carries no lineage")
@@ -129,12 +138,19 @@ def consolidate(t: Tracked, reducer: str = "set", part_ids: int = PART_ROWS) ->
         ids_here = F.array_sort(F.array_distinct(F.array_compact(F.array(*t.hidden))))
         return t.df.select(*data, F.lit(0).cast("long").alias("_part"), ids_here.alias("_prov"))
     bag = reducer == "bag"
-    packed, _ = _packed_edges(t, None, bag)
-    cells = (
-        in_parts(packed, ["_out"], "_pid", part_ids)
-        .groupBy("_out", "_part")
-        .agg(F.array_sort(F.collect_list(F.struct("_pid", *(["times"] if bag else [])))).alias("_ids"))
-    )
+    if largest_set(t) > part_ids:
+        found = in_parts(_packed_edges(t, None, bag)[0], ["_out"], "_pid", part_ids)
+    elif t.fresh:
+        found = _packed_edges(t, None, bag)[0].withColumn("_part", F.lit(0).cast("long"))
+    else:  # duplicates go away with the collection below
+        found = _walk(t.df.select(t.row_identity().alias("_out"), *t.hidden), ["_out"], t.scalars, t.nodes, bag)
+        found = found.withColumn("_part", F.lit(0).cast("long"))
+    if bag:
+        found = found.groupBy("_out", "_part", "_pid").agg(F.sum("times").alias("times"))
+        pairs = F.array_sort(F.collect_list(F.struct("_pid", "times"))).alias("_ids")
+        cells = found.groupBy("_out", "_part").agg(pairs)
+    else:
+        cells = found.groupBy("_out", "_part").agg(F.array_sort(F.collect_set("_pid")).alias("_ids"))
     empty = F.array().cast("array<bigint>")
     times = [F.coalesce(F.col("_ids.times"), empty).alias("_times")] if bag else []
     return (
@@ -143,18 +159,33 @@ def consolidate(t: Tracked, reducer: str = "set", part_ids: int = PART_ROWS) ->
         .select(
             *data,
             F.coalesce("_part", F.lit(0).cast("long")).alias("_part"),
-            F.coalesce(F.col("_ids._pid"), empty).alias("_prov"),
+            F.coalesce(F.col("_ids._pid" if bag else "_ids"), empty).alias("_prov"),
             *times,
         )
     )
 
 
+def largest_set(t: Tracked) -> int:
+    """An upper bound of the number of ids behind one row, from one count per aggregate on the way."""
+
+    def bound(scalars, links: dict[str, GroupNode]) -> int:
+        return len(scalars) + sum(_largest_group(n) * bound(n.scalars, n.links) for n in links.values())
+
+    return bound(t.scalars, t.nodes)
+
+
+def _largest_group(node: GroupNode) -> int:
+    sizes = node.inputs.groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def decode(consolidated: DataFrame, trail) -> DataFrame:
     """Turn the ids of ``_prov`` into ``table:row`` tokens, ordered by table number and row number."""
-    unsigned = F.transform("_prov", lambda p: F.struct(ids.table_of(p).alias("t"), ids.row_of(p).alias("r")))
-    tokens = F.transform(
-        F.array_sort(unsigned), lambda x: F.concat_ws(":", ids.table_name(x["t"], trail.names), x["r"].cast("string"))
-    )
+    ordered = F.col("_prov")
+    if max(trail.names, default=0) >= ids.MAX_TABLES // 2:
+        # packed ids of these tables are negative: bring them behind the others
+        ordered = F.concat(F.filter(ordered, lambda p: p >= 0), F.filter(ordered, lambda p: p < 0))
+    tokens = F.transform(ordered, lambda p: ids.token(p, trail.names))
     return consolidated.withColumn("_prov", tokens)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rowtrail.operators.parts import MAX_BROADCAST_GROUPS
 from rowtrail.operators.tracked import Tracked
 from rowtrail.sources.readers import hash_number
+from rowtrail.sources.storage import store
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKET_BITS = 20
@@ -75,6 +76,7 @@ def _smallest_hashes(t: Tracked, label: str, wanted: Column, seed: int, key: str
         .agg(F.min(F.struct("_bucket", (F.col("_want") - F.col("_upto") + F.col("n")).alias("need"))).alias("l"))
         .select("_class", F.col("l._bucket").alias("_limit"), F.col("l.need").alias("_need"))
     )
+    limits = store(limits, "limits")  # one row per class, read by both sides of the split
     if classes <= MAX_BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     placed = hashed.join(limits, F.col(label).eqNullSafe(F.col("_class")))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowtrail.functions import ids
+from rowtrail.sources.storage import store
 
 if TYPE_CHECKING:
     from rowtrail.sources.trail import Trail
@@ -135,6 +136,13 @@ class Tracked:
         floats = [c for c in self.columns if isinstance(self.df.schema[c].dataType, FLOATS)]
         return self.with_columns({c: F.when(F.abs(c) != float("inf"), F.col(c)) for c in floats})
 
+    # -- materialisation ---------------------------------------------------------------------------------
+
+    def stored(self, label: str = "rows") -> "Tracked":
+        """Write the rows to the shared folder once and go on from there: for frames that are read many times,
+        as by fits, and for long chains of operators."""
+        return replace(self, df=store(self.df, label))
+
     # -- user operators ---------------------------------------------------------------------------------
 
     def apply(self, operator: str, *args, **kwargs) -> "Tracked":

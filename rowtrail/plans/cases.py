@@ -124,13 +124,13 @@ def payment_steps() -> Branches:
     SELECT order_id, is_late, {steps_sql(PAYMENT_NUMBERS, standard_sql, 6)}, {flags_sql('order_status', ['F', 'O', 'P'])} FROM t""",
 )
 def case_aggregated_payments_features(shop):
-    t = aggregated_payments(shop)
+    t = aggregated_payments(shop).stored()
     return rounded(payment_steps().fit(t).transform(t).untracked(), PAYMENT_NUMBERS)
 
 
 @query("case_aggregated_payments_model")
 def case_aggregated_payments_model(shop):
-    train, test = train_test_split(aggregated_payments(shop), key="order_id")
+    train, test = train_test_split(aggregated_payments(shop).stored(), key="order_id")
     return Learner([payment_steps()], "is_late").fit(train).score(test)
 
 
@@ -242,13 +242,13 @@ def churn_steps() -> Branches:
     FROM n LEFT JOIN k ON k.city = n.city LEFT JOIN g ON g.region = n.region""",
 )
 def case_customer_churn_features(shop):
-    t = customer_churn(shop)
+    t = customer_churn(shop).stored()
     return rounded(churn_steps().fit(t).transform(t).untracked(), CHURN_NUMBERS)
 
 
 @query("case_customer_churn_model")
 def case_customer_churn_model(shop):
-    train, test = train_test_split(customer_churn(shop), key="customer_id")
+    train, test = train_test_split(customer_churn(shop).stored(), key="customer_id")
     learner = Learner([churn_steps()], "churn_risk").fit(train)
     predicted = learner.predict(test).select("customer_id", "churn_risk", "prediction", "probability")
     return lineage.with_summary(predicted, ["customer_id"])
@@ -339,7 +339,7 @@ def hands_on_steps() -> list:
     CAST(hour(purchase) AS INT) AS purchase_hour, CAST(floor(epoch_us(purchase) / 1000000.0) AS BIGINT) AS purchase_total_seconds FROM m""",
 )
 def case_hands_on_features(shop):
-    t = hands_on(shop)
+    t = hands_on(shop).stored()
     for step in hands_on_steps():
         t = step.fit(t).transform(t)
     return rounded(t.untracked(), HANDS_ON_NUMBERS)
@@ -347,7 +347,7 @@ def case_hands_on_features(shop):
 
 @query("case_hands_on_model")
 def case_hands_on_model(shop):
-    train, test = train_test_split(hands_on(shop), key="order_id")
+    train, test = train_test_split(hands_on(shop).stored(), key="order_id")
     return Learner(hands_on_steps(), "is_late").fit(train).score(test)
 
 
@@ -417,7 +417,7 @@ def case_joiner_model(shop):
     steps = Branches(
         [StandardScaler(numbers), OneHotEncoder01(["category_product_cat", "region"])], keep=("order_id", "bad_review")
     )
-    train, test = train_test_split(joiner_case(shop), key="order_id")
+    train, test = train_test_split(joiner_case(shop).stored(), key="order_id")
     predicted = Learner([steps], "bad_review").fit(train).predict(test)
     return top_risks(predicted, 100).select("order_id", "bad_review", "prediction", "probability")
 
@@ -442,7 +442,8 @@ TARGET_NUMBERS = ["price_cents", "freight_cents", "late_rate"]
 
 
 def target_split(shop) -> tuple[Tracked, Tracked]:
-    train, test = stratified_split(target_case(shop), "is_late", 0.2, key="row_key")
+    train, test = stratified_split(target_case(shop).stored(), "is_late", 0.2, key="row_key")
+    train = train.stored("train")
     encoder = TargetEncoder("category_en", "is_late", "late_rate").fit(train)
     return encoder.transform(train), encoder.transform(test)
 
@@ -569,7 +570,7 @@ def revenue_steps(numbers: list[str], keep: tuple[str, ...]) -> Branches:
     SELECT customer_id, {steps_sql(REVENUE_NUMBERS, standard_sql, 6)} FROM z""",
 )
 def case_squashing_scaler_features(shop):
-    t = customer_revenue(shop)
+    t = customer_revenue(shop).stored()
     features = revenue_steps(REVENUE_NUMBERS, ("customer_id",)).fit(t).transform(t)
     return rounded(features.select("customer_id", *REVENUE_NUMBERS).untracked(), REVENUE_NUMBERS)
 
@@ -577,7 +578,7 @@ def case_squashing_scaler_features(shop):
 @query("case_squashing_scaler_model")
 def case_squashing_scaler_model(shop):
     """R² with the target among the features, as in the original case, and without it."""
-    t = customer_revenue(shop).with_columns({"target": F.col("sum_payment") / 100})
+    t = customer_revenue(shop).with_columns({"target": F.col("sum_payment") / 100}).stored()
     train, test = train_test_split(t, key="customer_id")
     scores = []
     for name, left_out in (("as_given", ()), ("leak_free", ("sum_payment", "mean_payment"))):

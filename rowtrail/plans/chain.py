@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +21,7 @@ def chain(trail: Trail, fact: Tracked, lookup: DataFrame, steps: int, store_ever
         side = trail.source(lookup, f"lookup{i}", row_key="lookup_row").select("user_id", "country")
         t = join(t, side, on="user_id", how="left").select("category", "user_id", "country")
         if (i + 1) % store_every == 0:
-            t = replace(t, df=store(t.df, f"step{i}"))
+            t = t.stored(f"step{i}")
         t = aggregate(t, ["category", "user_id"], country_count=("country", "count"))
     return t
 

@@ -21,7 +21,7 @@ from rowtrail.sources.storage import store
 
 # A walk through more aggregates than this writes its intermediate (output, group) pairs, else the plan of
 # level k would hold the plans of all levels above it.
-STORED_DEPTH = 2
+STORED_DEPTH = 16
 
 
 # -- edges -------------------------------------------------------------------------------------------

@@ -48,7 +48,6 @@ def min_hashes(text: Column, n: int, low: int = 2, high: int = 4) -> Column:
 
     def signatures(texts):
         import numpy as np
-        import pandas as pd
 
         def signature(value: str) -> list[float]:
             codes = np.frombuffer(value.encode("utf-32-le"), dtype="<u4").astype(np.int64)
@@ -61,8 +60,12 @@ def min_hashes(text: Column, n: int, low: int = 2, high: int = 4) -> Column:
             grams = np.unique(np.concatenate(numbers))
             if not len(grams):
                 return [0.0] * n
+            if len(grams) <= 2048:  # all functions at once while the table stays in cache
+                return (((grams[:, None] * many[0] + many[1]) % prime).min(axis=0) / prime).tolist()
             return [float(((grams * a + b) % prime).min()) / prime for a, b in factors]
 
-        return pd.Series([signature(v) for v in texts])
+        many = np.array(factors, np.int64).T
+        known = {v: signature(v) for v in texts.unique()}
+        return texts.map(known)
 
     return F.pandas_udf(signatures, "array<double>")(text)

@@ -135,22 +135,20 @@ def consolidate(t: Tracked, reducer: str = "set", part_ids: int = PART_ROWS) ->
         raise ValueError("reducer must be set or bag")
     data = t.columns
     if not t.nodes and reducer == "set":
-        ids_here = F.array_sort(F.array_distinct(F.array_compact(F.array(*t.hidden))))
+        ids_here = F.array_compact(F.array(*_by_table(t)))
+        if not _one_id_per_table(t):
+            ids_here = F.array_sort(F.array_distinct(ids_here))
         return t.df.select(*data, F.lit(0).cast("long").alias("_part"), ids_here.alias("_prov"))
     bag = reducer == "bag"
-    if largest_set(t) > part_ids:
-        found = in_parts(_packed_edges(t, None, bag)[0], ["_out"], "_pid", part_ids)
-    elif t.fresh:
-        found = _packed_edges(t, None, bag)[0].withColumn("_part", F.lit(0).cast("long"))
-    else:  # duplicates go away with the collection below
-        found = _walk(t.df.select(t.row_identity().alias("_out"), *t.hidden), ["_out"], t.scalars, t.nodes, bag)
-        found = found.withColumn("_part", F.lit(0).cast("long"))
-    if bag:
-        found = found.groupBy("_out", "_part", "_pid").agg(F.sum("times").alias("times"))
-        pairs = F.array_sort(F.collect_list(F.struct("_pid", "times"))).alias("_ids")
-        cells = found.groupBy("_out", "_part").agg(pairs)
-    else:
-        cells = found.groupBy("_out", "_part").agg(F.array_sort(F.collect_set("_pid")).alias("_ids"))
+    bounded = largest_set(t) <= part_ids
+    if bounded and not bag and all(node.keys for node in t.nodes.values()):
+        rows, arrays = _with_group_sets(t.df, t.scalars, t.nodes)
+        whole = F.array_sort(F.array_distinct(F.concat(*arrays)))
+        return rows.select(*data, F.lit(0).cast("long").alias("_part"), whole.alias("_prov"))
+    found, _ = _packed_edges(t, None, bag)
+    parted = found.withColumn("_part", F.lit(0).cast("long")) if bounded else in_parts(found, ["_out"], "_pid", part_ids)
+    kept = F.struct("_pid", "times") if bag else F.col("_pid")
+    cells = parted.groupBy("_out", "_part").agg(F.array_sort(F.collect_list(kept)).alias("_ids"))
     empty = F.array().cast("array<bigint>")
     times = [F.coalesce(F.col("_ids.times"), empty).alias("_times")] if bag else []
     return (
@@ -165,6 +163,24 @@ def consolidate(t: Tracked, reducer: str = "set", part_ids: int = PART_ROWS) ->
     )
 
 
+def _with_group_sets(rows: DataFrame, scalars, links: dict[str, GroupNode]) -> tuple[DataFrame, list[Column]]:
+    """Join the id set of each linked group to the rows; returns them and the arrays of ids of one row.
+
+    Only for sets with a known bound: each group's ids are collected into one array.
+    """
+    arrays = [F.array_compact(F.array(*scalars))] if scalars else []
+    for i, (column, node) in enumerate(links.items()):
+        inputs, inner = _with_group_sets(node.inputs, node.scalars, node.links)
+        if len(node.scalars) == 1 and not node.links:
+            collected = F.collect_set(node.scalars[0])
+        else:
+            collected = F.array_distinct(F.flatten(F.collect_list(F.concat(*inner))))
+        sets = inputs.groupBy(F.col("_h").alias(f"_h{i}")).agg(collected.alias(f"_ids{i}"))
+        rows = rows.join(sets, F.col(column) == F.col(f"_h{i}"), "left").drop(f"_h{i}")
+        arrays.append(F.coalesce(F.col(f"_ids{i}"), F.array().cast("array<bigint>")))
+    return rows, arrays
+
+
 def largest_set(t: Tracked) -> int:
     """An upper bound of the number of ids behind one row, from one count per aggregate on the way."""
 
@@ -189,8 +205,31 @@ def decode(consolidated: DataFrame, trail) -> DataFrame:
     return consolidated.withColumn("_prov", tokens)
 
 
+def _table_number(column: str) -> int:
+    return int(column.removeprefix(ids.PREFIX).split("__")[0])
+
+
+def _by_table(t: Tracked) -> list[str]:
+    return sorted(t.scalars, key=_table_number)
+
+
+def _one_id_per_table(t: Tracked) -> bool:
+    """True if the id columns in table order are the sorted set: no table twice, no negative packed ids."""
+    numbers = {_table_number(c) for c in t.scalars}
+    return len(numbers) == len(t.scalars) and max(numbers, default=0) < ids.MAX_TABLES // 2
+
+
 def decoded(t: Tracked, part_ids: int = PART_ROWS) -> DataFrame:
     """``consolidate`` and ``decode`` in one call."""
+    if not t.nodes and _one_id_per_table(t):
+        # the table of each column is known: plain expressions instead of array functions with lambdas
+        names = t.trail.names
+        tokens = [
+            F.concat(F.lit(f"{names[_table_number(c)]}:"), ids.row_of(F.col(c)).cast("string")) for c in _by_table(t)
+        ]
+        return t.df.select(
+            *t.columns, F.lit(0).cast("long").alias("_part"), F.array_compact(F.array(*tokens)).alias("_prov")
+        )
     return decode(consolidate(t, part_ids=part_ids), t.trail)
 
 

@@ -30,8 +30,10 @@ def in_parts(df: DataFrame, keys: list[str], order: str, part_rows: int = PART_R
     for k, n in names.items():
         match = match & F.col(k).eqNullSafe(F.col(n))
     block = F.shiftrightunsigned(order, part_rows.bit_length() - 1)
-    return (
+    parted = (
         df.join(hot, match, "left")
         .withColumn("_part", F.when(F.col("_is_hot"), block + 1).otherwise(F.lit(0).cast("long")))
         .drop("_is_hot", *names.values())
     )
+    # a shuffled join leaves the rows placed by key alone; deal the parts of a hot key out again
+    return parted if n_hot <= MAX_BROADCAST_GROUPS else parted.repartition(*keys, "_part")

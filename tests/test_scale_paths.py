@@ -8,14 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowtrail import Trail, aggregate, join, register_operator
-from rowtrail.features.encoding import OneHotEncoder01, OrdinalEncoder, TargetEncoder
+from rowtrail.features.encoding import OneHotEncoder01, OrdinalEncoder, TargetEncoder, embed_with_model
 from rowtrail.features.scaling import RobustScaler, SquashingScaler, StandardScaler
 from rowtrail.functions import time
 from rowtrail.functions.text import min_hashes, trigram_set
 from rowtrail.operators import lineage, split
 from rowtrail.operators.fuzzy import best_matches
 from rowtrail.operators.text_join import aggregate_python, join_text
-from rowtrail.sources.readers import make_dataset
+from rowtrail.sources.readers import make_dataset, read_csv, write_csv, write_parquet
 
 
 @pytest.fixture
@@ -257,3 +257,21 @@ def test_synthetic_tables(spark):
     assert {r[0] for r in main.select("category").distinct().collect()} == set("ABCD")
     again, _ = make_dataset(spark, 1000, seed=4)
     assert lineage.differences(main, again).count() == 0
+
+
+def test_own_embedding_model_and_register(source, spark):
+    trail = Trail()
+    t = source(trail, "a", "s string", ("ab",), ("abc",))
+    out = embed_with_model(t, "s", "v", lambda: lambda texts: [[len(x), 1] for x in texts])
+    assert [(r["s"], r["v"]) for r in out.df.orderBy("s").collect()] == [("ab", [2.0, 1.0]), ("abc", [3.0, 1.0])]
+    assert out.hidden == t.hidden
+    assert [tuple(r) for r in trail.as_table(spark).collect()] == [(0, "a")]
+
+
+def test_files_round_trip(source, spark, tmp_path):
+    t = source(Trail(), "a", "x bigint, s string", (1, "p"), (2, None))
+    write_csv(t.untracked(), str(tmp_path / "csv"))
+    write_parquet(lineage.edges(t, ["x"]), str(tmp_path / "edges"))
+    back = read_csv(spark, str(tmp_path / "csv"), "x bigint, s string")
+    assert lineage.differences(back, t.untracked()).count() == 0
+    assert spark.read.parquet(str(tmp_path / "edges")).count() == 2

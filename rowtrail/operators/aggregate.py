@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowtrail.functions import ids
-from rowtrail.operators.tracked import GroupNode, Tracked
+from rowtrail.operators.tracked import GroupNode, Tracked, not_null
 
 Function = str | Callable[[Column], Column]
 
@@ -44,7 +44,7 @@ def aggregate(
     a Spark function of a column. ``dropna`` leaves out rows with a NULL key.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    df = t.df.na.drop(subset=keys) if dropna and keys else t.df
+    df = not_null(t.df, keys) if dropna else t.df
     outputs = [
         _call(t, column, function).alias(out)
         for out, column, function in expand_spec(t.columns, keys, named or spec)
@@ -54,12 +54,12 @@ def aggregate(
         result = grouped.agg(*outputs)
     else:
         result = grouped.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    return attach(t, df, keys, result)
+    return attach(t, df, keys, result, null_free=dropna)
 
 
 def frequencies(t: Tracked, column: str, name: str = "count") -> Tracked:
     """How often each value of a column occurs."""
-    df = t.df.na.drop(subset=[column])
+    df = not_null(t.df, [column])
     return attach(t, df, [column], df.groupBy(column).agg(F.count(F.lit(1)).alias(name)))
 
 
@@ -99,7 +99,7 @@ def _call(t: Tracked, column: str, function: Function) -> Column:
     return FUNCTIONS[function](F.col(column))
 
 
-def attach(t: Tracked, df, keys: list[str], result) -> Tracked:
+def attach(t: Tracked, df: DataFrame, keys: list[str], result: DataFrame, null_free: bool = True) -> Tracked:
     """Give an aggregate's result its handle column and remember the rows behind each handle."""
     handle = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     node = GroupNode(
@@ -109,6 +109,7 @@ def attach(t: Tracked, df, keys: list[str], result) -> Tracked:
         scalars=tuple(t.scalars),
         links=dict(t.nodes),
         exact=t.exact,
+        null_free=null_free,
     )
     column = f"{ids.GROUP_PREFIX}{node.number}"
     return replace(t, df=result.withColumn(column, handle), nodes={column: node}, fresh=node, exact=False)

@@ -257,7 +257,10 @@ def with_summary(t: Tracked, keys: list[str]) -> DataFrame:
     """The data beside its lineage summary; ``keys`` must name the rows."""
     named = {k: f"_k{i}" for i, k in enumerate(keys)}
     sizes = summary(t, keys).withColumnsRenamed(named)
-    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()])
+    plain = t.fresh and t.fresh.null_free and tuple(keys) == t.fresh.keys
+    # plain equality lets both sides keep the partitioning of their aggregates
+    pairs = [F.col(k) == F.col(n) if plain else F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
+    match = reduce(lambda a, b: a & b, pairs)
     return t.untracked().join(sizes, match, "left").drop(*named.values()).fillna(0, ["prov_n"])
 
 

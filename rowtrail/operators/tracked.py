@@ -30,6 +30,15 @@ if TYPE_CHECKING:
 FLOATS = (T.FloatType, T.DoubleType)
 
 
+def not_null(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without NULL (or NaN) in ``columns``, as conditions that scans can take over."""
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull())
+        if isinstance(df.schema[c].dataType, FLOATS):
+            df = df.filter(~F.isnan(c))
+    return df
+
+
 @dataclass(frozen=True)
 class GroupNode:
     """The input side of one aggregate: group keys ``_h`` beside the hidden columns of each input row."""
@@ -40,6 +49,7 @@ class GroupNode:
     scalars: tuple[str, ...]
     links: dict[str, "GroupNode"]
     exact: bool  # every input row carries exactly one id, and no two rows the same one
+    null_free: bool  # no key is NULL
 
 
 @dataclass(frozen=True)
@@ -109,7 +119,7 @@ class Tracked:
         return self.filter(F.col(column).isin(values))
 
     def drop_nulls(self, subset: list[str] | None = None) -> "Tracked":
-        return replace(self, df=self.df.na.drop(subset=subset or self.columns), fresh=None)
+        return replace(self, df=not_null(self.df, subset or self.columns), fresh=None)
 
     def head(self, n: int) -> "Tracked":
         """The first ``n`` rows in the order of their ids."""

@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rowtrail.llm import chat, licenses
+from rowtrail.llm.decontaminate import decontaminate
+from rowtrail.llm.fingerprints import edited_fingerprints
+from rowtrail.llm.lines import MIN_CHARS, line_duplicates
 from rowtrail.llm.minhash import near_duplicates
+from rowtrail.llm.packing import pack
+from rowtrail.llm.quality import classify
+from rowtrail.llm.rlz import substring_duplicates
 from rowtrail.llm.shared import table
+from rowtrail.llm.tokens import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,3 +37,74 @@ def query(name: str, sql: str | None = None):
 @query("op1_minhash_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "n_words", "good", "junk", "toxic", "kept")
+
+
+@query("op5_license_scan", licenses.sql())
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(table(spark, sf_dir, "documents"))
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the benchmark items whose passages it holds, and the words of the longest."""
+    met = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    most = F.coalesce(F.array_max(F.transform("hits", lambda h: h["matched"])), F.lit(0))
+    return met.select("doc_id", "n_words", items.alias("item_ids"), most.cast("long").alias("matched_words"), "kept")
+
+
+@query("op8_chat_formatting")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1 whose texts are control strings."""
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_chats(turns.unionByName(own)))
+
+
+# A run of lines counts from the shortest that has MIN_CHARS characters.
+LINES_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+c AS (SELECT doc_id, ls, list_transform(range(1, len(ls) + 1), lambda i: coalesce(list_sum(list_transform(ls[1:i], lambda l: len(l))), 0)) AS upto FROM d),
+p AS (SELECT doc_id, ls, upto, unnest(range(1, len(ls) + 1)) AS i FROM c),
+w AS (SELECT doc_id, ls, i, list_position(list_transform(upto[i:], lambda u: u - (CASE WHEN i > 1 THEN upto[i - 1] ELSE 0 END) >= {MIN_CHARS}), true) AS need FROM p),
+k AS (SELECT doc_id, i, need, array_to_string(ls[i : i + need - 1], chr(10)) AS run FROM w WHERE need > 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY run, need ORDER BY doc_id, i) AS nth FROM k),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i, unnest(range(0, need)) AS j FROM f WHERE nth > 1)),
+kept AS (SELECT p.doc_id, p.i, p.ls[p.i] AS line FROM p ANTI JOIN gone USING (doc_id, i)),
+t AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS txt FROM kept GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)"""
+
+
+@query("op9_line_dedup", LINES_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_duplicates(table(spark, sf_dir, "documents"))

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rowtrail.sources.storage import shared_folder
 
@@ -41,6 +43,15 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+SMALL_IDS = 4_000_000
+"""At most so many ids are broadcast to filter a scan; more are joined by a shuffle."""
+
+
+def with_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` whose ``name`` is among ``ids``, a written table of one column without repeats."""
+    return df.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, name, "left_semi")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -76,7 +87,12 @@ def long_list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """``df`` without columns whose names, in any case, an operator adds itself."""
-    taken = {n.lower() for n in names}
-    return df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken])
+def cleared(df: DataFrame, added: str) -> DataFrame:
+    """``df`` without columns whose names, in any case, are among those of the schema ``added``."""
+    taken = {f.name.lower() for f in StructType.fromDDL(added)}
+    return df.select(*["`" + c.replace("`", "``") + "`" for c in df.columns if c.lower() not in taken])
+
+
+def widened(df: DataFrame, added: str) -> StructType:
+    """The schema of ``df`` followed by the columns of ``added``."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])

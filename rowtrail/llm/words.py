@@ -14,6 +14,8 @@ import numpy as np
 U = np.uint64
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+SEPARATOR = BLANK.copy()
+SEPARATOR[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], U)
@@ -74,12 +76,12 @@ class Words:
         return mix(value + U(k)), bounds
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """The words of texts lying one after the other in ``data``; ``lower`` folds A-Z."""
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, blank: np.ndarray = BLANK) -> Words:
+    """The words of texts lying one after the other in ``data``; ``lower`` folds A-Z, ``blank`` marks the bytes between words."""
     n = len(data)
     if not n:
         return Words(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
-    solid = ~BLANK[data]
+    solid = ~blank[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = offsets[1:-1]

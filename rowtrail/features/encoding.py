@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, OneHotEncoder
+from pyspark.ml.feature import IDF, PCA, HashingTF, OneHotEncoder
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,6 @@ from rowtrail.operators.tracked import Tracked
 from rowtrail.sources.numbering import number_rows
 from rowtrail.sources.storage import store
 
-MAX_DENSE = 200  # above this many categories one-hot gives one sparse vector instead of columns
 LOW_CARDINALITY = 40  # fixed value: up to this many categories a table vectorizer uses one-hot
 
 
@@ -60,25 +59,33 @@ class OrdinalEncoder(ColumnwiseTransformer):
 
 
 class OneHotEncoder01(ColumnwiseTransformer):
-    """One 0/1 column per category; unseen values and NULL give zeros.
+    """0/1 per category; unseen values and NULL give zeros.
 
-    Columns with more than ``max_dense`` categories become one sparse vector column instead.
+    ``form="columns"`` gives a column per category, ``form="vector"`` one sparse vector column per encoded column, for any number of
+    categories. Names are made of column and value; those that would meet each other or a column of the frame are numbered.
     """
 
-    def __init__(self, columns: list[str], max_dense: int = MAX_DENSE):
+    def __init__(self, columns: list[str], form: str = "columns"):
         super().__init__(columns)
-        self.max_dense = max_dense
+        if form not in ("columns", "vector"):
+            raise ValueError("form must be columns or vector")
+        self.form = form
 
     def fit(self, t: Tracked) -> "OneHotEncoder01":
         self.dense: dict[str, dict[str, object]] = {}
         self.sparse: dict[str, tuple] = {}
+        taken = {c.lower() for c in t.columns}
         for c in self.columns:
             table, n = category_table(t, c)
-            if n <= self.max_dense:
+            if self.form == "columns":
+                if n > MAX_BROADCAST_GROUPS:
+                    raise ValueError(f"{c} has {n} categories: use form='vector'")
                 values = [row["_value"] for row in table.orderBy("_rank").collect()]
-                self.dense[c] = {f"{c}_{re.sub('[^0-9A-Za-z]+', '_', str(v))}": v for v in values}
-                if len(self.dense[c]) < n:  # two values with the same cleaned name
-                    self.dense[c] = {f"{c}_{i}": v for i, v in enumerate(values)}
+                names = [f"{c}_{re.sub('[^0-9A-Za-z]+', '_', str(v))}" for v in values]
+                if len({x.lower() for x in names}) < n or taken & {x.lower() for x in names}:
+                    names = _numbered_names(c, n, taken)
+                taken |= {x.lower() for x in names}
+                self.dense[c] = dict(zip(names, values))
             else:
                 encoder = OneHotEncoder(inputCol="_rank", outputCol=f"{c}_onehot", dropLast=True)
                 # rank n stands for unknown and is the dropped last category
@@ -102,6 +109,13 @@ class OneHotEncoder01(ColumnwiseTransformer):
         return [o for outs in self.dense.values() for o in outs] + [f"{c}_onehot" for c in self.sparse]
 
 
+def _numbered_names(column: str, n: int, taken: set[str]) -> list[str]:
+    stem = column
+    while any(f"{stem}_{i}".lower() in taken for i in range(n)):
+        stem += "_"
+    return [f"{stem}_{i}" for i in range(n)]
+
+
 class DatetimeEncoder(ColumnwiseTransformer):
     """Year, month, day, hour and epoch seconds of timestamp columns."""
 
@@ -155,25 +169,25 @@ class MinHashEncoder(_TextEncoder):
 class GapEncoder(_TextEncoder):
     """Topic weights of a text's character 2- to 4-grams (LDA), fitted on the distinct training texts.
 
-    LDA stands in for Gamma-Poisson factorisation: the same role, not the same numbers.
+    All grams count: they are hashed into ``buckets`` places, none is left out. LDA stands in for Gamma-Poisson factorisation: the same role, not the same numbers.
     """
 
-    def __init__(self, columns: list[str], n_components: int = 30, vocabulary: int = 1 << 14, iterations: int = 10):
+    def __init__(self, columns: list[str], n_components: int = 30, buckets: int = 1 << 12, iterations: int = 10):
         super().__init__(columns, n_components)
-        self.vocabulary, self.iterations = vocabulary, iterations
+        self.iterations = iterations
+        self.counter = HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=buckets)
 
     def fit(self, t: Tracked) -> "GapEncoder":
         self.models = {}
         for c in self.columns:
-            distinct = t.df.select(self._grams(c)).distinct()
-            counter = CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=self.vocabulary).fit(distinct)
+            distinct = store(self.counter.transform(t.df.select(self._grams(c)).distinct()).select("_counts"), "grams")
             lda = LDA(k=self.n_components, maxIter=self.iterations, featuresCol="_counts", seed=1)
-            self.models[c] = (counter, lda.fit(counter.transform(distinct)))
+            self.models[c] = lda.fit(distinct)
         return self
 
     def transform(self, t: Tracked) -> Tracked:
-        for c, (counter, lda) in self.models.items():
-            df = lda.transform(counter.transform(t.df.withColumn("_grams", self._grams(c))))
+        for c, lda in self.models.items():
+            df = lda.transform(self.counter.transform(t.df.withColumn("_grams", self._grams(c))))
             df = df.withColumn("_topics", vector_to_array("topicDistribution"))
             df = df.drop("_grams", "_counts", "topicDistribution")
             t = self._spread(Tracked(df, t.trail, t.nodes), c, "_topics")
@@ -244,7 +258,8 @@ class TableVectorizer:
         self.numbers = [f.name for f in fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
         times = [f.name for f in fields if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]
         texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-        kinds = t.df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(c).alias(c) for c in texts]).first()
+        # exact, and no more than threshold + 1 values are ever counted at the end
+        kinds = {c: t.df.select(c).na.drop().distinct().limit(self.threshold + 1).count() for c in texts}
         low = [c for c in texts if kinds[c] <= self.threshold]
         high = [c for c in texts if kinds[c] > self.threshold]
         self.steps = [DatetimeEncoder(times)] if times else []

@@ -105,6 +105,28 @@ def score(predicted: Tracked, label: str, kind: str = "classifier") -> DataFrame
     )
 
 
+def verdicts(predicted: Tracked, label: str, kind: str = "classifier") -> Tracked:
+    """The rows with what must hold of any fitted model: ``prediction_ok``, ``probability_ok`` (classifiers) and ``score_ok``.
+
+    A class is 0 or 1 and the likelier of the two, a regression is a finite number, a probability lies in [0, 1]; the reported score is the
+    one counted from these rows another way, and no better than perfect.
+    """
+    predicted = predicted.stored("predicted")
+    y, p = F.col(label).cast("double"), F.col("prediction")
+    reported = score(predicted, label, kind).first()
+    if kind == "classifier":
+        again = predicted.df.filter(y == p).count() / max(reported["n"], 1)
+        chance = F.col("probability")
+        flags = {"prediction_ok": p == F.when(chance > 0.5, 1.0).otherwise(0.0), "probability_ok": chance.between(0, 1)}
+    else:
+        mean = predicted.df.agg(F.avg(y)).first()[0] or 0.0
+        left, whole = predicted.df.agg(F.sum((y - p) ** 2), F.sum((y - mean) ** 2)).first()
+        again = 1 - left / whole if whole else None
+        flags = {"prediction_ok": ~F.isnan(p) & (F.abs(p) < float("inf"))}
+    ok = again is not None and abs(again - reported["score"]) < 1e-6 and reported["score"] <= 1
+    return predicted.with_columns(flags | {"score_ok": F.lit(ok)})
+
+
 def top_risks(predicted: Tracked, k: int) -> DataFrame:
     """The ``k`` rows with the highest probability."""
     return predicted.df.orderBy(F.desc("probability"), *predicted.hidden).limit(k)

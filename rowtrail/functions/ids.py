@@ -24,6 +24,13 @@ def pack(table_id: int, row: Column) -> Column:
     return F.shiftleft(F.lit(table_id).cast("long"), ROW_BITS).bitwiseOR(row.cast("long"))
 
 
+def checked_row(row: Column, name: str) -> Column:
+    """A row number given by the user: NULL, negative and too large ones are errors when the row is read, not other rows' ids."""
+    row = row.cast("long")
+    wrong = F.raise_error(F.concat(F.lit(f"{name} is no row number in [0, 2^48): "), F.coalesce(row.cast("string"), F.lit("NULL"))))
+    return F.when(row.between(0, MAX_ROW), row).otherwise(wrong.cast("long"))
+
+
 def table_of(packed: Column) -> Column:
     # unsigned shift: table numbers from 32768 on set the sign bit
     return F.shiftrightunsigned(packed, ROW_BITS).cast("int")

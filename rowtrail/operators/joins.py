@@ -31,6 +31,7 @@ def join(
     """
     if how not in HOW:
         raise ValueError(f"how must be one of {HOW}")
+    same_trail(left, right)
     shared = [on] if isinstance(on, str) else list(on or [])
     left_keys = shared or ([left_on] if isinstance(left_on, str) else list(left_on))
     right_keys = shared or ([right_on] if isinstance(right_on, str) else list(right_on))
@@ -67,6 +68,12 @@ def join(
     return replace(left, df=df, nodes=nodes, fresh=None, exact=False)
 
 
+def same_trail(left: Tracked, right: Tracked) -> None:
+    """Ids of two trails mean different tables under the same numbers: such frames never meet."""
+    if left.trail is not right.trail:
+        raise ValueError("the two frames belong to different trails; register both tables in one Trail")
+
+
 def _data_names(left, right, shared, suffixes) -> tuple[dict[str, str], dict[str, str]]:
     clash = (set(left.columns) & set(right.columns)) - set(shared)
     if clash and suffixes is None:

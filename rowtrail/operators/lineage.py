@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtrail.functions import ids
-from rowtrail.operators.parts import PART_ROWS, in_parts
+from rowtrail.operators.parts import PART_ROWS, in_parts, largest_group
 from rowtrail.operators.tracked import GroupNode, Tracked
 from rowtrail.sources.storage import store
 
@@ -84,13 +84,18 @@ def _walk(rows: DataFrame, outs: list[str], scalars: list[str], links: dict[str,
     while waiting:
         node, wanted = waiting.pop(max(waiting))  # an aggregate reads only older aggregates
         depth += 1
-        if not node.keys:
-            raise ValueError(
-                "a whole-frame aggregate was filtered or joined: every row behind it would meet every output "
-                "row; ask the aggregate itself for its edges"
-            )
         wanted = reduce(DataFrame.unionByName, wanted)
         wanted = wanted.groupBy(*outs, "_h").agg(F.sum("times").alias("times")) if bag else wanted.distinct()
+        if not node.keys:
+            wanted = store(wanted, "wanted")
+            if wanted.limit(2).count() > 1:
+                raise ValueError(
+                    "a whole-frame aggregate was joined: every row behind it would meet every output row; "
+                    "ask for factored edges, or the aggregate itself for its edges"
+                )
+            # one row at most, just counted
+            visit(node.inputs.join(F.broadcast(wanted), "_h"), node.scalars, node.links, carried)
+            continue
         if depth > STORED_DEPTH:
             wanted = store(wanted, "wanted")
         visit(wanted.join(node.inputs, "_h"), node.scalars, node.links, carried)
@@ -99,6 +104,39 @@ def _walk(rows: DataFrame, outs: list[str], scalars: list[str], links: dict[str,
     return reduce(DataFrame.unionByName, found)
 
 
+def factored(t: Tracked, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The edges as two frames that are never multiplied: (keys…, group, table_id, row_id) and (group, table_id, row_id).
+
+    The first has one row per output row and direct id, or per output row and group it refers to (then ``table_id`` is NULL). The second
+    has the ids behind each group. ``group`` is text made of the aggregate's number and keys. Joined on ``group`` they give ``edges``; kept
+    apart they are as long as the rows and the groups' members, not their product.
+    """
+    direct: list[DataFrame] = []
+    members: list[DataFrame] = []
+
+    def name(node: GroupNode, handle: Column) -> Column:
+        return F.concat(F.lit(f"{node.number}:"), F.to_json(handle))
+
+    nothing = F.lit(None).cast("long")
+    if t.scalars:
+        present = F.array_compact(F.array(*t.scalars))
+        direct.append(t.df.select(*keys, F.lit(None).cast("string").alias("group"), F.explode(present).alias("_pid")))
+    for column, node in t.nodes.items():
+        handle = F.col(column)
+        direct.append(t.df.filter(handle.isNotNull()).select(*keys, name(node, handle).alias("group"), nothing.alias("_pid")))
+        rows = node.inputs.select(name(node, F.col("_h")).alias("group"), *node.scalars, *node.links)
+        members.append(_walk(rows, ["group"], list(node.scalars), node.links, False).select("group", "_pid").distinct())
+    if not members:
+        members.append(t.df.sparkSession.createDataFrame([], "group string, _pid long"))
+
+    def opened(frames: list[DataFrame], outs: list[str]) -> DataFrame:
+        both = reduce(DataFrame.unionByName, frames).distinct()
+        pid = F.col("_pid")
+        return both.select(*outs, F.when(pid.isNotNull(), ids.table_of(pid)).alias("table_id"), ids.row_of(pid).alias("row_id"))
+
+    return opened(direct, [*keys, "group"]), opened(members, ["group"])
+
+
 def trace_back(t: Tracked, condition: Column | str, keys: list[str]) -> DataFrame:
     """Edges of the output rows that satisfy ``condition``."""
     return edges(t.filter(condition), keys)
@@ -125,11 +163,10 @@ def store_edges(t: Tracked, keys: list[str], bag: bool = False) -> DataFrame:
 
 
 def consolidate(t: Tracked, reducer: str = "set", part_ids: int = PART_ROWS) -> DataFrame:
-    """The data with ``_prov``, the sorted ids behind each row, in place of the hidden columns.
+    """The data with ``_prov``, the sorted ids behind each row, in place of the hidden columns; one row per row.
 
-    A row with at most ``part_ids`` ids comes once, with ``_part`` 0. A row with more comes once per block
-    of row numbers, ``_part`` 1, 2, …; its blocks together are the whole set. So no array outgrows a task.
-    ``reducer="bag"`` adds ``_times``, how often each id of ``_prov`` contributes.
+    A frame in which more than ``part_ids`` ids may stand behind a row is refused: ``edges`` gives them as rows and ``set_parts`` as arrays
+    of bounded length, in a frame of their own. ``reducer="bag"`` adds ``_times``, how often each id of ``_prov`` contributes.
     """
     if reducer not in ("set", "bag"):
         raise ValueError("reducer must be set or bag")
@@ -138,17 +175,17 @@ def consolidate(t: Tracked, reducer: str = "set", part_ids: int = PART_ROWS) ->
         ids_here = F.array_compact(F.array(*_by_table(t)))
         if not _one_id_per_table(t):
             ids_here = F.array_sort(F.array_distinct(ids_here))
-        return t.df.select(*data, F.lit(0).cast("long").alias("_part"), ids_here.alias("_prov"))
+        return t.df.select(*data, ids_here.alias("_prov"))
     bag = reducer == "bag"
-    bounded = largest_set(t) <= part_ids
-    if bounded and not bag and all(node.keys for node in t.nodes.values()):
+    if (n := largest_set(t)) > part_ids:
+        raise ValueError(f"up to {n} ids behind one row, more than {part_ids}: use edges or set_parts")
+    if not bag and all(node.keys for node in t.nodes.values()):
         rows, arrays = _with_group_sets(t.df, t.scalars, t.nodes)
         whole = F.array_sort(F.array_distinct(F.concat(*arrays)))
-        return rows.select(*data, F.lit(0).cast("long").alias("_part"), whole.alias("_prov"))
+        return rows.select(*data, whole.alias("_prov"))
     found, _ = _packed_edges(t, None, bag)
-    parted = found.withColumn("_part", F.lit(0).cast("long")) if bounded else in_parts(found, ["_out"], "_pid", part_ids)
     kept = F.struct("_pid", "times") if bag else F.col("_pid")
-    cells = parted.groupBy("_out", "_part").agg(F.array_sort(F.collect_list(kept)).alias("_ids"))
+    cells = found.groupBy("_out").agg(F.array_sort(F.collect_list(kept)).alias("_ids"))
     empty = F.array().cast("array<bigint>")
     times = [F.coalesce(F.col("_ids.times"), empty).alias("_times")] if bag else []
     return (
@@ -156,13 +193,22 @@ def consolidate(t: Tracked, reducer: str = "set", part_ids: int = PART_ROWS) ->
         .join(cells, "_out", "left")
         .select(
             *data,
-            F.coalesce("_part", F.lit(0).cast("long")).alias("_part"),
             F.coalesce(F.col("_ids._pid" if bag else "_ids"), empty).alias("_prov"),
             *times,
         )
     )
 
 
+def set_parts(t: Tracked, keys: list[str], part_ids: int = PART_ROWS) -> DataFrame:
+    """(keys…, _part, _prov): the sorted ids behind each output row in arrays of at most ``part_ids``, parts numbered from 0.
+
+    Apart from the data, so that a row's data is never repeated; a row without lineage has no part.
+    """
+    found, outs = _packed_edges(t, keys, bag=False)
+    parted = in_parts(found, outs, ["_pid"], part_ids)
+    return parted.groupBy(*outs, "_part").agg(F.array_sort(F.collect_list("_pid")).alias("_prov"))
+
+
 def _with_group_sets(rows: DataFrame, scalars, links: dict[str, GroupNode]) -> tuple[DataFrame, list[Column]]:
     """Join the id set of each linked group to the rows; returns them and the arrays of ids of one row.
 
@@ -191,8 +237,7 @@ def largest_set(t: Tracked) -> int:
 
 
 def _largest_group(node: GroupNode) -> int:
-    sizes = node.inputs.groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    return largest_group(node.inputs, ["_h"])
 
 
 def decode(consolidated: DataFrame, trail) -> DataFrame:
@@ -227,9 +272,7 @@ def decoded(t: Tracked, part_ids: int = PART_ROWS) -> DataFrame:
         tokens = [
             F.concat(F.lit(f"{names[_table_number(c)]}:"), ids.row_of(F.col(c)).cast("string")) for c in _by_table(t)
         ]
-        return t.df.select(
-            *t.columns, F.lit(0).cast("long").alias("_part"), F.array_compact(F.array(*tokens)).alias("_prov")
-        )
+        return t.df.select(*t.columns, F.array_compact(F.array(*tokens)).alias("_prov"))
     return decode(consolidate(t, part_ids=part_ids), t.trail)
 
 

@@ -1,39 +1,38 @@
-"""Splitting hot groups before anything is collected per group."""
+"""Cutting groups of any size into parts of bounded size before anything is collected per group."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_ROWS = 1 << 16
+BLOCK_BITS = 16
 MAX_BROADCAST_GROUPS = 100_000
 
 
-def in_parts(df: DataFrame, keys: list[str], order: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Add ``_part``: 0 in groups of at most ``part_rows`` rows, else the block of ``order`` numbers plus 1.
+def in_parts(df: DataFrame, keys: list[str], order: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """Add ``_part``: the rank of the row inside its group, by ``order``, divided by ``part_rows``; parts count from 0.
 
-    ``order`` is a whole number unique inside the group, so a block holds at most ``part_rows`` rows and
-    (keys, _part) groups are bounded whatever the data. The hot groups are found by counting; there are at
-    most rows/part_rows of them, and they are broadcast only while their number stays small.
+    The rule is the same for groups of every size. Ranks are counted in two steps, so no window spans a group: rows are ranked inside
+    blocks of 65,536 values of the first order column, a whole number, and the blocks of a group are added up. Where that column repeats
+    inside a group a block may hold more rows; ranks stay right, and a part never holds more than ``part_rows`` rows.
     """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > part_rows)
-    if part_rows & (part_rows - 1):
-        raise ValueError("part_rows must be a power of two")
-    n_hot = hot.limit(MAX_BROADCAST_GROUPS + 1).count()
-    if n_hot == 0:
-        return df.withColumn("_part", F.lit(0).cast("long"))
-    names = {k: f"_hot{i}" for i, k in enumerate(keys)}
-    hot = hot.select(*[F.col(k).alias(n) for k, n in names.items()], F.lit(True).alias("_is_hot"))
-    if n_hot <= MAX_BROADCAST_GROUPS:
-        hot = F.broadcast(hot)
+    block = F.shiftright(F.coalesce(F.col(order[0]), F.lit(-1).cast("long")), BLOCK_BITS)
+    df = df.withColumn("_block", block)
+    counts = df.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    names = {k: f"_k{i}" for i, k in enumerate([*keys, "_block"])}
+    counts = counts.select(
+        *[F.col(k).alias(n) for k, n in names.items()], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
     match = F.lit(True)
     for k, n in names.items():
         match = match & F.col(k).eqNullSafe(F.col(n))
-    block = F.shiftrightunsigned(order, part_rows.bit_length() - 1)
-    parted = (
-        df.join(hot, match, "left")
-        .withColumn("_part", F.when(F.col("_is_hot"), block + 1).otherwise(F.lit(0).cast("long")))
-        .drop("_is_hot", *names.values())
-    )
-    # a shuffled join leaves the rows placed by key alone; deal the parts of a hot key out again
-    return parted if n_hot <= MAX_BROADCAST_GROUPS else parted.repartition(*keys, "_part")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)) - 1
+    placed = df.join(counts, match).withColumn("_part", F.floor((F.col("_before") + rank) / part_rows).cast("long"))
+    return placed.drop("_block", "_before", *names.values())
+
+
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group, from one count."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0

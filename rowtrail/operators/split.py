@@ -28,7 +28,7 @@ def train_test_split(
     t: Tracked, test_fraction: float = 0.25, seed: int = 0, key: str | None = None
 ) -> tuple[Tracked, Tracked]:
     """Rows whose hash falls below the fraction are test rows. ``key`` defaults to the lineage of the row."""
-    in_test = hash_number(_row_key(t, key), seed) % 1000 < round(test_fraction * 1000)
+    in_test = hash_number(_row_key(t, key), seed) < F.lit(int(test_fraction * (1 << 32)))
     return t.filter(~in_test), t.filter(in_test)
 
 

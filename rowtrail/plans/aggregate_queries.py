@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowtrail import aggregate, join
 from rowtrail.operators import lineage
-from rowtrail.operators.text_join import aggregate_python, join_text
+from rowtrail.operators.text_join import aggregate_python, text_parts
 from rowtrail.plans.registry import query, rounded
 from rowtrail.plans.shop import (
     GEO_SQL, ITEMS_SQL, LINES_SQL, ORDERS_SQL, PAYMENTS_SQL, PRODUCTS_SQL, SUMMARY_SQL, packed,
@@ -144,17 +144,13 @@ def _order_products(shop):
     "agg_concat",
     f"""WITH {LINES_SQL}, {PAYMENTS_SQL}, t AS (SELECT order_id, string_agg(payment_type, ' ' ORDER BY rid) AS payment_types,
     coalesce(string_agg(CASE WHEN installments <> 3 THEN 'i' || installments END, ' ' ORDER BY rid), '') AS others FROM payments GROUP BY order_id)
-    SELECT order_id, payment_types, 0::BIGINT AS payment_types_part, others FROM t""",
+    SELECT order_id, 0::BIGINT AS part, payment_types, others FROM t""",
 )
 def agg_concat(shop):
     payments = shop.payments().with_columns(
         {"other": F.when(F.col("installments") != 3, F.concat(F.lit("i"), F.col("installments").cast("string")))}
     )
-    types = join_text(payments, ["order_id"], "payment_type", "payment_types")
-    others = join_text(payments, ["order_id"], "other", "others")
-    return join(
-        types, others.rename({"others_part": "payment_types_part"}), on=["order_id", "payment_types_part"]
-    ).untracked()
+    return text_parts(payments, ["order_id"], {"payment_types": "payment_type", "others": "other"}).withColumnRenamed("_part", "part")
 
 
 @query(

@@ -12,7 +12,7 @@ from rowtrail.features.base import Branches, Chain
 from rowtrail.features.encoding import (
     DatetimeEncoder, GapEncoder, MinHashEncoder, OneHotEncoder01, OrdinalEncoder, TableVectorizer, TargetEncoder, TextEncoder,
 )
-from rowtrail.features.learn import Learner, compare, cross_validate, top_risks
+from rowtrail.features.learn import Learner, compare, cross_validate, top_risks, verdicts
 from rowtrail.features.scaling import MedianImputer, MostFrequentImputer, RobustScaler, SquashingScaler, StandardScaler
 from rowtrail.functions import time
 from rowtrail.operators import lineage
@@ -20,8 +20,9 @@ from rowtrail.operators.fuzzy import fuzzy_join
 from rowtrail.operators.split import stratified_split, train_test_split
 from rowtrail.operators.text_join import join_text
 from rowtrail.operators.tracked import Tracked
+from rowtrail.plans.feature_queries import IN_TEST
 from rowtrail.plans.fuzzy_queries import PLACES_SQL, best_sql, centroids, places
-from rowtrail.plans.registry import query, rounded, shown
+from rowtrail.plans.registry import SQL, query, rounded, shown
 from rowtrail.plans.shop import (
     CUSTOMERS_SQL, ESTIMATED_DAYS, GEO_SQL, ITEMS_SQL, LINES_SQL, ORDER_PAYMENTS_SQL, ORDERS_SQL, PAYMENTS_SQL, PRODUCTS_SQL,
     REVIEWS_SQL, SUMMARY_SQL, TRANSLATIONS_SQL, packed,
@@ -66,6 +67,25 @@ def mode_sql(column: str, table: str) -> str:
     return f"(SELECT {column} FROM {table} WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 1)"
 
 
+CHECKS_SQL = "true AS prediction_ok, true AS probability_ok, true AS score_ok"
+CHECKS = ["prediction_ok", "probability_ok", "score_ok"]
+
+
+def test_rows_sql(case: str, key: str, columns: str) -> str:
+    """The test rows of a case with their label and lineage, and the checks that must hold of every model."""
+    return f"SELECT {columns}, {CHECKS_SQL} FROM ({SQL[case]}) WHERE {IN_TEST.format(key=key, share=0.25)}"
+
+
+def folds_sql(name: str, folds: int) -> str:
+    """Sizes of the folds of all orders."""
+    fold = f"('0x' || substr(md5('0:' || o_orderkey), 1, 8))::BIGINT % {folds}"
+    return f"SELECT '{name}' AS name, CAST({fold} AS INT) AS fold, count(*) AS n, true AS score_ok FROM orders GROUP BY ALL"
+
+
+def fold_checks(scores: DataFrame) -> DataFrame:
+    return scores.select("name", "fold", "n", F.col("score").between(0, 1).alias("score_ok"))
+
+
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -93,7 +113,7 @@ def aggregated_payments(shop) -> Tracked:
       string_agg('payments:' || rid, ',' ORDER BY rid) AS toks FROM payments GROUP BY order_id)
     SELECT o_orderkey AS order_id, o_orderstatus AS order_status, coalesce(total_cents, 0) AS total_cents, coalesce(n_payments, 0) AS n_payments,
       coalesce(max_installments, 0) AS max_installments, coalesce(type_count, 0) AS type_count,
-      CAST(coalesce(delivered > o_orderdate + INTERVAL {ESTIMATED_DAYS} DAY, false) AS INT) AS is_late, 0::BIGINT AS part,
+      CAST(coalesce(delivered > o_orderdate + INTERVAL {ESTIMATED_DAYS} DAY, false) AS INT) AS is_late, 
       1 + coalesce(n_payments, 0) AS prov_n, 'orders:' || o_orderkey || coalesce(',' || toks, '') AS prov
     FROM orders LEFT JOIN a ON o_orderkey = order_id""",
 )
@@ -128,10 +148,11 @@ def case_aggregated_payments_features(shop):
     return rounded(payment_steps().fit(t).transform(t).untracked(), PAYMENT_NUMBERS)
 
 
-@query("case_aggregated_payments_model")
+@query("case_aggregated_payments_model", test_rows_sql("case_aggregated_payments", "order_id", "order_id, is_late, prov_n, prov"))
 def case_aggregated_payments_model(shop):
     train, test = train_test_split(aggregated_payments(shop).stored(), key="order_id")
-    return Learner([payment_steps()], "is_late").fit(train).score(test)
+    predicted = verdicts(Learner([payment_steps()], "is_late").fit(train).predict(test), "is_late")
+    return shown(predicted.select("order_id", "is_late", *CHECKS))
 
 
 # -- 2 basic data analysis ---------------------------------------------------------------------------------
@@ -145,7 +166,7 @@ def case_aggregated_payments_model(shop):
       FROM orders_r o LEFT JOIN customers c ON c.customer_id = o.customer_id LEFT JOIN items i ON i.order_id = o.order_id
       LEFT JOIN order_payments p ON p.order_id = o.order_id LEFT JOIN reviews r ON r.order_id = o.order_id WHERE order_status = 'F')
     SELECT round(freight, 6) AS freight, price, installments, price AS order_value, review_score, CAST(delay > 0 AS INT) AS is_delayed,
-      0::BIGINT AS part, 5::BIGINT AS prov_n, 'orders:' || order_id || ',customers:' || customer_id || ',order_items:' || rid
+      5::BIGINT AS prov_n, 'orders:' || order_id || ',customers:' || customer_id || ',order_items:' || rid
       || ',payments:' || order_id || ',reviews:' || order_id AS prov
     FROM j WHERE price IS NOT NULL AND freight IS NOT NULL AND review_score IS NOT NULL AND delay BETWEEN -400 AND 700""",
 )
@@ -246,11 +267,14 @@ def case_customer_churn_features(shop):
     return rounded(churn_steps().fit(t).transform(t).untracked(), CHURN_NUMBERS)
 
 
-@query("case_customer_churn_model")
+@query(
+    "case_customer_churn_model",
+    test_rows_sql("case_customer_churn", "customer_id", "customer_id, churn_risk, prov_n, prov_min, prov_max, prov_xor"),
+)
 def case_customer_churn_model(shop):
     train, test = train_test_split(customer_churn(shop).stored(), key="customer_id")
     learner = Learner([churn_steps()], "churn_risk").fit(train)
-    predicted = learner.predict(test).select("customer_id", "churn_risk", "prediction", "probability")
+    predicted = verdicts(learner.predict(test), "churn_risk").select("customer_id", "churn_risk", *CHECKS)
     return lineage.with_summary(predicted, ["customer_id"])
 
 
@@ -265,7 +289,7 @@ def case_customer_churn_model(shop):
     m AS (SELECT l0, r0, distance FROM best UNION ALL SELECT l, r, 0 FROM op JOIN oo ON l = r),
     first AS (SELECT * FROM payments QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY rid) = 1)
     SELECT i.order_id, product_id, price, f.order_id AS order_id_pay, payment_type AS payment_type_pay, f.payment_cents AS payment_cents_pay,
-      round(distance, 6) AS match_distance, 0::BIGINT AS part, 2::BIGINT AS prov_n, 'order_items:' || i.rid || ',payments:' || f.rid AS prov
+      round(distance, 6) AS match_distance, 2::BIGINT AS prov_n, 'order_items:' || i.rid || ',payments:' || f.rid AS prov
     FROM items i JOIN m ON l0 = CAST(product_id AS VARCHAR) JOIN first f ON CAST(f.order_id AS VARCHAR) = r0""",
 )
 def case_fuzzy_join(shop):
@@ -307,7 +331,7 @@ HANDS_ON_NUMBERS = ["installments", "payment_cents", "price_cents", "freight_cen
 
 @query(
     "case_hands_on",
-    f"""WITH {HANDS_ON_SQL} SELECT * EXCLUDE (rid, product_id, trid, customer_id), 0::BIGINT AS part,
+    f"""WITH {HANDS_ON_SQL} SELECT * EXCLUDE (rid, product_id, trid, customer_id), 
     3 + 2 * CAST(rid IS NOT NULL AS BIGINT) + CAST(trid IS NOT NULL AS BIGINT) AS prov_n,
     'orders:' || order_id || coalesce(',order_items:' || rid, '') || ',payments:' || order_id || coalesce(',products:' || product_id, '')
       || coalesce(',translations:' || trid, '') || ',customers:' || customer_id AS prov FROM hands_on""",
@@ -345,10 +369,11 @@ def case_hands_on_features(shop):
     return rounded(t.untracked(), HANDS_ON_NUMBERS)
 
 
-@query("case_hands_on_model")
+@query("case_hands_on_model", test_rows_sql("case_hands_on", "order_id", "order_id, is_late, prov_n, prov"))
 def case_hands_on_model(shop):
     train, test = train_test_split(hands_on(shop).stored(), key="order_id")
-    return Learner(hands_on_steps(), "is_late").fit(train).score(test)
+    predicted = verdicts(Learner(hands_on_steps(), "is_late").fit(train).predict(test), "is_late")
+    return shown(predicted.select("order_id", "is_late", *CHECKS))
 
 
 # -- 6 joiner -----------------------------------------------------------------------------------------------------------------
@@ -411,15 +436,23 @@ def case_joiner(shop):
     return lineage.with_summary(joiner_case(shop), ["order_id"])
 
 
-@query("case_joiner_model")
+@query(
+    "case_joiner_model",
+    "SELECT *, true AS top_ok FROM ("
+    + test_rows_sql("case_joiner", "order_id", "order_id, bad_review, prov_n, prov_min, prov_max, prov_xor") + ")",
+)
 def case_joiner_model(shop):
     numbers = ["total_items", "total_price", "total_freight", "total_payment", "lat", "lng"]
     steps = Branches(
         [StandardScaler(numbers), OneHotEncoder01(["category_product_cat", "region"])], keep=("order_id", "bad_review")
     )
     train, test = train_test_split(joiner_case(shop).stored(), key="order_id")
-    predicted = Learner([steps], "bad_review").fit(train).predict(test)
-    return top_risks(predicted, 100).select("order_id", "bad_review", "prediction", "probability")
+    predicted = verdicts(Learner([steps], "bad_review").fit(train).predict(test), "bad_review").stored()
+    # the hundred highest risks: as many as there are rows at least as high as the last of them, ties left out
+    top = top_risks(predicted, 100).agg(F.count(F.lit(1)).alias("n"), F.min("probability").alias("least")).first()
+    higher = predicted.df.filter(F.col("probability") > F.lit(top["least"])).count() if top["n"] else 0
+    predicted = predicted.with_columns({"top_ok": F.lit(higher <= top["n"] <= 100)})
+    return lineage.with_summary(predicted.select("order_id", "bad_review", *CHECKS, "top_ok"), ["order_id"])
 
 
 # -- 7 leakage-safe target encoding -----------------------------------------------------------------------------------------------
@@ -466,7 +499,7 @@ def target_steps() -> Branches:
     c AS (SELECT category_en, avg(is_late) AS late_rate FROM s WHERE NOT test GROUP BY category_en),
     z AS (SELECT s.*, coalesce(late_rate, (SELECT avg(is_late) FROM s WHERE NOT test)) AS late_rate FROM s LEFT JOIN c ON c.category_en = s.category_en),
     m AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in TARGET_NUMBERS)} FROM z WHERE NOT test)
-    SELECT row_key, is_late, {", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in TARGET_NUMBERS)}, 0::BIGINT AS part,
+    SELECT row_key, is_late, {", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in TARGET_NUMBERS)}, 
     1 + 2 * CAST(rid IS NOT NULL AS BIGINT) + CAST(trid IS NOT NULL AS BIGINT) AS prov_n,
     'orders:' || order_id || coalesce(',order_items:' || rid, '') || coalesce(',products:' || product_id, '') || coalesce(',translations:' || trid, '') AS prov
     FROM z, m WHERE test""",
@@ -476,10 +509,11 @@ def case_target_encoding(shop):
     return rounded(shown(target_steps().fit(train).transform(test)), TARGET_NUMBERS)
 
 
-@query("case_target_encoding_model")
+@query("case_target_encoding_model", f"SELECT row_key, is_late, prov_n, prov, {CHECKS_SQL} FROM ({SQL['case_target_encoding']})")
 def case_target_encoding_model(shop):
     train, test = target_split(shop)
-    return Learner([target_steps()], "is_late").fit(train).score(test)
+    predicted = verdicts(Learner([target_steps()], "is_late").fit(train).predict(test), "is_late")
+    return shown(predicted.select("row_key", "is_late", *CHECKS))
 
 
 # -- 8 spatial join -----------------------------------------------------------------------------------------------------------------
@@ -514,12 +548,12 @@ def case_spatial_join(shop):
     return rounded(lineage.with_summary(spatial(shop), ["order_id"]), ["lat", "lng"])
 
 
-@query("case_spatial_join_model")
+@query("case_spatial_join_model", folds_sql("spatial", 5))
 def case_spatial_join_model(shop):
     def learner():
         return Learner([TableVectorizer(exclude=("order_id", "late"))], "late", iterations=10, depth=6, rate=0.05)
 
-    return compare(shop.spark, {"spatial": cross_validate(spatial(shop), learner, 5, key="order_id")})
+    return fold_checks(compare(shop.spark, {"spatial": cross_validate(spatial(shop), learner, 5, key="order_id")}))
 
 
 # -- 9 squashing scaler -------------------------------------------------------------------------------------------------------------------
@@ -575,24 +609,30 @@ def case_squashing_scaler_features(shop):
     return rounded(features.select("customer_id", *REVENUE_NUMBERS).untracked(), REVENUE_NUMBERS)
 
 
-@query("case_squashing_scaler_model")
+@query(
+    "case_squashing_scaler_model",
+    f"""SELECT customer_id, variant, prov_n, prov_min, prov_max, prov_xor, true AS prediction_ok, true AS score_ok
+    FROM ({SQL['case_squashing_scaler']}), (VALUES ('as_given'), ('leak_free')) v(variant) WHERE {IN_TEST.format(key='customer_id', share=0.25)}""",
+)
 def case_squashing_scaler_model(shop):
     """R² with the target among the features, as in the original case, and without it."""
     t = customer_revenue(shop).with_columns({"target": F.col("sum_payment") / 100}).stored()
     train, test = train_test_split(t, key="customer_id")
-    scores = []
+    rows = []
     for name, left_out in (("as_given", ()), ("leak_free", ("sum_payment", "mean_payment"))):
         numbers = [c for c in REVENUE_NUMBERS if c not in left_out]
         learner = Learner([revenue_steps(numbers, ("customer_id", "target"))], "target", kind="regressor")
-        scores.append(learner.fit(train).score(test).withColumn("variant", F.lit(name)))
-    return scores[0].unionByName(scores[1])
+        predicted = verdicts(learner.fit(train).predict(test), "target", "regressor")
+        predicted = predicted.select("customer_id", "prediction_ok", "score_ok").with_columns({"variant": F.lit(name)})
+        rows.append(lineage.with_summary(predicted, ["customer_id"]))
+    return rows[0].unionByName(rows[1])
 
 
 # -- 10 string encoders -----------------------------------------------------------------------------------------------------------------------
 
 
 def string_case(shop) -> Tracked:
-    """One row per order (per part of its joined texts, for an order of more than 65536 lines)."""
+    """One row per order."""
     orders = shop.orders().with_columns(
         {"is_late": time.flag(F.date_format("delivered", "yyyy-MM-dd") > F.date_format("estimated", "yyyy-MM-dd"))}
     ).select("order_id", "customer_id", "purchase", "is_late")
@@ -600,18 +640,19 @@ def string_case(shop) -> Tracked:
         shop.order_items(), "order_id",
         total_items=("item_id", "count"), total_price=("price_cents", "sum"), total_freight=("freight_cents", "sum"),
     )
-    payments = shop.payments()
-    types = join_text(payments, ["order_id"], "payment_type", "payment_types")
-    paid = aggregate(payments, "order_id", max_installments=("installments", "max"), total_payment=("payment_cents", "sum"))
+    # one aggregate per grain, with the joined texts beside the numbers
+    paid = join_text(
+        shop.payments(), ["order_id"], {"payment_types": "payment_type"},
+        max_installments=F.max("installments"), total_payment=F.sum("payment_cents"),
+    )
     products = join(shop.order_items("product_items"), shop.products(), on="product_id", how="left")
-    categories = join_text(products, ["order_id"], "category", "categories")
-    weights = aggregate(products, "order_id", mean_weight=("weight", "mean"), max_weight=("weight", "max"))
-    texts = join(types, categories.rename({"categories_part": "payment_types_part"}), on=["order_id", "payment_types_part"])
+    bought = join_text(
+        products, ["order_id"], {"categories": "category"}, mean_weight=F.avg("weight"), max_weight=F.max("weight")
+    )
     t = orders
-    for side in (items, texts, paid, weights):
+    for side in (items, paid, bought):
         t = join(t, side, on="order_id", how="left")
-    t = join(t, shop.customers().select("customer_id", "state"), on="customer_id", how="left")
-    return t.drop("payment_types_part")
+    return join(t, shop.customers().select("customer_id", "state"), on="customer_id", how="left")
 
 
 @query(
@@ -634,12 +675,12 @@ def case_string_encoders(shop):
     return rounded(lineage.with_summary(string_case(shop), ["order_id"]), ["mean_weight"])
 
 
-@query("case_string_encoders_scores")
+@query("case_string_encoders_scores", " UNION ALL ".join(folds_sql(name, 2) for name in ("gap", "hash", "text")))
 def case_string_encoders_scores(shop):
     encoders = {
-        "gap": lambda columns: GapEncoder(columns, 10, iterations=5),
-        "hash": lambda columns: MinHashEncoder(columns, 10),
-        "text": lambda columns: TextEncoder(columns, 10, buckets=256),
+        "gap": lambda columns: GapEncoder(columns, 30),
+        "hash": lambda columns: MinHashEncoder(columns, 30),
+        "text": lambda columns: TextEncoder(columns, 30),
     }
     t = string_case(shop).drop("customer_id")
     results = {}
@@ -649,4 +690,4 @@ def case_string_encoders_scores(shop):
             return Learner([vectorizer], "is_late", iterations=10, depth=6, rate=0.05)
 
         results[name] = cross_validate(t, learner, 2, key="order_id")
-    return compare(shop.spark, results)
+    return fold_checks(compare(shop.spark, results))

@@ -18,7 +18,7 @@ def chain(trail: Trail, fact: Tracked, lookup: DataFrame, steps: int, store_ever
     """
     t = fact
     for i in range(steps):
-        side = trail.source(lookup, f"lookup{i}", row_key="lookup_row").select("user_id", "country")
+        side = trail.source(lookup, f"lookup{i}", row_key="lookup_row", unique=True).select("user_id", "country")
         t = join(t, side, on="user_id", how="left").select("category", "user_id", "country")
         if (i + 1) % store_every == 0:
             t = t.stored(f"step{i}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from rowtrail.features.base import Branches, Chain
@@ -17,7 +16,7 @@ from rowtrail.plans.shop import CUSTOMERS_SQL, LINES_SQL, PRODUCTS_SQL
 
 GAPS_SQL = f"""{PRODUCTS_SQL}, gaps AS (SELECT product_id, CASE WHEN product_id % 7 <> 0 THEN CAST(weight AS DOUBLE) END AS weight,
   CASE WHEN product_id % 9 <> 0 THEN category END AS category, brand FROM products)"""
-ONE = "0::BIGINT AS part, 1::BIGINT AS prov_n"
+ONE = "1::BIGINT AS prov_n"
 
 
 def with_gaps(shop):
@@ -122,13 +121,11 @@ def onehot(shop):
 )
 def onehot_sparse(shop):
     t = shop.tracked("part", "p_partkey").select("p_partkey", "p_name")
-    encoder = OneHotEncoder01(["p_name"], max_dense=10).fit(shop.tracked("part", "p_partkey").filter("p_size > 3"))
+    encoder = OneHotEncoder01(["p_name"], form="vector").fit(shop.tracked("part", "p_partkey").filter("p_size > 3"))
     full = shown(encoder.transform(t))
-    bits = vector_to_array("p_name_onehot")
-    place = F.array_position(bits, 1.0)
-    return full.withColumns(
-        {"hot": F.when(place > 0, place - 1), "width": F.size(bits).cast("long")}
-    ).drop("p_name_onehot")
+    # a sparse vector is (type, size, indices, values): it is never unfolded to its full width
+    parts = F.unwrap_udt("p_name_onehot")
+    return full.withColumns({"hot": F.get(parts["indices"], F.lit(0)).cast("long"), "width": parts["size"].cast("long")}).drop("p_name_onehot")
 
 
 @query(
@@ -162,12 +159,12 @@ def column_transform(shop):
     return rounded(shown(steps.fit(t).transform(t)), ["weight"])
 
 
-IN_TEST = "(('0x' || substr(md5('0:' || {key}), 1, 8))::BIGINT % 1000 < {permille})"
+IN_TEST = "(('0x' || substr(md5('0:' || {key}), 1, 8))::BIGINT < 4294967296 * {share})"
 
 
 @query(
     "target_encode",
-    f"""WITH {PRODUCTS_SQL}, s AS (SELECT *, {IN_TEST.format(key='product_id', permille=250)} AS test FROM products),
+    f"""WITH {PRODUCTS_SQL}, s AS (SELECT *, {IN_TEST.format(key='product_id', share=0.25)} AS test FROM products),
     r AS (SELECT category, avg(weight) AS m FROM s WHERE NOT test AND category <> 'PROMO' GROUP BY category),
     g AS (SELECT avg(weight) AS m FROM s WHERE NOT test AND category <> 'PROMO')
     SELECT product_id, s.category, round(coalesce(r.m, (SELECT m FROM g)), 6) AS category_mean, {ONE}, 'products:' || product_id AS prov
@@ -217,16 +214,26 @@ def minhash_documents(shop):
     return shown(MinHashEncoder(["text"], 30).fit(t).transform(t))
 
 
-@query("gap_enc")
+@query("gap_enc", f"SELECT p_partkey AS product_id, true AS weights_ok, {ONE}, 'products:' || p_partkey AS prov FROM part")
 def gap_enc(shop):
+    """Topic weights are not negative and add up to 1."""
     t = shop.products().select("product_id", "product_name")
-    return shown(GapEncoder(["product_name"], 10).fit(t).transform(t))
+    encoder = GapEncoder(["product_name"], 30).fit(t)
+    weights = F.array(*encoder.outputs())
+    total = F.aggregate(weights, F.lit(0.0), lambda x, y: x + y)
+    ok = (F.array_min(weights) >= 0) & (F.abs(total - 1) < 1e-6)
+    return shown(encoder.transform(t).with_columns({"weights_ok": ok}).select("product_id", "weights_ok"))
 
 
-@query("text_enc")
+@query("text_enc", f"SELECT doc_id, true AS variances_fall, {ONE}, 'documents:' || doc_id AS prov FROM documents")
 def text_enc(shop):
+    """The components' variances over the training rows fall from first to last."""
     t = shop.documents().select("doc_id", "text")
-    return shown(TextEncoder(["text"], 10, buckets=256).fit(t).transform(t))
+    encoder = TextEncoder(["text"], 30).fit(t)
+    t = encoder.transform(t).stored("components")
+    spreads = list(t.df.agg(*[F.var_pop(c) for c in encoder.outputs()]).first())
+    fall = all(a >= b * (1 - 1e-6) for a, b in zip(spreads, spreads[1:])) and spreads[0] > 0
+    return shown(t.with_columns({"variances_fall": F.lit(fall)}).select("doc_id", "variances_fall"))
 
 
 @query(
@@ -243,7 +250,7 @@ def vectorize(shop):
 
 @query(
     "split",
-    f"""SELECT o_orderkey, CAST({IN_TEST.format(key='o_orderkey', permille=250)} AS INT) AS in_test, {ONE}, 'orders:' || o_orderkey AS prov FROM orders""",
+    f"""SELECT o_orderkey, CAST({IN_TEST.format(key='o_orderkey', share=0.25)} AS INT) AS in_test, {ONE}, 'orders:' || o_orderkey AS prov FROM orders""",
 )
 def split_query(shop):
     train, test = split.train_test_split(shop.tracked("orders", "o_orderkey").select("o_orderkey"), key="o_orderkey")

@@ -15,7 +15,7 @@ from rowtrail.plans.shop import (
 
 @query(
     "join_inner",
-    f"""WITH {LINES_SQL}, {ITEMS_SQL}, {PRODUCTS_SQL} SELECT i.order_id, i.item_id, i.product_id, category, price_cents, 0::BIGINT AS part,
+    f"""WITH {LINES_SQL}, {ITEMS_SQL}, {PRODUCTS_SQL} SELECT i.order_id, i.item_id, i.product_id, category, price_cents, 
     2::BIGINT AS prov_n, 'order_items:' || rid || ',products:' || p.product_id AS prov
     FROM items i JOIN products p ON i.product_id = p.product_id""",
 )
@@ -26,7 +26,7 @@ def join_inner(shop):
 
 @query(
     "join_left",
-    f"""WITH {LINES_SQL}, {ITEMS_SQL} SELECT o_orderkey AS order_id, o_orderstatus, item_id, price_cents, 0::BIGINT AS part,
+    f"""WITH {LINES_SQL}, {ITEMS_SQL} SELECT o_orderkey AS order_id, o_orderstatus, item_id, price_cents, 
     CASE WHEN rid IS NULL THEN 1::BIGINT ELSE 2::BIGINT END AS prov_n,
     'orders:' || o_orderkey || coalesce(',order_items:' || rid, '') AS prov
     FROM orders LEFT JOIN items ON order_id = o_orderkey""",
@@ -39,7 +39,7 @@ def join_left(shop):
 
 @query(
     "join_right",
-    f"""WITH {REVIEWS_SQL} SELECT o_orderkey AS order_id, review_score, o_orderstatus, 0::BIGINT AS part,
+    f"""WITH {REVIEWS_SQL} SELECT o_orderkey AS order_id, review_score, o_orderstatus, 
     CASE WHEN order_id IS NULL THEN 1::BIGINT ELSE 2::BIGINT END AS prov_n,
     coalesce('reviews:' || order_id || ',', '') || 'orders:' || o_orderkey AS prov
     FROM reviews RIGHT JOIN orders ON order_id = o_orderkey""",
@@ -54,7 +54,7 @@ def join_right(shop):
     "join_keys_renamed",
     f"""WITH {CUSTOMERS_SQL}, {GEO_SQL},
     f AS (SELECT * FROM geo QUALIFY row_number() OVER (PARTITION BY geo_zip ORDER BY gid) = 1)
-    SELECT customer_id, zip, geo_zip, lat, lng, city, 0::BIGINT AS part, CASE WHEN gid IS NULL THEN 1::BIGINT ELSE 2::BIGINT END AS prov_n,
+    SELECT customer_id, zip, geo_zip, lat, lng, city, CASE WHEN gid IS NULL THEN 1::BIGINT ELSE 2::BIGINT END AS prov_n,
     'customers:' || customer_id || coalesce(',geolocation:' || gid, '') AS prov
     FROM customers LEFT JOIN f ON zip = geo_zip""",
 )
@@ -67,7 +67,7 @@ def join_keys_renamed(shop):
 @query(
     "join_chain",
     f"""WITH {LINES_SQL}, {ITEMS_SQL}, {PRODUCTS_SQL}, {CUSTOMERS_SQL}, {TRANSLATIONS_SQL}
-    SELECT o_orderkey AS order_id, item_id, p.category, category_en, state, 0::BIGINT AS part,
+    SELECT o_orderkey AS order_id, item_id, p.category, category_en, state, 
     2 + CAST(rid IS NOT NULL AS BIGINT) * 2 + CAST(trid IS NOT NULL AS BIGINT) AS prov_n,
     'orders:' || o_orderkey || coalesce(',order_items:' || rid || ',products:' || p.product_id, '') || coalesce(',translations:' || trid, '')
       || ',customers:' || customer_id AS prov
@@ -86,7 +86,7 @@ def join_chain(shop):
 @query(
     "join_same_source",
     f"""WITH {PRODUCTS_SQL}
-    SELECT a.product_id, b.product_id AS product_id_b, a.weight, 0::BIGINT AS part,
+    SELECT a.product_id, b.product_id AS product_id_b, a.weight, 
     CASE WHEN a.product_id = b.product_id THEN 1::BIGINT ELSE 2::BIGINT END AS prov_n,
     CASE WHEN a.product_id = b.product_id THEN 'products:' || a.product_id
       ELSE 'products:' || least(a.product_id, b.product_id) || ',products:' || greatest(a.product_id, b.product_id) END AS prov
@@ -100,7 +100,7 @@ def join_same_source(shop):
 
 @query(
     "join_repeated_lookup",
-    """SELECT order_id, state, state_b, state_c, 0::BIGINT AS part, 2::BIGINT AS prov_n, prov FROM (
+    """SELECT order_id, state, state_b, state_c, 2::BIGINT AS prov_n, prov FROM (
     SELECT o_orderkey AS order_id, c_mktsegment AS state, c_mktsegment AS state_b, c_mktsegment AS state_c,
     'orders:' || o_orderkey || ',customers:' || c_custkey AS prov FROM orders JOIN customer ON c_custkey = o_custkey)""",
 )
@@ -132,8 +132,8 @@ def join_on_agg(shop):
 @query(
     "join_category_stats",
     f"""WITH {PRODUCTS_SQL}, s AS (SELECT category, avg(weight) AS mean_weight FROM products GROUP BY category)
-    SELECT product_id, p.category, round(mean_weight, 6) AS mean_weight, part, prov_n, prov FROM
-    (SELECT product_id, category, 0::BIGINT AS part, 1::BIGINT AS prov_n, 'products:' || product_id AS prov FROM products) p
+    SELECT product_id, p.category, round(mean_weight, 6) AS mean_weight, prov_n, prov FROM
+    (SELECT product_id, category, 1::BIGINT AS prov_n, 'products:' || product_id AS prov FROM products) p
     LEFT JOIN s ON s.category = p.category""",
 )
 def join_category_stats(shop):

@@ -8,7 +8,8 @@ from rowtrail import aggregate, join
 from rowtrail.operators import lineage
 from rowtrail.plans.chain import chain, plain_chain, shop_chain_inputs
 from rowtrail.plans.registry import query, shown
-from rowtrail.plans.shop import ITEMS_SQL, LINES_SQL, SUMMARY_SQL, packed
+from rowtrail.plans.shop import ITEMS_SQL, LINE_ORDER, LINES_SQL, SUMMARY_SQL, packed
+from rowtrail.sources.numbering import number_rows
 
 MASK = (1 << 48) - 1
 DECODED = f"(pid >> 48)::INT AS table_id, pid & {MASK} AS row_id"
@@ -74,7 +75,7 @@ def compose_edges(shop):
 @query(
     "consolidate",
     f"""WITH {LINES_SQL}, a AS (SELECT l_orderkey, count(*) AS n, string_agg('lineitem:' || rid, ',' ORDER BY rid) AS toks FROM lines GROUP BY 1)
-    SELECT o_orderkey, n, 0::BIGINT AS part, 1 + coalesce(n, 0) AS prov_n, 'orders:' || o_orderkey || coalesce(',' || toks, '') AS prov
+    SELECT o_orderkey, n, 1 + coalesce(n, 0) AS prov_n, 'orders:' || o_orderkey || coalesce(',' || toks, '') AS prov
     FROM orders LEFT JOIN a ON l_orderkey = o_orderkey""",
 )
 def consolidate(shop):
@@ -86,20 +87,51 @@ def consolidate(shop):
 
 @query(
     "consolidate_hot_groups",
-    f"""WITH {LINES_SQL}, n AS (SELECT l_returnflag, count(*) AS n FROM lines GROUP BY 1),
-    p AS (SELECT l_returnflag, n, CASE WHEN n > 1024 THEN (rid >> 10) + 1 ELSE 0 END AS part, rid FROM lines JOIN n USING (l_returnflag))
-    SELECT l_returnflag, n, part, count(*) AS prov_n, string_agg('lineitem:' || rid, ',' ORDER BY rid) AS prov FROM p GROUP BY 1, 2, 3""",
+    f"""WITH {LINES_SQL},
+    p AS (SELECT l_returnflag, (row_number() OVER (PARTITION BY l_returnflag ORDER BY rid) - 1) // 1024 AS part, rid FROM lines)
+    SELECT l_returnflag, part, count(*) AS prov_n, min(rid) AS first, max(rid) AS last, bit_xor(rid) AS prov_xor, sum(rid)::BIGINT AS prov_sum
+    FROM p GROUP BY 1, 2""",
 )
 def consolidate_hot_groups(shop):
-    # three groups share the whole table: each comes in blocks of at most 1024 row numbers, nothing is left out
+    # three groups share the whole table: each comes in parts of at most 1024 ids, nothing is left out
     t = aggregate(shop.lines(), "l_returnflag", n=("l_linenumber", "count"))
-    full = lineage.decoded(t, part_ids=1024)
-    return full.select(
-        "l_returnflag", "n", F.col("_part").alias("part"), F.size("_prov").cast("long").alias("prov_n"),
-        F.array_join("_prov", ",").alias("prov"),
+    ids = F.col("_prov")
+    return lineage.set_parts(t, ["l_returnflag"], part_ids=1024).select(
+        "l_returnflag", F.col("_part").alias("part"), F.size(ids).cast("long").alias("prov_n"), ids[0].alias("first"),
+        F.element_at(ids, -1).alias("last"),
+        F.aggregate(ids, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias("prov_xor"),
+        F.aggregate(ids, F.lit(0).cast("long"), lambda x, y: x + y).alias("prov_sum"),
     )
 
 
+@query(
+    "edges_factored",
+    f"""WITH {LINES_SQL}, g AS (SELECT DISTINCT l_returnflag FROM lines),
+    r AS (SELECT o_orderkey, 0 AS table_id, o_orderkey AS row_id, NULL AS flag FROM orders
+      UNION ALL SELECT o_orderkey, NULL, NULL, l_returnflag FROM orders JOIN g ON l_returnflag = substr('ANR', 1 + (o_orderkey % 3)::INT, 1)),
+    m AS (SELECT NULL::BIGINT AS o_orderkey, 1 AS table_id, rid AS row_id, l_returnflag AS flag FROM lines)
+    SELECT * FROM r UNION ALL SELECT * FROM m""",
+)
+def edges_factored(shop):
+    # every order refers to one of three groups that share the whole table: rows and members, not rows times members
+    orders = shop.tracked("orders", "o_orderkey").select("o_orderkey")
+    orders = orders.with_columns({"flag": F.substring(F.lit("ANR"), F.col("o_orderkey") % 3 + 1, F.lit(1))})
+    lines = aggregate(shop.lines(), "l_returnflag", n=("l_linenumber", "count"))
+    rows, members = lineage.factored(join(orders, lines, left_on="flag", right_on="l_returnflag", how="left"), ["o_orderkey"])
+    both = rows.unionByName(members.withColumn("o_orderkey", F.lit(None).cast("long")))
+    return both.withColumn("flag", F.get_json_object(F.substring_index("group", ":", -2), "$.l_returnflag")).drop("group")
+
+
+@query(
+    "agg_global_filtered",
+    f"""WITH {LINES_SQL} SELECT n, (pid >> 48)::INT AS table_id, pid & 281474976710655 AS row_id
+    FROM (SELECT count(*) AS n FROM lines) JOIN (SELECT {packed(0, 'rid')} AS pid FROM lines) ON n > 0""",
+)
+def agg_global_filtered(shop):
+    t = aggregate(shop.lines(), n=("l_linenumber", "count")).with_columns({"twice": F.col("n") * 2})
+    return lineage.edges(t.filter("twice > 0"), ["n"])
+
+
 @query(
     "footprint",
     f"""WITH {TWO_LEVELS}, n AS (SELECT customer_id, (pid >> 48)::INT AS table_id, count(*) AS n FROM e GROUP BY 1, 2)
@@ -109,7 +141,7 @@ def footprint(shop):
     return lineage.footprint(two_levels(shop))
 
 
-@query("invariance", "SELECT 0::BIGINT AS n_differences")
+@query("invariance", "SELECT count(*) AS n_rows, 0::BIGINT AS n_differences FROM orders WHERE o_orderstatus = 'F'")
 def invariance(shop):
     orders, items = shop.table("orders"), shop.numbered_lines
     plain = (
@@ -120,18 +152,20 @@ def invariance(shop):
     lines = aggregate(shop.lines(), "l_orderkey", n=("l_linenumber", "count"), last=("l_shipdate", "max"))
     t = join(lines, shop.tracked("orders", "o_orderkey"), left_on="l_orderkey", right_on="o_orderkey", how="right")
     t = t.filter("o_orderstatus = 'F'").select("o_orderkey", "n", "last")
-    return lineage.differences(t.untracked(), plain).agg(F.count(F.lit(1)).alias("n_differences"))
+    return compared(t.untracked(), plain)
+
+
+def compared(a, b):
+    """How many rows were compared, of the first frame, and how many differ."""
+    differing = lineage.differences(a, b).agg(F.count(F.lit(1)).alias("n_differences"))
+    return a.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", differing.scalar().alias("n_differences"))
 
 
-@query("determinism", "SELECT 0::BIGINT AS n_differences")
+@query("determinism", "SELECT count(*) AS n_rows, 0::BIGINT AS n_differences FROM lineitem")
 def determinism(shop):
-    first = lineage.edges(two_levels(shop), ["customer_id"])
-    # the same question asked of the same rows, spread and read in another way
-    again = type(shop)(shop.spark, shop.folder)
-    shuffled = again.numbered_lines.repartition(13)
-    again.__dict__["numbered_lines"] = shuffled
-    second = lineage.edges(two_levels(again), ["customer_id"])
-    return lineage.differences(first, second).agg(F.count(F.lit(1)).alias("n_differences"))
+    # the raw table is numbered a second time, dealt out and ordered in another way
+    again = number_rows(shop.table("lineitem").repartition(13), LINE_ORDER, "line_row")
+    return compared(again, shop.numbered_lines)
 
 
 CHAIN_STEPS = 10

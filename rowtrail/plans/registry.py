@@ -33,11 +33,10 @@ def query(name: str, sql: str | None = None):
 
 
 def shown(t: Tracked) -> DataFrame:
-    """The data with its decoded lineage as text: ``prov_n`` ids in this ``part``, ``prov`` the tokens."""
+    """The data with its decoded lineage as text: ``prov_n`` ids, ``prov`` the tokens."""
     full = lineage.decoded(t)
     return full.select(
         *t.columns,
-        F.col("_part").alias("part"),
         F.size("_prov").cast("long").alias("prov_n"),
         F.array_join("_prov", ",").alias("prov"),
     )

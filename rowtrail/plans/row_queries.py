@@ -18,7 +18,7 @@ from rowtrail.sources.storage import shared_folder
 
 @query(
     "src_ids",
-    f"""WITH {LINES_SQL} SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate, 0::BIGINT AS part, 1::BIGINT AS prov_n,
+    f"""WITH {LINES_SQL} SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate, 1::BIGINT AS prov_n,
     'lineitem:' || rid AS prov FROM lines""",
 )
 def src_ids(shop):
@@ -41,24 +41,24 @@ def src_two_names(shop):
 
 @query(
     "src_csv",
-    """SELECT o_orderkey, o_orderstatus, o_orderdate, 0::BIGINT AS part, 1::BIGINT AS prov_n,
+    """SELECT o_orderkey, o_orderstatus, o_orderdate, 1::BIGINT AS prov_n,
     'orders_csv:' || o_orderkey AS prov FROM orders""",
 )
 def src_csv(shop):
     path = f"{shared_folder(shop.spark)}/orders-csv-{uuid.uuid4().hex}"
     write_csv(shop.table("orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), path)
     schema = "o_orderkey bigint, o_orderstatus string, o_orderdate timestamp_ntz"
-    return shown(shop.trail.source(read_csv(shop.spark, path, schema), "orders_csv", row_key="o_orderkey"))
+    return shown(shop.trail.source(read_csv(shop.spark, path, schema), "orders_csv", row_key="o_orderkey", unique=True))
 
 
 @query(
     "src_sample",
-    """SELECT o_orderkey, o_orderstatus, 0::BIGINT AS part, 1::BIGINT AS prov_n, 'orders:' || o_orderkey AS prov FROM orders
+    """SELECT o_orderkey, o_orderstatus, 1::BIGINT AS prov_n, 'orders:' || o_orderkey AS prov FROM orders
     WHERE ('0x' || substr(md5('7:' || o_orderkey), 1, 8))::BIGINT < CAST(floor(0.01 * 4294967296) AS BIGINT)""",
 )
 def src_sample(shop):
     df = sample_rows(shop.table("orders"), "o_orderkey", 0.01, seed=7)
-    return shown(shop.trail.source(df, "orders", row_key="o_orderkey").select("o_orderkey", "o_orderstatus"))
+    return shown(shop.trail.source(df, "orders", row_key="o_orderkey", unique=True).select("o_orderkey", "o_orderstatus"))
 
 
 @query(
@@ -68,7 +68,7 @@ def src_sample(shop):
 def decode_tokens(shop):
     # a table number above 32767 sets the sign bit of the packed id
     trail = Trail([f"tab{i}" for i in range(40_001)])
-    t = trail.source(shop.table("part").select("p_partkey"), "tab40000", row_key="p_partkey")
+    t = trail.source(shop.table("part").select("p_partkey"), "tab40000", row_key="p_partkey", unique=True)
     pid = F.col(t.hidden[0])
     names = {40_000: trail.table_name(40_000)}
     return t.df.select(
@@ -99,7 +99,7 @@ def prov_nonempty(shop):
 
 @query(
     "select_prov",
-    """SELECT c_custkey AS customer_id, c_mktsegment AS state, 0::BIGINT AS part, 1::BIGINT AS prov_n,
+    """SELECT c_custkey AS customer_id, c_mktsegment AS state, 1::BIGINT AS prov_n,
     'customer:' || c_custkey AS prov FROM customer""",
 )
 def select_prov(shop):
@@ -109,7 +109,7 @@ def select_prov(shop):
 
 @query(
     "filter_prov",
-    """SELECT o_orderkey, o_orderstatus, o_orderpriority, 0::BIGINT AS part, 1::BIGINT AS prov_n, 'orders:' || o_orderkey AS prov
+    """SELECT o_orderkey, o_orderstatus, o_orderpriority, 1::BIGINT AS prov_n, 'orders:' || o_orderkey AS prov
     FROM orders WHERE o_orderstatus = 'F' AND o_custkey >= 100 AND o_custkey <= 900 AND o_totalprice > 100000
     AND o_orderpriority IN ('1-URGENT', '2-HIGH')""",
 )
@@ -122,7 +122,7 @@ def filter_prov(shop):
 
 @query(
     "filter_membership",
-    """SELECT o_orderkey, o_custkey, 0::BIGINT AS part, 1::BIGINT AS prov_n, 'orders:' || o_orderkey AS prov
+    """SELECT o_orderkey, o_custkey, 1::BIGINT AS prov_n, 'orders:' || o_orderkey AS prov
     FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')""",
 )
 def filter_membership(shop):
@@ -134,7 +134,7 @@ def filter_membership(shop):
     "assign_prov",
     f"""WITH {ORDERS_SQL} SELECT order_id, order_status, CAST(coalesce(delivered > estimated, false) AS INT) AS is_late,
     CAST(coalesce(strftime(delivered, '%Y-%m-%d') > strftime(estimated, '%Y-%m-%d'), false) AS INT) AS is_late_text,
-    order_id AS order_copy, 0::BIGINT AS part, 1::BIGINT AS prov_n, 'orders:' || order_id AS prov FROM orders_r""",
+    order_id AS order_copy, 1::BIGINT AS prov_n, 'orders:' || order_id AS prov FROM orders_r""",
 )
 def assign_prov(shop):
     t = shop.orders().with_columns(
@@ -158,7 +158,7 @@ def assign_prov(shop):
     g AS (SELECT avg(review_score) AS m FROM reviews)
     SELECT order_id, coalesce(review_score, 0) AS score_zero, coalesce(CAST(review_score AS VARCHAR), 'unknown') AS score_text,
       round(coalesce(CAST(review_score AS DOUBLE), (SELECT m FROM g)), 6) AS score_mean, round(ratio, 6) AS ratio,
-      CAST(coalesce(review_score <= 2, false) AS INT) AS bad, 0::BIGINT AS part,
+      CAST(coalesce(review_score <= 2, false) AS INT) AS bad, 
       CASE WHEN review_score IS NULL THEN 1::BIGINT ELSE 2::BIGINT END AS prov_n,
       'orders:' || order_id || CASE WHEN review_score IS NULL THEN '' ELSE ',reviews:' || order_id END AS prov
     FROM j WHERE ratio IS NOT NULL AND delivered IS NOT NULL""",
@@ -179,7 +179,7 @@ def clean_nulls(shop):
 
 @query(
     "first_per_key",
-    f"""WITH {LINES_SQL} SELECT l_orderkey, l_partkey, l_quantity, 0::BIGINT AS part, 1::BIGINT AS prov_n, 'lineitem:' || rid AS prov
+    f"""WITH {LINES_SQL} SELECT l_orderkey, l_partkey, l_quantity, 1::BIGINT AS prov_n, 'lineitem:' || rid AS prov
     FROM lines QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY rid) = 1""",
 )
 def first_per_key(shop):
@@ -188,7 +188,7 @@ def first_per_key(shop):
 
 @query(
     "head_prov",
-    f"""WITH {LINES_SQL} SELECT l_orderkey, l_partkey, 0::BIGINT AS part, 1::BIGINT AS prov_n, 'lineitem:' || rid AS prov
+    f"""WITH {LINES_SQL} SELECT l_orderkey, l_partkey, 1::BIGINT AS prov_n, 'lineitem:' || rid AS prov
     FROM lines WHERE l_quantity > 25 ORDER BY rid LIMIT 10""",
 )
 def head_prov(shop):
@@ -207,7 +207,7 @@ def freq_table(shop):
 
 @query(
     "user_operator",
-    """SELECT o_orderkey, o_totalprice, 0::BIGINT AS part, 1::BIGINT AS prov_n, 'orders:' || o_orderkey AS prov FROM orders
+    """SELECT o_orderkey, o_totalprice, 1::BIGINT AS prov_n, 'orders:' || o_orderkey AS prov FROM orders
     WHERE o_totalprice > 400000""",
 )
 def user_operator(shop):
@@ -219,7 +219,7 @@ def user_operator(shop):
 @query(
     "ts_parse",
     """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate END AS parsed,
-    0::BIGINT AS part, 1::BIGINT AS prov_n, 'orders:' || o_orderkey AS prov FROM orders""",
+    1::BIGINT AS prov_n, 'orders:' || o_orderkey AS prov FROM orders""",
 )
 def ts_parse(shop):
     raw = F.when(F.col("o_orderkey") % 13 == 0, F.lit("not a date")).otherwise(
@@ -235,7 +235,7 @@ def ts_parse(shop):
     f"""WITH {ORDERS_SQL}, e AS (SELECT order_id, delivered, estimated + INTERVAL (order_id % 24) HOUR AS due FROM orders_r)
     SELECT order_id, CAST(floor(date_diff('microsecond', due, delivered) / 86400000000.0) AS BIGINT) AS days,
     round(date_diff('microsecond', due, delivered) / 86400000000.0, 6) AS days_exact,
-    0::BIGINT AS part, 1::BIGINT AS prov_n, 'orders:' || order_id AS prov FROM e""",
+    1::BIGINT AS prov_n, 'orders:' || order_id AS prov FROM e""",
 )
 def delay_days(shop):
     t = shop.orders().with_columns(
@@ -254,7 +254,7 @@ def delay_days(shop):
     "dt_parts",
     """SELECT event_id, CAST(year(ts) AS INT) AS ts_year, CAST(month(ts) AS INT) AS ts_month, CAST(day(ts) AS INT) AS ts_day,
     CAST(hour(ts) AS INT) AS ts_hour, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS ts_total_seconds,
-    0::BIGINT AS part, 1::BIGINT AS prov_n, 'events:' || event_id AS prov FROM events""",
+    1::BIGINT AS prov_n, 'events:' || event_id AS prov FROM events""",
 )
 def dt_parts(shop):
     t = shop.tracked("events", "event_id").select("event_id", "ts")

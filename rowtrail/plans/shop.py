@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowtrail.operators.tracked import Tracked
 from rowtrail.sources.numbering import number_rows
-from rowtrail.sources.readers import read_table, spread
+from rowtrail.sources.readers import read_table
 from rowtrail.sources.storage import store
 from rowtrail.sources.trail import Trail
 
@@ -27,26 +27,18 @@ ESTIMATED_DAYS = 720
 _numbered: dict[tuple[str, str], DataFrame] = {}
 
 
-def tune(spark: SparkSession) -> None:
-    """Adaptive execution with skew splitting, also where it costs an extra shuffle."""
-    for key in ("enabled", "coalescePartitions.enabled", "skewJoin.enabled", "forceOptimizeSkewedJoin"):
-        spark.conf.set(f"spark.sql.adaptive.{key}", "true")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 class Shop:
     """Readers of the given tables and tracked frames of the roles, all in one trail."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.trail = spark, folder, Trail()
-        tune(spark)
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
 
     def tracked(self, name: str, key: str, as_name: str | None = None) -> Tracked:
         """A table whose ``key`` counts its rows from 0."""
-        return self.trail.source(self.table(name), as_name or name, row_key=key)
+        return self.trail.source(self.table(name), as_name or name, row_key=key, unique=True)
 
     @cached_property
     def numbered_lines(self) -> DataFrame:
@@ -57,10 +49,10 @@ class Shop:
         return _numbered[key]
 
     def lines(self, as_name: str = "lineitem") -> Tracked:
-        return self.trail.source(self.numbered_lines, as_name, row_key="line_row").drop("line_row")
+        return self.trail.source(self.numbered_lines, as_name, row_key="line_row", unique=True).drop("line_row")
 
     def documents(self) -> Tracked:
-        return self.trail.source(spread(self.table("documents")), "documents", row_key="doc_id")
+        return self.trail.source(self.table("documents"), "documents", row_key="doc_id", unique=True)
 
     # -- roles ---------------------------------------------------------------------------------------
 
@@ -71,7 +63,7 @@ class Shop:
             F.col("c_nationkey").cast("long").alias("zip"),
             F.col("c_mktsegment").alias("state"),
         )
-        return self.trail.source(df, "customers", row_key="customer_id")
+        return self.trail.source(df, "customers", row_key="customer_id", unique=True)
 
     def orders(self, as_name: str = "orders") -> Tracked:
         """order_id, customer_id, order_status, purchase, estimated, delivered (NULL without lines)."""
@@ -85,7 +77,7 @@ class Shop:
             F.col("o_orderdate").alias("purchase"),
             (F.col("o_orderdate") + F.expr(f"INTERVAL {ESTIMATED_DAYS} DAYS")).alias("estimated"),
         )
-        return self.trail.source(df.join(delivered, "order_id", "left"), as_name, row_key="order_id")
+        return self.trail.source(df.join(delivered, "order_id", "left"), as_name, row_key="order_id", unique=True)
 
     def order_items(self, as_name: str = "order_items") -> Tracked:
         """order_id, item_id, product_id, price and freight; money in whole cents too; item_row, the row number."""
@@ -99,7 +91,7 @@ class Shop:
             cents("l_extendedprice * l_tax").alias("freight_cents"),
             F.col("line_row").alias("item_row"),
         )
-        return self.trail.source(df, as_name, row_key="item_row")
+        return self.trail.source(df, as_name, row_key="item_row", unique=True)
 
     def payments(self, as_name: str = "payments") -> Tracked:
         """order_id, payment_type, installments, payment_value; the value in whole cents too."""
@@ -112,7 +104,7 @@ class Shop:
             F.col("l_shipdate").alias("paid"),
             "line_row",
         )
-        return self.trail.source(df, as_name, row_key="line_row").drop("line_row")
+        return self.trail.source(df, as_name, row_key="line_row", unique=True).drop("line_row")
 
     def order_payments(self) -> Tracked:
         """order_id, payment_type, installments, payment_cents: the one payment of each order."""
@@ -122,14 +114,14 @@ class Shop:
             (1 + F.col("o_orderkey") % 6).alias("installments"),
             cents("o_totalprice").alias("payment_cents"),
         )
-        return self.trail.source(df, "payments", row_key="order_id")
+        return self.trail.source(df, "payments", row_key="order_id", unique=True)
 
     def reviews(self) -> Tracked:
         """order_id, review_score 1 to 5; every seventh order has none."""
         df = self.table("orders").filter("o_orderkey % 7 <> 0").select(
             F.col("o_orderkey").alias("order_id"), (1 + F.col("o_orderkey") % 5).alias("review_score")
         )
-        return self.trail.source(df, "reviews", row_key="order_id")
+        return self.trail.source(df, "reviews", row_key="order_id", unique=True)
 
     def products(self) -> Tracked:
         """product_id, category, brand, weight, product_name."""
@@ -140,7 +132,7 @@ class Shop:
             F.col("p_size").cast("long").alias("weight"),
             F.col("p_name").alias("product_name"),
         )
-        return self.trail.source(df, "products", row_key="product_id")
+        return self.trail.source(df, "products", row_key="product_id", unique=True)
 
     def translations(self) -> Tracked:
         """category, category_en for all categories but the last one in the alphabet; numbered in that order."""
@@ -163,7 +155,7 @@ class Shop:
             F.col("n_name").alias("city"),
             F.col("r_name").alias("region"),
         )
-        return self.trail.source(df, "geolocation", row_key="geo_id").drop("geo_id")
+        return self.trail.source(df, "geolocation", row_key="geo_id", unique=True).drop("geo_id")
 
 
 def cents(expression: str):

@@ -1,4 +1,4 @@
-"""Files in, files out, row sampling and the synthetic benchmark tables."""
+"""Files in, files out, row sampling."""
 
 from __future__ import annotations
 
@@ -17,10 +17,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: a table of fewer file splits than cores is dealt out to all cores.
-    A table of many splits, thus every large one, is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """For work that is heavy per row: dealt out evenly to all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -40,26 +38,3 @@ def hash_number(key: Column, seed: int | str = 0) -> Column:
 def sample_rows(df: DataFrame, key: str, fraction: float, seed: int | str = 0) -> DataFrame:
     """Keep about ``fraction`` of the rows, the same ones in every run: decided by the row's own key."""
     return df.filter(hash_number(F.col(key), seed) < F.lit(int(fraction * (1 << 32))))
-
-
-def make_dataset(spark: SparkSession, n_rows: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Fact table (user_id, category, value, text) and a lookup of n/10 users, generated in the executors."""
-    users = max(1, n_rows // 10)
-
-    def pick(values: list[str], salt: int) -> Column:
-        index = (F.rand(seed + salt) * len(values)).cast("int") + 1
-        return F.element_at(F.array(*[F.lit(v) for v in values]), index)
-
-    main = spark.range(n_rows).select(
-        F.col("id").alias("row"),
-        (F.rand(seed + 1) * users).cast("long").alias("user_id"),
-        pick(["A", "B", "C", "D"], 2).alias("category"),
-        F.randn(seed + 3).alias("value"),
-        F.concat(F.lit("token_"), (F.rand(seed + 4) * 100).cast("int").cast("string")).alias("text"),
-    )
-    lookup = spark.range(users).select(
-        F.col("id").alias("user_id"),
-        pick(["FR", "DE", "US", "UK"], 5).alias("country"),
-        pick(["S1", "S2", "S3"], 6).alias("segment"),
-    )
-    return main, lookup

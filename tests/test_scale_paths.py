@@ -8,14 +8,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowtrail import Trail, aggregate, join, register_operator
-from rowtrail.features.encoding import OneHotEncoder01, OrdinalEncoder, TargetEncoder, embed_with_model
+from rowtrail.features.encoding import (
+    MinHashEncoder, OneHotEncoder01, OrdinalEncoder, TableVectorizer, TargetEncoder, embed_with_model,
+)
 from rowtrail.features.scaling import RobustScaler, SquashingScaler, StandardScaler
 from rowtrail.functions import time
 from rowtrail.functions.text import min_hashes, trigram_set
 from rowtrail.operators import lineage, split
-from rowtrail.operators.fuzzy import best_matches
-from rowtrail.operators.text_join import aggregate_python, join_text
-from rowtrail.sources.readers import make_dataset, read_csv, write_csv, write_parquet
+from rowtrail.operators.fuzzy import best_matches, fuzzy_join
+from rowtrail.operators.text_join import aggregate_python, join_text, text_parts
+from rowtrail.sources.readers import read_csv, write_csv, write_parquet
 
 
 @pytest.fixture
@@ -31,25 +33,103 @@ def hot(source):
 
 def test_hot_groups_come_in_parts_and_stay_whole(hot):
     t = aggregate(hot(Trail()), "k", n=("v", "count"))
-    rows = lineage.consolidate(t, part_ids=8).collect()
-    hot_parts = [r for r in rows if r["k"] == "hot"]
-    assert sorted(r["_part"] for r in hot_parts) == [1, 2, 3, 4, 5]
-    assert all(len(r["_prov"]) <= 8 for r in rows)
-    assert sorted(p for r in hot_parts for p in r["_prov"]) == list(range(40))
-    assert [r["_prov"] for r in rows if r["k"] == "cold"] == [[40, 41, 42]]
-    assert [r["_part"] for r in rows if r["k"] == "cold"] == [0]
+    rows = lineage.set_parts(t, ["k"], part_ids=8).collect()
+    hot_parts = sorted((r["_part"], r["_prov"]) for r in rows if r["k"] == "hot")
+    assert hot_parts == [(i, list(range(8 * i, 8 * i + 8))) for i in range(5)]
+    assert [(r["_part"], r["_prov"]) for r in rows if r["k"] == "cold"] == [(0, [40, 41, 42])]
+    with pytest.raises(ValueError, match="set_parts"):
+        lineage.consolidate(t, part_ids=8)
+    assert {r["k"]: r["_prov"] for r in lineage.consolidate(t).collect()} == {"hot": list(range(40)), "cold": [40, 41, 42]}
 
 
 def test_text_of_hot_groups(hot):
     t = hot(Trail()).with_columns({"v": F.when(F.col("v") != 1, F.col("v").cast("string"))})
-    rows = join_text(t, ["k"], "v", "text", part_rows=8).df.collect()
-    hot_text = " ".join(r["text"] for r in sorted(rows, key=lambda r: r["text_part"]) if r["k"] == "hot")
-    assert hot_text == " ".join(str(i) for i in range(40) if i != 1)
+    rows = text_parts(t, ["k"], {"text": "v"}, part_rows=8).collect()
+    parts = sorted((r["_part"], r["text"]) for r in rows if r["k"] == "hot")
+    whole = " ".join(str(i) for i in range(40) if i != 1)
+    assert [p for p, _ in parts] == [0, 1, 2, 3, 4] and " ".join(x for _, x in parts) == whole
     assert [r["text"] for r in rows if r["k"] == "cold"] == ["0 2"]
-    empty = join_text(t.filter("v is null"), ["k"], "v", "text")
+    with pytest.raises(ValueError, match="text_parts"):
+        join_text(t, ["k"], {"text": "v"}, part_rows=8)
+    assert {r["k"]: r["text"] for r in join_text(t, ["k"], {"text": "v"}).df.collect()} == {"hot": whole, "cold": "0 2"}
+    empty = join_text(t.filter("v is null"), ["k"], {"text": "v"})
     assert {r["text"] for r in empty.df.collect()} == {""}
 
 
+def test_parts_of_a_fan_out(source):
+    """One left row meets many right rows, some rows meet none: parts stay bounded and whole."""
+    trail = Trail()
+    left = source(trail, "l", "k bigint, g string", (1, "a"), (2, "a"), (3, "b"))
+    right = source(trail, "r", "k bigint, v string", *[(1, str(i)) for i in range(40)])
+    t = join(left, right, on="k", how="left")
+    rows = text_parts(t, ["g"], {"v": "v", "g2": "g"}, part_rows=8).collect()
+    parts = sorted((r["_part"], r["v"], r["g2"]) for r in rows if r["g"] == "a")
+    assert [p for p, _, _ in parts] == list(range(6)) and max(len(x.split()) for _, x, _ in parts) <= 8
+    assert " ".join(x for _, x, _ in parts).split() == [str(i) for i in range(40)]
+    assert sum(len(x.split()) for _, _, x in parts) == 41
+    assert [(r["_part"], r["v"]) for r in rows if r["g"] == "b"] == [(0, "")]
+
+
+def test_two_trails_never_meet(source):
+    a = source(Trail(), "a", "k bigint", (1,))
+    b = source(Trail(), "b", "k bigint, v string", (1, "x"))
+    with pytest.raises(ValueError, match="trail"):
+        join(a, b, on="k")
+    with pytest.raises(ValueError, match="trail"):
+        fuzzy_join(a.rename({"k": "l"}), b, "l", "k")
+
+
+@pytest.mark.parametrize("bad", [1 << 48, -1, None])
+def test_row_numbers_out_of_range(spark, bad):
+    t = Trail().source(spark.createDataFrame([(bad, 1)], "k bigint, v int"), "t", row_key="k")
+    assert t.untracked().select("v").count() == 1
+    with pytest.raises(Exception, match="row number"):
+        t.df.collect()
+
+
+def test_repeated_row_keys_count_once(spark):
+    t = Trail().source(spark.createDataFrame([(3, "a"), (3, "a")], "k bigint, g string"), "t", row_key="k")
+    t = aggregate(t, "g", n=("k", "count"))
+    assert [tuple(r) for r in lineage.edges(t, ["g"]).collect()] == [("a", 0, 3)]
+    assert lineage.summary(t, ["g"]).first()["prov_n"] == 1
+
+
+def test_whole_frame_aggregates_answer_after_filters(source):
+    trail = Trail()
+    t = aggregate(source(trail, "a", "v bigint", (1,), (2,)), total=("v", "sum"))
+    kept = t.with_columns({"twice": F.col("total") * 2}).filter("twice > 1")
+    assert sorted(tuple(r) for r in lineage.edges(kept, ["total"]).collect()) == [(3, 0, 0), (3, 0, 1)]
+    assert lineage.edges(t.filter("total > 5"), ["total"]).count() == 0
+    b = source(trail, "b", "total bigint, x bigint", (3, 1), (3, 2))
+    both = join(b, t, on="total")
+    with pytest.raises(ValueError, match="factored"):
+        lineage.edges(both, ["x"])
+    rows, members = lineage.factored(both, ["x"])
+    assert rows.count() == 4 and members.count() == 2
+    joined = rows.filter("group is not null").drop("table_id", "row_id").join(members, "group")
+    assert sorted((r["x"], r["row_id"]) for r in joined.collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
+def test_one_hot_names_never_meet(source):
+    t = source(Trail(), "a", "x string, x_y string, `x_y_z` int", ("y_z", "z", 7))
+    encoder = OneHotEncoder01(["x", "x_y"]).fit(t)
+    out = encoder.transform(t)
+    assert len(set(encoder.outputs())) == 2 and out.df.first()["x_y_z"] == 7
+    assert all(out.df.first()[c] == 1 for c in encoder.outputs())
+
+
+def test_table_vectorizer_counts_exactly(source):
+    t = source(Trail(), "a", "lo string, hi string", *[(f"v{i % 40}", f"v{i % 41}") for i in range(41)])
+    fitted = TableVectorizer(lambda c: MinHashEncoder(c, 2)).fit(t)
+    assert [s.columns for s in fitted.steps] == [["lo"], ["hi"]]
+
+
+def test_small_test_fractions_are_not_rounded_away(source):
+    t = source(Trail(), "a", "i bigint", *[(i,) for i in range(20000)])
+    _, test = split.train_test_split(t, 0.0004)
+    assert 0 < test.df.count() < 30
+
+
 def test_python_aggregate_in_blocks(hot):
     t = aggregate_python(
         hot(Trail()), ["k"], "v", "total", lambda s: [float(s.sum())], lambda s: float(sum(x[0] for x in s)), part_rows=8
@@ -250,15 +330,6 @@ def test_splits_are_exact_and_disjoint(source):
     assert {r["count"] for r in split.under_sample(t, "c").df.groupBy("c").count().collect()} == {34}
 
 
-def test_synthetic_tables(spark):
-    main, lookup = make_dataset(spark, 1000, seed=4)
-    assert main.count() == 1000 and lookup.count() == 100
-    assert main.select(F.max("user_id")).first()[0] < 100
-    assert {r[0] for r in main.select("category").distinct().collect()} == set("ABCD")
-    again, _ = make_dataset(spark, 1000, seed=4)
-    assert lineage.differences(main, again).count() == 0
-
-
 def test_own_embedding_model_and_register(source, spark):
     trail = Trail()
     t = source(trail, "a", "s string", ("ab",), ("abc",))

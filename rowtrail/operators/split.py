@@ -54,7 +54,7 @@ def _smallest_hashes(t: Tracked, label: str, wanted: Column, seed: int, key: str
     """A function: True gives the ``wanted`` rows of each class with the smallest hash, False the others.
 
     Only counts per (class, leading hash bits) are ordered; rows are ranked in just the one bucket per class in
-    which the limit falls, so no window spans a class.
+    which the limit falls, so no window spans a class. Each side is then one filter over the rows.
     """
     row_key = _row_key(t, key)
     hashed = t.df.withColumn("_key", row_key).withColumn("_hash", hash_number(row_key, seed))
@@ -76,18 +76,23 @@ def _smallest_hashes(t: Tracked, label: str, wanted: Column, seed: int, key: str
         .agg(F.min(F.struct("_bucket", (F.col("_want") - F.col("_upto") + F.col("n")).alias("need"))).alias("l"))
         .select("_class", F.col("l._bucket").alias("_limit"), F.col("l.need").alias("_need"))
     )
-    limits = store(limits, "limits")  # one row per class, read by both sides of the split
+    # the last row taken of each class: ranked in just the bucket in which the limit falls; one row per class
+    border = hashed.select(F.col(label).alias("_label"), "_bucket", "_hash", "_key").join(
+        F.broadcast(limits) if classes <= MAX_BROADCAST_GROUPS else limits, F.col("_label").eqNullSafe(F.col("_class"))
+    )
+    border = border.filter(F.col("_bucket") == F.col("_limit"))
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_hash", "_key"))
+    last = border.withColumn("_rank", rank).filter(F.col("_rank") == F.col("_need"))
+    last = store(last.select("_class", F.col("_hash").alias("_last_hash"), F.col("_key").alias("_last_key")), "limits")
     if classes <= MAX_BROADCAST_GROUPS:
-        limits = F.broadcast(limits)
-    placed = hashed.join(limits, F.col(label).eqNullSafe(F.col("_class")))
-    rank = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_hash", "_key"))
-    border = placed.filter(F.col("_bucket") == F.col("_limit")).withColumn("_rank", rank)
+        last = F.broadcast(last)
     columns = t.df.columns
+    placed = hashed.join(last, F.col(label).eqNullSafe(F.col("_class")), "left")
+    earlier = F.struct("_hash", "_key") <= F.struct("_last_hash", "_last_key")
+    taken = F.coalesce(F.col("_last_hash").isNotNull() & earlier, F.lit(False))
 
     def pick(take: bool) -> Tracked:
-        sure = placed.filter(F.col("_bucket") < F.col("_limit") if take else F.col("_bucket") > F.col("_limit"))
-        near = border.filter(F.col("_rank") <= F.col("_need") if take else F.col("_rank") > F.col("_need"))
-        df: DataFrame = sure.select(*columns).unionByName(near.select(*columns))
+        df: DataFrame = placed.filter(taken if take else ~taken).select(*columns)
         return replace(t, df=df, fresh=None)
 
     return pick

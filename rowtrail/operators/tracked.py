@@ -127,6 +127,12 @@ class Tracked:
 
     def first_per_key(self, keys: list[str]) -> "Tracked":
         """Per key the whole row with the smallest ids; NULL counts as a key. Its lineage is that row's."""
+        if self.exact and len(self.hidden) == 1:
+            # one unique id per row: the smallest of each key by a hash aggregate, the rows by a semi-join on it
+            column = self.hidden[0]
+            least = self.df.groupBy(*keys).agg(F.min(column).alias("_first")).select("_first")
+            kept = self.df.join(least, F.col(column) == F.col("_first"), "left_semi")
+            return replace(self, df=kept, fresh=None)
         first = F.min_by(F.struct(*self.df.columns), self.row_identity()).alias("_row")
         kept = self.df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(first)
         return replace(self, df=kept.select("_row.*"), fresh=None)

@@ -21,7 +21,7 @@ from rowtrail.operators.split import stratified_split, train_test_split
 from rowtrail.operators.text_join import join_text
 from rowtrail.operators.tracked import Tracked
 from rowtrail.plans.feature_queries import IN_TEST
-from rowtrail.plans.fuzzy_queries import PLACES_SQL, best_sql, centroids, places
+from rowtrail.plans.fuzzy_queries import PLACES_SQL, best_sql, centroids, misspelt_code, places
 from rowtrail.plans.registry import SQL, query, rounded, shown
 from rowtrail.plans.shop import (
     CUSTOMERS_SQL, ESTIMATED_DAYS, GEO_SQL, ITEMS_SQL, LINES_SQL, ORDER_PAYMENTS_SQL, ORDERS_SQL, PAYMENTS_SQL, PRODUCTS_SQL,
@@ -394,8 +394,8 @@ def joiner_case(shop) -> Tracked:
     t = join(order_totals(shop, shop.payments()), shop.reviews(), on="order_id", how="left")
     t = t.with_columns({"bad_review": time.flag(F.col("review_score") <= 2)})
     first = shop.order_items("first_items").select("order_id", "product_id").first_per_key(["order_id"])
-    aux = shop.products().filter("category <> 'PROMO'").select("product_id", "category")
-    first = fuzzy_join(first, aux, "product_id", "product_id", max_distance=0.9, suffix="_product_cat")
+    aux = shop.products().with_columns({"code": misspelt_code("product_id", "category")}).select("product_id", "category", "code")
+    first = fuzzy_join(first, aux, "product_id", "code", max_distance=0.9, suffix="_product_cat")
     t = join(t, first.select("order_id", "category_product_cat"), on="order_id", how="left")
     t = join(t, geo_features(shop).select("customer_id", "lat", "lng", "region"), on="customer_id", how="left")
     return t.select(
@@ -416,11 +416,12 @@ TOTALS_SQL = f"""{LINES_SQL}, {ORDERS_SQL}, {ITEMS_SQL}, {PAYMENTS_SQL}, {CUSTOM
     "case_joiner",
     f"""WITH {TOTALS_SQL}, {REVIEWS_SQL}, {PRODUCTS_SQL},
     f AS (SELECT order_id, product_id, rid FROM items QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY rid) = 1),
-    aux AS (SELECT product_id, category FROM products WHERE category <> 'PROMO'),
-    {best_sql('SELECT CAST(product_id AS VARCHAR) AS k0 FROM f WHERE product_id NOT IN (SELECT product_id FROM aux)', 'SELECT CAST(product_id AS VARCHAR) AS k0 FROM aux', 1, 0.9)},
-    m AS (SELECT l0, r0 FROM best UNION ALL SELECT DISTINCT CAST(product_id AS VARCHAR), CAST(product_id AS VARCHAR) FROM f WHERE product_id IN (SELECT product_id FROM aux)),
+    aux AS (SELECT product_id, category, CASE WHEN category = 'PROMO' THEN 'x' ELSE '' END || product_id AS code FROM products),
+    {best_sql('SELECT CAST(product_id AS VARCHAR) AS k0 FROM f WHERE CAST(product_id AS VARCHAR) NOT IN (SELECT code FROM aux)', 'SELECT code AS k0 FROM aux', 1, 0.9)},
+    m AS (SELECT l0, r0 FROM best UNION ALL SELECT DISTINCT CAST(product_id AS VARCHAR), CAST(product_id AS VARCHAR) FROM f
+      WHERE CAST(product_id AS VARCHAR) IN (SELECT code FROM aux)),
     fp AS (SELECT order_id, rid, aux.product_id AS pid, category FROM f LEFT JOIN m ON l0 = CAST(f.product_id AS VARCHAR)
-      LEFT JOIN aux ON CAST(aux.product_id AS VARCHAR) = r0),
+      LEFT JOIN aux ON code = r0),
     t AS (SELECT o.*, review_score, r.order_id AS review_id, fp.rid AS frid, fp.pid AS fpid, category, lat, lng, region, gid FROM totals o
       LEFT JOIN reviews r ON r.order_id = o.order_id LEFT JOIN fp ON fp.order_id = o.order_id
       LEFT JOIN customers c ON c.customer_id = o.customer_id LEFT JOIN geo_first ON geo_zip = zip),
@@ -524,7 +525,7 @@ def spatial(shop) -> Tracked:
     orders = shop.orders().with_columns({"late": time.flag(F.col("delivered") > F.col("estimated"))})
     t = join(orders, places(shop), left_on="customer_id", right_on="c_custkey", how="left")
     found = fuzzy_join(
-        t, centroids(shop, "region <> 'ASIA'"), ["zip", "city", "region"], ["geo_zip", "geo_city", "geo_region"]
+        t, centroids(shop), ["zip", "city", "region"], ["geo_zip", "geo_city", "geo_region"]
     )
     return found.select("order_id", "late", "order_status", "purchase", "city", "region", "geo_city", "lat", "lng")
 
@@ -532,14 +533,15 @@ def spatial(shop) -> Tracked:
 @query(
     "case_spatial_join",
     f"""WITH {ORDERS_SQL}, {GEO_SQL}, {PLACES_SQL},
+    respelt AS (SELECT * REPLACE (CASE WHEN region = 'ASIA' THEN city || ' city' ELSE city END AS city) FROM geo),
     cent AS (SELECT CAST(geo_zip AS VARCHAR) AS geo_zip, city AS geo_city, region AS geo_region, avg(lat) AS lat, avg(lng) AS lng
-      FROM geo WHERE region <> 'ASIA' GROUP BY 1, 2, 3),
+      FROM respelt GROUP BY 1, 2, 3),
     {best_sql('SELECT zip AS k0, city AS k1, region AS k2 FROM places', 'SELECT geo_zip AS k0, geo_city AS k1, geo_region AS k2 FROM cent', 3)},
     t AS (SELECT order_id, CAST(coalesce(delivered > estimated, false) AS INT) AS late, order_status, purchase, p.city, p.region, geo_city, lat, lng, c_custkey, r0, r1
       FROM orders_r JOIN places p ON c_custkey = customer_id LEFT JOIN best ON l0 = zip AND l1 = p.city AND l2 = p.region
       LEFT JOIN cent ON geo_zip = r0 AND geo_city = r1 AND geo_region = r2),
     e AS (SELECT order_id, {packed(0, 'order_id')} AS pid FROM t UNION ALL SELECT order_id, {packed(1, 'c_custkey')} FROM t
-      UNION ALL SELECT order_id, {packed(2, 'gid')} FROM t JOIN geo g ON CAST(g.geo_zip AS VARCHAR) = r0 AND g.city = r1),
+      UNION ALL SELECT order_id, {packed(2, 'gid')} FROM t JOIN respelt g ON CAST(g.geo_zip AS VARCHAR) = r0 AND g.city = r1),
     s AS (SELECT order_id, {SUMMARY_SQL} FROM e GROUP BY order_id)
     SELECT t.order_id, late, order_status, purchase, city, region, geo_city, round(lat, 6) AS lat, round(lng, 6) AS lng, prov_n, prov_min, prov_max, prov_xor
     FROM t JOIN s ON s.order_id = t.order_id""",

@@ -117,11 +117,12 @@ class Shop:
         return self.trail.source(df, "payments", row_key="order_id", unique=True)
 
     def reviews(self) -> Tracked:
-        """order_id, review_score 1 to 5; every seventh order has none."""
-        df = self.table("orders").filter("o_orderkey % 7 <> 0").select(
-            F.col("o_orderkey").alias("order_id"), (1 + F.col("o_orderkey") % 5).alias("review_score")
+        """order_id, review_score 1 to 5; every seventh review names an order that is not there."""
+        key = F.col("o_orderkey")
+        df = self.table("orders").select(
+            F.when(key % 7 == 0, -1 - key).otherwise(key).alias("order_id"), (1 + key % 5).alias("review_score"), key.alias("review_row")
         )
-        return self.trail.source(df, "reviews", row_key="order_id", unique=True)
+        return self.trail.source(df, "reviews", row_key="review_row", unique=True).drop("review_row")
 
     def products(self) -> Tracked:
         """product_id, category, brand, weight, product_name."""
@@ -135,11 +136,12 @@ class Shop:
         return self.trail.source(df, "products", row_key="product_id", unique=True)
 
     def translations(self) -> Tracked:
-        """category, category_en for all categories but the last one in the alphabet; numbered in that order."""
+        """category, category_en, numbered by category; the last category of the alphabet is misspelt and finds no product."""
         kinds = self.table("part").select(F.col("p_type").alias("category")).distinct()
         last = kinds.agg(F.max("category"))
-        kinds = kinds.filter(F.col("category") < last.scalar())
         named = kinds.withColumn("category_en", F.lower("category"))
+        misspelt = F.concat("category", F.lit("?"))
+        named = named.withColumn("category", F.when(F.col("category") == last.scalar(), misspelt).otherwise(F.col("category")))
         return self.trail.source(named, "translations", order_by=["category"])
 
     def geolocation(self) -> Tracked:
@@ -178,15 +180,14 @@ PAYMENTS_SQL = """payments AS (SELECT l_orderkey AS order_id, l_returnflag AS pa
   CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) AS payment_cents, l_shipdate AS paid, rid FROM lines)"""
 ORDER_PAYMENTS_SQL = """order_payments AS (SELECT o_orderkey AS order_id, o_orderpriority AS payment_type,
   1 + o_orderkey % 6 AS installments, CAST(round(o_totalprice * 100) AS BIGINT) AS payment_cents FROM orders)"""
-REVIEWS_SQL = """reviews AS (SELECT o_orderkey AS order_id, 1 + o_orderkey % 5 AS review_score FROM orders
-  WHERE o_orderkey % 7 <> 0)"""
+REVIEWS_SQL = """reviews AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS order_id,
+  1 + o_orderkey % 5 AS review_score FROM orders)"""
 CUSTOMERS_SQL = """customers AS (SELECT c_custkey AS customer_id, CAST(c_nationkey AS BIGINT) AS zip,
   c_mktsegment AS state FROM customer)"""
 PRODUCTS_SQL = """products AS (SELECT p_partkey AS product_id, p_type AS category, p_brand AS brand,
   CAST(p_size AS BIGINT) AS weight, p_name AS product_name FROM part)"""
-TRANSLATIONS_SQL = """translations AS (SELECT category, lower(category) AS category_en,
-  row_number() OVER (ORDER BY category) - 1 AS trid FROM (SELECT DISTINCT p_type AS category FROM part)
-  WHERE category < (SELECT max(p_type) FROM part))"""
+TRANSLATIONS_SQL = """translations AS (SELECT category || CASE WHEN category = (SELECT max(p_type) FROM part) THEN '?' ELSE '' END AS category,
+  lower(category) AS category_en, row_number() OVER (ORDER BY category) - 1 AS trid FROM (SELECT DISTINCT p_type AS category FROM part))"""
 GEO_SQL = """geo AS (SELECT s_suppkey AS gid, CAST(s_nationkey AS BIGINT) AS geo_zip, s_acctbal AS lat,
   CAST(s_suppkey AS DOUBLE) AS lng, n_name AS city, r_name AS region
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),

@@ -24,6 +24,7 @@ ROWS_PER_CELL = 250_000
 MAX_CELL_ROWS = 2_000_000
 MIN_CELLS = 32
 MAX_CELLS = 1 << 20
+MAX_PARTITIONS = 1 << 16  # of the range sort; beyond, partitions get longer (they spill), the offsets on the driver do not
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the place inside the partition in its low 33 bits
 
@@ -68,7 +69,7 @@ def _by_cells(df: DataFrame, order_by: list[str], name: str, max_cell_rows: int)
 def _by_range_sort(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     spark = df.sparkSession
     parts = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / ROWS_PER_CELL)
+        int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTITIONS, math.ceil(df.count() / ROWS_PER_CELL))
     )
     keys = [*order_by, "_tie"]
     placed = store(

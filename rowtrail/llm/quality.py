@@ -306,8 +306,10 @@ def fit(docs: DataFrame, lexicon: np.ndarray, train_rows: int = TRAIN_ROWS) -> n
         weights = train(at, w, bounds, np.concatenate(targets)).astype(np.float32)
         yield pd.DataFrame({"weights": [weights.tobytes()]})
 
-    hashed = rows.filter("text <> ''").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    learned = scratch.write(hashed.repartition(1).mapInPandas(learn, "weights binary"), "weights").collect()
+    # ids first: only they are sorted, and the texts of ``train_rows`` of them alone move
+    ids = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    sample = rows.join(F.broadcast(ids), "doc_id").limit(train_rows)
+    learned = scratch.write(sample.repartition(1).mapInPandas(learn, "weights binary"), "weights").collect()
     return np.frombuffer(learned[0]["weights"], np.float32).reshape(WIDTH, 3) if learned else np.zeros((WIDTH, 3), np.float32)
 
 

@@ -1,10 +1,11 @@
 """License notices in documents: MinHash bands over overlapping windows of text retrieve templates, shingle containment verifies them.
 
 All of it is DataFrame expressions. Positions whose five-word shingle occurs in some template are kept first: a window's MinHash can only equal
-a template's in such a shingle, so nothing is lost, and the windows become small. Windows come in sizes 16, 64, 256 and 1,024, half
-overlapping; a template is met in the smallest size of which half holds all its shingles, so some window holds the template whole. With 40
-bands of 2 rows a window and a template whose sets (among shingles of templates) are alike by 0.3 share a band with probability 0.977, by 0.5
-with 1 - 1e-5. A window that shares a band is verified: at least four fifths of the template's shingles are in it.
+a template's in such a shingle, so nothing is lost, and the windows become small. Windows come in sizes of powers of two, half
+overlapping; a template is met in the smallest size of which half holds all its shingles, so some window holds the template whole, and that
+window has less than four times as many shingles as the template, whatever stands around it. So their sets are alike by a quarter at
+least, and with 32 bands of one row they share a band with probability 1 - 0.75^32 = 0.9999 (0.9988 where only four fifths of the
+template are there). A window that shares a band is verified: at least four fifths of the template's shingles are in it.
 """
 
 from __future__ import annotations
@@ -61,8 +62,8 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
 }
-SHINGLE, BANDS, ROWS, SHARE = 5, 40, 2, 0.8
-SIZES = (16, 64, 256, 1024)
+SHINGLE, BANDS, ROWS, SHARE = 5, 32, 1, 0.8
+SIZES = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
 BETWEEN = r"[^\p{L}\p{N}]+"
 
 
@@ -115,7 +116,8 @@ def license_notices(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
     )
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
     found = split.select("doc_id", "w", F.explode(hits).alias("at")).select("doc_id", "at", shingle_hash(w, F.col("at")).alias("h"))
-    scales = F.explode(F.array(*[F.lit(s) for s in SIZES]))
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # of SIZES, those that a template uses
+    scales = F.explode(F.array(*[F.lit(s) for s in sizes]))
     spread = found.select("doc_id", "at", "h", scales.alias("size"))
     half = F.floor(F.col("at") / (F.col("size") / 2)).cast("int")
     spread = spread.select("doc_id", "at", "h", "size", F.explode(F.array(half, half - 1)).alias("window")).filter("window >= 0 OR at < size / 2")

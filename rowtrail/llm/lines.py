@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowtrail.llm.shared import Scratch, cleared, column, text_buffers, widened
-from rowtrail.llm.words import BASE, KEEP, U, mix
+from rowtrail.llm.shared import Scratch, cleared, column, slices, text_buffers, widened
+from rowtrail.llm.words import BASE, KEEP, U, mix, segment_sum
 
 MIN_CHARS = 20
 NAMES = ["n_lines", "n_removed", "kept_sha256"]
@@ -30,52 +30,62 @@ LINES = "doc_id long, k1 long, line int, name long, need int"
 PLACE = ["doc_id", "k1", "line"]
 
 
-def line_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each line of one text."""
+def lines_of(data: np.ndarray, offsets: np.ndarray):
+    """Hash, start and end of all lines of texts lying one after the other, and n + 1 bounds by text. Every text has a line.
+
+    A line's hash is the sum over its blocks of eight bytes, each mixed with its place, mixed with the length.
+    """
+    n = len(data)
     breaks = np.flatnonzero(data == 10)
-    starts, ends = np.concatenate([[0], breaks + 1]), np.append(breaks, len(data))
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = data
-    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    # after a break, and at the start of each text
+    starts = np.concatenate([breaks + 1, offsets[:-1]])
+    ends = np.concatenate([offsets[np.searchsorted(offsets, breaks, side="right")], offsets[1:]])
+    owner = np.concatenate([np.searchsorted(offsets, breaks, side="right") - 1, np.arange(len(offsets) - 1)])
+    order = np.lexsort((starts, owner))
+    starts, ends, owner = starts[order], ends[order], owner[order]
+    bounds = np.searchsorted(owner, np.arange(len(offsets)))
+    # a line ends before the next line of its text
+    inner = np.flatnonzero(owner[1:] == owner[:-1])
+    ends[inner] = starts[inner + 1] - 1
     size = ends - starts
-    h = mix(size.astype(U) + U(BASE))
-    at, done = np.flatnonzero(size > 0), 0
-    while len(at):
-        h[at] = mix((h[at] ^ (eight[starts[at] + done] & KEEP[np.minimum(size[at] - done, 8)])) + U(BASE))
-        done += 8
-        at = at[size[at] > done]
-    return h, starts, ends
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = data
+    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    blocks = -(-size // 8)
+    upto = np.concatenate([[0], np.cumsum(blocks)])
+    place = np.arange(upto[-1]) - np.repeat(upto[:-1], blocks)
+    at = np.repeat(starts, blocks) + 8 * place
+    left = np.minimum(np.repeat(ends, blocks) - at, 8)
+    values = mix((eight[at] & KEEP[left]) ^ mix(place.astype(U) + U(BASE)))
+    return mix(segment_sum(values, upto) + U(BASE) * size.astype(U)), starts, ends, bounds
 
 
-def text_key(hashes: np.ndarray) -> int:
-    """A hash of the whole sequence, to tell rows with one doc_id and different texts apart."""
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(hashes + np.arange(len(hashes), dtype=U) * U(BASE)))], U)).view(np.int64)[0])
+def text_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each text's whole sequence, to tell rows with one doc_id and different texts apart."""
+    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    return mix(segment_sum(mix(hashes + place.astype(U) * U(BASE)), bounds)).view(np.int64)
 
 
 def _lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(column(batch, "text"))
-            rows, keys, lines, names, needs = [], [], [], [], []
-            for i in range(batch.num_rows):
-                own = data[offsets[i] : offsets[i + 1]]
-                h, starts, ends = line_hashes(own)
+            for lo, hi in slices(offsets):
+                own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                h, starts, ends, bounds = lines_of(own, at)
                 # characters before each byte: bytes that begin one
                 begins = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
                 chars = np.concatenate([[0], np.cumsum(begins[ends] - begins[starts])])
-                need = np.searchsorted(chars, chars[:-1] + min_chars) - np.arange(len(h))
-                need[need > len(h) - np.arange(len(h))] = 0
-                rows.append(np.full(len(h), i))
-                keys.append(np.full(len(h), text_key(h)))
-                lines.append(np.arange(len(h)))
-                names.append(h.view(np.int64))
-                needs.append(need)
-            if rows:
+                counts = np.diff(bounds)
+                index = np.arange(len(h))
+                need = np.maximum(np.searchsorted(chars, chars[:-1] + min_chars) - index, 1)
+                need[index + need > np.repeat(bounds[1:], counts)] = 0
+                row = np.repeat(np.arange(lo, hi), counts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        column(batch, "doc_id").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(keys)),
-                        pa.array(np.concatenate(lines).astype(np.int32)), pa.array(np.concatenate(names)),
-                        pa.array(np.concatenate(needs).astype(np.int32)),
+                        column(batch, "doc_id").take(pa.array(row)), pa.array(np.repeat(text_keys(h, bounds), counts)),
+                        pa.array((index - np.repeat(bounds[:-1], counts)).astype(np.int32)), pa.array(h.view(np.int64)),
+                        pa.array(need.astype(np.int32)),
                     ],
                     ["doc_id", "k1", "line", "name", "need"],
                 )
@@ -92,7 +102,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = raw[offsets[i] : offsets[i + 1]]
             lines = part.split(b"\n")
             if spans:
-                key = text_key(line_hashes(data[offsets[i] : offsets[i + 1]])[0])
+                h, _, _, bounds = lines_of(data[offsets[i] : offsets[i + 1]], np.array([0, len(part)]))
+                key = text_keys(h, bounds)[0]
                 gone = {j for s in spans if s["k1"] == key for j in range(s["line"], s["line"] + s["need"])}
                 kept = [x for j, x in enumerate(lines) if j not in gone]
             else:

@@ -295,12 +295,12 @@ def test_licenses(spark):
 
 def test_quality_on_labelled_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    scored = classify(docs, labels).join(labels, "doc_id").collect()
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("toxic", "is_toxic")
+    scored = classify(docs, labels.withColumnRenamed("is_toxic", "toxic")).join(labels, "doc_id").collect()
     rate = lambda rows: np.mean([r["kept"] for r in rows])
-    assert rate([r for r in scored if r["quality"] == 1 and r["toxic"] == 0]) > 0.97
+    assert rate([r for r in scored if r["quality"] == 1 and r["is_toxic"] == 0]) > 0.97
     assert rate([r for r in scored if r["quality"] == 0]) < 0.1
-    assert rate([r for r in scored if r["toxic"] == 1]) < 0.5
+    assert rate([r for r in scored if r["is_toxic"] == 1]) < 0.5
 
 
 def test_quality_of_odd_rows(spark):

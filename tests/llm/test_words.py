@@ -179,12 +179,18 @@ def test_best_stretch():
     assert decontaminate.best_stretch(np.zeros(4, bool))[2] == 0
 
 
-def test_line_hashes_and_needs():
-    data = np.frombuffer("aa\n\nlonger than eight bytes\naa".encode(), np.uint8)
-    h, starts, ends = lines.line_hashes(data)
-    assert [bytes(data[x:y]) for x, y in zip(starts, ends)] == [b"aa", b"", b"longer than eight bytes", b"aa"]
-    assert h[0] == h[3] and len(set(h.tolist())) == 3
-    assert len(lines.line_hashes(data[:0])[0]) == 1
+def test_lines_of_texts():
+    texts = ["aa\n\nlonger than eight bytes\naa", "", "\n", "é\naa", "x" * 1000 + "\n" + "x" * 1001, "longer than eight bytes"]
+    data, offsets = shared.text_buffers(pa.array(texts))
+    h, starts, ends, bounds = lines.lines_of(data, offsets)
+    found = [bytes(data[x:y]).decode() for x, y in zip(starts, ends)]
+    assert found == [line for t in texts for line in t.split("\n")]
+    assert list(np.diff(bounds)) == [t.count("\n") + 1 for t in texts]
+    names = {}
+    for line, name in zip(found, h.tolist()):
+        assert names.setdefault(line, name) == name
+    assert len(set(names.values())) == len(names)
+    assert len(set(lines.text_keys(h, bounds).tolist())) == len(texts)
 
 
 def test_label_model_finds_the_reliable_labellers():

@@ -47,9 +47,9 @@ SMALL_IDS = 4_000_000
 """At most so many ids are broadcast to filter a scan; more are joined by a shuffle."""
 
 
-def with_ids(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` whose ``name`` is among ``ids``, a written table of one column without repeats."""
-    return df.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, name, "left_semi")
+def with_ids(df: DataFrame, ids: DataFrame, name: str, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose ``name`` is among ``ids`` (or is not: ``left_anti``), a written table of one column without repeats."""
+    return df.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, name, how)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -107,7 +107,8 @@ def license_notices(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
     known = template_table(spark, templates)
     # a few hundred numbers and words of the templates themselves
     hashes = sorted({h for r in known.select("shingles").collect() for h in r["shingles"]})
-    vocabulary = sorted({w for r in spark.createDataFrame([(t,) for x in templates.values() for t in x], "t string").select(words(F.col("t")).alias("w")).collect() for w in r["w"]})
+    texts = spark.createDataFrame([(t,) for own in templates.values() for t in own], "t string")
+    vocabulary = sorted({w for r in texts.select(words(F.col("t")).alias("w")).collect() for w in r["w"]})
     w = F.col("w")
     starts = F.when(F.size("w") >= SHINGLE, F.sequence(F.lit(0), F.size("w") - SHINGLE)).otherwise(F.array().cast("array<int>"))
     hits = F.filter(

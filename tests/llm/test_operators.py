@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from rowtrail.llm import chat, licenses, tokens
 from rowtrail.llm.decontaminate import decontaminate

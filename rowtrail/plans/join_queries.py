@@ -9,7 +9,7 @@ from rowtrail.features.encoding import TargetEncoder
 from rowtrail.operators import lineage
 from rowtrail.plans.registry import query, rounded, shown
 from rowtrail.plans.shop import (
-    CUSTOMERS_SQL, GEO_SQL, ITEMS_SQL, LINES_SQL, ORDERS_SQL, PRODUCTS_SQL, REVIEWS_SQL, SUMMARY_SQL, TRANSLATIONS_SQL, packed,
+    CUSTOMERS_SQL, GEO_SQL, ITEMS_SQL, LINES_SQL, PRODUCTS_SQL, REVIEWS_SQL, SUMMARY_SQL, TRANSLATIONS_SQL, packed,
 )
 
 

@@ -7,9 +7,9 @@ sets, concentrated around it as for independent samples. Large sets fill in one
 
 Documents meet where all coordinates of a band agree. With 32 bands of 5 rows a pair at similarity 0.8 shares a band with probability
 1 - (1 - 0.8^5)^32 = 1 - 3e-6. Pairs are confirmed on their full sets. Within a band documents are not paired with each other but
-with one leader; where documents of a band stay in different components, other leaders are tried, then all pairs that are left and
-that the whole sketches do not rule out. So no link that matters for a component is lost, and no group is expanded into its pairs
-while it falls together.
+with its smallest and its largest document. Where documents of a band stay in different components, those pairs are looked for that share
+a shingle among the rarest of both, and verified unless their whole sketches rule them out. So no link that matters for a component
+is lost, and a group is not expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowtrail.llm.graph import components
-from rowtrail.llm.shared import Scratch, column, long_list, slices, text_buffers
+from rowtrail.llm.shared import Scratch, column, long_list, slices, text_buffers, with_ids
 from rowtrail.llm.words import U, Words, digests, mix, words_of
 
 BANDS, ROWS = 32, 5
 BINS = BANDS * ROWS
-LEADERS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x3C6EF372FE94F82B, 0x1F83D9ABFB41BD6B)
 RULED_OUT = 0.6
-"""A pair whose sketches agree in less than this share of coordinates is not verified once leaders are used up. At similarity 0.8
+"""A pair whose sketches agree in less than this share of coordinates is not verified after the leaders. At similarity 0.8
 the share has a standard deviation of 0.032, so this is more than six of them below; it depends on the bands alone, not on the data."""
 LIKE_SIZE = "n_shingles * 5 >= lead_n * 4 AND lead_n * 5 >= n_shingles * 4"
 """Sets of less alike sizes cannot reach similarity 0.8."""
@@ -154,6 +153,22 @@ def _verify(shingle_words: int, percent: int):
     return run
 
 
+def _sets(shingle_words: int):
+    """(rep, shingle): the distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(column(batch, "text"))
+            ids = column(batch, "doc_id")
+            for lo, hi in slices(offsets):
+                words = words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=True)
+                sets, bounds = sets_of(*shingles(words, shingle_words))
+                row = pa.array(np.repeat(np.arange(lo, hi), np.diff(bounds)))
+                yield pa.RecordBatch.from_arrays([ids.take(row), pa.array(sets.view(np.int64))], ["rep", "shingle"])
+
+    return run
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps pairs whose sketches agree often enough to be worth the exact check."""
     for batch in batches:
@@ -181,26 +196,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80)
     heads = full.join(classes, ["k1", "k2"]).filter("doc_id = rep").select("rep", "n_shingles", "sketch", "bands")
     heads = scratch.write(heads, "heads")
     bands = heads.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("key")
+    shared = bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
     bands = scratch.write(bands.join(scratch.write(shared, "shared"), "key"), "bands")
-    texts = scratch.write(docs.join(bands.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "texts")
-
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    labels: DataFrame | None = None
-    for turn, leader in enumerate(LEADERS):
-        now = _labelled(bands, labels)
-        found = _star(now, leader, tested, scratch)
-        found, tested, links, grew = _check(found, texts, tested, links, scratch, shingle_words, percent)
-        if grew:
-            labels = components(links, scratch)
-        if not found or (turn and not grew):
-            break
-    now = _labelled(bands, labels)
-    found = _rest(now, heads, tested, scratch)
-    found, tested, links, grew = _check(found, texts, tested, links, scratch, shingle_words, percent)
-    if grew:
-        labels = components(links, scratch)
+    ids = scratch.write(bands.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    texts = scratch.write(with_ids(docs, ids, "doc_id"), "texts")
+    check = _Check(texts, scratch, shingle_words, percent)
+
+    # the smallest and the largest document of each band lead it
+    leaders = bands.select("rep", F.explode(F.array("lo", "hi")).alias("leader")).filter("rep <> leader")
+    check.pairs(leaders.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")))
+    now = _labelled(bands.select("key", "rep", "n_shingles"), check.labels)
+    check.pairs(_rest(now, check, scratch), joined=_ruled_in(heads))
+    labels = check.labels
 
     out = sketched.join(classes, ["k1", "k2"], "left")
     out = out.withColumn("rep", F.when(F.col("n_shingles") > 0, F.col("rep")))
@@ -221,55 +228,78 @@ def _labelled(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
     return joined.select("key", "rep", "n_shingles", F.coalesce("root", "rep").alias("comp"))
 
 
-def _open(now: DataFrame, scratch: Scratch, leader: int = 0) -> DataFrame:
-    """Bands whose documents are in several components, with a leader."""
-    chosen = F.min(F.col("rep").bitwiseXOR(F.lit(leader).cast("long"))).bitwiseXOR(F.lit(leader).cast("long"))
-    found = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), chosen.alias("leader"))
-    return scratch.write(found.filter("lo < hi").select("key", "leader"), "open")
-
-
-def _untested(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    pairs = pairs.distinct()
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-
+def _rest(now: DataFrame, check: _Check, scratch: Scratch) -> DataFrame:
+    """Pairs across components that may still be linked, among the documents of bands whose documents are in several components.
 
-def _star(now: DataFrame, leader: int, tested: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """Pairs of each open band's leader with the band's other documents of like size."""
-    now = scratch.write(now, "now")
-    bands = now.join(_open(now, scratch, leader), "key")
-    lead = bands.filter("rep = leader").select("key", "leader", F.col("comp").alias("lead_comp"), F.col("n_shingles").alias("lead_n"))
-    heads = scratch.write(lead, "leaders")
-    pairs = now.join(heads, "key").filter(f"comp <> lead_comp AND {LIKE_SIZE}")
-    pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-    return scratch.write(_untested(pairs, tested), "pairs")
-
-
-def _rest(now: DataFrame, heads: DataFrame, tested: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """All untested pairs across components that share a band and whose sketches agree well."""
+    With all shingles in one order, rarest first, two sets that are similar enough share one of the first ``n - ceil(percent * n) + 1`` of
+    either; so documents meet in those alone, and only where enough shingles are left in both sets from the first common one on. A heavily
+    edited member of a group has its own, rare shingles first, and too few after them. Members of the largest component of a shingle
+    meet only those of other components.
+    """
     now = scratch.write(now, "now")
-    bands = scratch.write(now.join(_open(now, scratch).select("key"), "key"), "rest")
-    x, y = (bands.select("key", F.col("rep").alias(c), F.col("comp").alias(f"comp_{c}"), F.col("n_shingles").alias(n)) for c, n in (("a", "n_shingles"), ("b", "lead_n")))
-    pairs = x.join(y, "key").filter(f"a < b AND comp_a <> comp_b AND {LIKE_SIZE}").select("a", "b")
-    pairs = scratch.write(_untested(pairs, tested), "left")
-    for c in "ab":
-        pairs = pairs.join(heads.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}")), c)
-    return scratch.write(pairs.mapInArrow(_alike, "a long, b long"), "pairs")
-
-
-def _check(found, texts, tested, links, scratch, shingle_words, percent):
-    """Verifies pairs on whole texts; returns whether there were any, all tested pairs, all links, and whether links were added."""
-    if found.isEmpty():
-        return False, tested, links, False
-    pairs = found
-    for c in "ab":
-        pairs = pairs.join(texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)
-    checked = scratch.write(pairs.mapInArrow(_verify(shingle_words, percent), "a long, b long, linked boolean"), "checked")
-    good = checked.filter("linked").select("a", "b")
-    grew = not good.isEmpty()
-    pairs = checked.select("a", "b")
-    return (
-        True,
-        pairs if tested is None else tested.unionByName(pairs),
-        (good if links is None else links.unionByName(good)) if grew else links,
-        grew,
+    open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    docs = now.join(scratch.write(open_, "open"), "key").select("rep", "comp", "n_shingles").distinct()
+    docs = scratch.write(docs, "docs")
+    ids = docs.select(F.col("rep").alias("doc_id")).distinct()
+    sets = with_ids(check.texts, ids, "doc_id").mapInArrow(_sets(check.shingle_words), "rep long, shingle long")
+    sets = scratch.write(sets.distinct(), "sets")
+    common = sets.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    held = sets.join(scratch.write(common, "common"), "shingle").groupBy("rep")
+    held = held.agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    first = F.col("n_shingles") - F.ceil(F.col("n_shingles") * check.percent / 100) + 1
+    first = (first - (F.col("n_shingles") - F.size("held"))).cast("int")  # shingles of no other document come before all others
+    sizes = docs.groupBy("comp").agg(F.count("*").alias("size"))
+    meeting = held.join(docs.join(sizes, "comp"), "rep").filter(first > 0)
+    # how many shingles of the set are left from this one on
+    left = F.size("held") - F.col("pos")
+    meeting = meeting.select("rep", "comp", "n_shingles", "size", "held", F.posexplode(F.slice("held", F.lit(1), first)).alias("pos", "at"))
+    meeting = meeting.select("rep", "comp", "n_shingles", "size", left.alias("left"), F.col("at.shingle").alias("shingle"))
+    meeting = scratch.write(meeting, "meeting")
+    most = meeting.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", "size").alias("largest"))
+    most = scratch.write(most.filter("lo < hi").select("shingle", "largest"), "most")
+    x = meeting.join(most, "shingle").filter("comp <> largest").select(
+        "shingle", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), "n_shingles", F.col("left").alias("left_a")
+    )
+    y = meeting.select(
+        "shingle", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("n_shingles").alias("lead_n"), F.col("left").alias("left_b")
     )
+    enough = f"least(left_a, left_b) * {100 + check.percent} >= {check.percent} * (n_shingles + lead_n)"
+    pairs = scratch.write(x, "side").join(y, "shingle").filter(f"comp_a <> comp_b AND {LIKE_SIZE} AND {enough}")
+    scratch.drop(sets)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _ruled_in(heads: DataFrame):
+    """A function that leaves out pairs whose sketches agree too seldom."""
+
+    def keep(pairs: DataFrame) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(heads.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}")), c)
+        return pairs.mapInArrow(_alike, "a long, b long")
+
+    return keep
+
+
+class _Check:
+    """Verifies pairs on whole texts and keeps the links, the components they make, and the pairs that need no second test."""
+
+    def __init__(self, texts: DataFrame, scratch: Scratch, shingle_words: int, percent: int):
+        self.texts, self.scratch, self.shingle_words, self.percent = texts, scratch, shingle_words, percent
+        self.tested: DataFrame | None = None
+        self.links: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def pairs(self, pairs: DataFrame, joined=lambda pairs: pairs) -> None:
+        pairs = pairs.distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = joined(self.scratch.write(pairs, "pairs"))
+        for c in "ab":
+            pairs = pairs.join(self.texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")), c)
+        checked = pairs.mapInArrow(_verify(self.shingle_words, self.percent), "a long, b long, linked boolean")
+        checked = self.scratch.write(checked, "checked")
+        good, done = checked.filter("linked").select("a", "b"), checked.select("a", "b")
+        self.tested = done if self.tested is None else self.tested.unionByName(done)
+        if not good.isEmpty():
+            self.links = good if self.links is None else self.links.unionByName(good)
+            self.labels = components(self.links, self.scratch)

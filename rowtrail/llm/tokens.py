@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +26,8 @@ from rowtrail.llm.shared import column
 VOCABULARY = "byte_bpe_50k.json"
 PROVEN_BELOW = 0x250
 """Characters below this code point are classified by asking the library when a worker starts."""
-REMEMBERED = 200_000
-"""Merged pre-tokens that a worker remembers; beyond that it forgets them and starts again."""
+REMEMBERED = 250_000
+"""Merged pre-tokens that a worker remembers in each of two generations."""
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,24 +39,28 @@ def byte_letters() -> dict[int, str]:
 
 
 class Merged(dict):
-    """Pre-token -> its ids as little-endian 32-bit bytes; unknown ones are merged by the library's model."""
+    """Pre-token -> its ids as little-endian 32-bit bytes; unknown ones are merged by the library's model.
 
-    def __init__(self, model, letters: dict[int, str], whole: dict[str, bytes]):
+    Two generations are remembered: when the younger is full it becomes the older, so what comes often stays.
+    """
+
+    def __init__(self, model, whole: dict[str, bytes]):
         super().__init__(whole)
-        self.model, self.letters, self.whole = model, letters, whole
+        self.model, self.whole, self.older = model, whole, {}
+        self.letters = byte_letters()
 
     def __missing__(self, pretoken: str) -> bytes:
-        ids = self.merge(pretoken.encode())
+        ids = self.older.get(pretoken)
+        if ids is None:
+            found = self.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))
+            ids = array("I", [t.id for t in found]).tobytes()
         if len(self) >= REMEMBERED + len(self.whole):
+            self.older = dict(self)
             self.clear()
             self.update(self.whole)
         self[pretoken] = ids
         return ids
 
-    def merge(self, raw: bytes) -> bytes:
-        found = self.model.tokenize("".join(self.letters[b] for b in raw))
-        return np.array([t.id for t in found], "<u4").tobytes()
-
 
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them without special tokens, truncation or padding."""
@@ -68,14 +74,14 @@ class Encoder:
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         letters = byte_letters()
-        self.merged = Merged(self.library.model, letters, {})
-        self.merged.whole = self._whole(letters)
-        self.merged.update(self.merged.whole)
+        self.merged = Merged(self.library.model, self._whole(letters))
         self.split, self.foreign = self._splitter()
 
     def _whole(self, letters: dict[int, str]) -> dict[str, bytes]:
         """Vocabulary strings that the model keeps as one token."""
         back = {c: b for b, c in letters.items()}
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are kept as little-endian 32-bit numbers")
         proven = {}
         for text, i in self.library.get_vocab(with_added_tokens=False).items():
             if any(c not in back for c in text):

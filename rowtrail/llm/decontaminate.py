@@ -2,8 +2,9 @@
 
 Each mask picks six of up to twelve neighbouring words and ignores those between. The words picked are hashed at every position of every
 document and of every benchmark item; where the hashes meet, the item is laid over the document at that place and the words are
-compared one by one. The four masks together meet in every overlap of 15 words with up to three of them replaced, and of 20 words with
-up to four, wherever these are.
+compared one by one. The four masks together meet in every overlap that counts, wherever its replaced words are: a longer one holds one of
+at most 32 words that counts too, and for these, and for items of 12 to 15 words, all places were tried. Items of 8 to 11 words have three
+shorter masks of their own, of which the same holds.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from rowtrail.llm.shared import SLICE_BYTES, Scratch, cleared, column, slices, t
 from rowtrail.llm.words import SEPARATOR, U, Words, mix, words_of
 
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 4, 5, 6), (0, 3, 4, 6, 7, 8), (0, 1, 3, 8, 9, 11))
-LEAST_WORDS, LEAST_SHARE = 13, 0.8
-SHORTEST_ITEM = 8
+SHORT_MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4))
+LEAST_WORDS, PER_MISS = 13, 4
+"""Equal words of an overlap at least, and for each unequal one at least."""
+SHORTEST_ITEM, SHORT_ITEM = 8, 12
 BLOCK_BYTES = 4 << 20
 """Benchmark text per pass. Its index takes about twelve times as much in each task; a larger benchmark is met in several passes."""
 HITS = "n_words long, hits array<struct<item_id:bigint,first:int,length:int,matched:int>>, kept boolean"
@@ -55,22 +58,24 @@ class Index:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.hashes, self.bounds = words.hashes, words.bounds
         self.tables = []
-        for mask in MASKS:
+        for mask, least, below in (*((m, SHORT_ITEM, np.inf) for m in MASKS), *((m, SHORTEST_ITEM, SHORT_ITEM) for m in SHORT_MASKS)):
             h, at = seeds(words, mask)
-            item = np.searchsorted(self.bounds, at, side="right") - 1
-            good = words.counts[item] >= SHORTEST_ITEM
+            size = words.counts[np.searchsorted(self.bounds, at, side="right") - 1]
+            good = (size >= least) & (size < below)
+            if not good.any():
+                continue
             h, at = h[good], at[good]
             order = np.argsort(h, kind="stable")
             h, at = h[order], at[order]
             seen = np.zeros(1 << FILTER_BITS, bool)
             seen[h >> U(64 - FILTER_BITS)] = True
-            self.tables.append((h, at, seen))
+            self.tables.append((mask, h, at, seen))
 
 
 def overlaps(words: Words, index: Index) -> list[tuple[int, int, int, int, int]]:
     """(text, item number, first word in the text, length, matching words) of all overlaps that hold."""
     found = []
-    for mask, (table, places, seen) in zip(MASKS, index.tables, strict=True):
+    for mask, table, places, seen in index.tables:
         h, at = seeds(words, mask)
         may = seen[h >> U(64 - FILTER_BITS)] if len(h) else np.zeros(0, bool)
         h, at = h[may], at[may]
@@ -89,15 +94,37 @@ def overlaps(words: Words, index: Index) -> list[tuple[int, int, int, int, int]]
         other = index.hashes[index.bounds[item] : index.bounds[item + 1]]
         lo, hi = max(shift, 0), min(shift + len(other), len(own))
         same = own[lo:hi] == other[lo - shift : hi - shift]
-        first, length, matched = best_stretch(same)
-        if matched >= min(LEAST_WORDS, int(np.ceil(LEAST_SHARE * len(other)))) and matched >= LEAST_SHARE * length:
+        need = min(LEAST_WORDS, -(-PER_MISS * len(other) // (PER_MISS + 1)))
+        if np.count_nonzero(same) < need:
+            continue
+        first, length, matched = longest_stretch(same)
+        if matched >= need:
             out.append((text, item, lo + first, length, matched))
     return out
 
 
+def longest_stretch(same: np.ndarray) -> tuple[int, int, int]:
+    """First, length and number of matches of the longest stretch with ``PER_MISS`` matches or more per miss, without misses at its ends.
+
+    No other such stretch has more matches: one with m of them can be widened by misses to m + m // PER_MISS words, or to all there are, and
+    a stretch as long as that has m matches at least. So if any has enough of them, this one has.
+    """
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PER_MISS))])
+    low = np.minimum.accumulate(score)
+    # the first place from which on the sum up to each end is not negative
+    starts = np.searchsorted(-low, -score, side="left")
+    end = int(np.argmax(np.arange(len(score)) - starts))
+    start = int(starts[end])
+    at = start + np.flatnonzero(same[start:end])
+    return (int(at[0]), int(at[-1] - at[0]) + 1, len(at)) if len(at) else (start, 0, 0)
+
+
 def best_stretch(same: np.ndarray) -> tuple[int, int, int]:
-    """First, length and number of matches of the stretch with most matches over ``LEAST_SHARE / (1 - LEAST_SHARE)`` times its misses."""
-    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -round(LEAST_SHARE / (1 - LEAST_SHARE))))])
+    """First, length and number of matches of the densest stretch: that with most matches over ``PER_MISS`` times its misses.
+
+    Not for deciding on a hit: between two misses it may be too short where the whole overlap is long enough.
+    """
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -PER_MISS))])
     low = np.minimum.accumulate(score)
     end = int(np.argmax(score - low))
     start = int(np.argmin(score[: end + 1]))

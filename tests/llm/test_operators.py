@@ -1,6 +1,7 @@
 """The operators on Spark: beside brute force on the smallest tables, and on what tables may hold in every column."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 from rowtrail.llm import chat, licenses, tokens
-from rowtrail.llm.decontaminate import decontaminate
+from rowtrail.llm.decontaminate import Index, decontaminate, longest_stretch, overlaps
 from rowtrail.llm.fingerprints import edited_fingerprints
 from rowtrail.llm.graph import components
 from rowtrail.llm.lines import line_duplicates
@@ -19,6 +20,7 @@ from rowtrail.llm.packing import pack
 from rowtrail.llm.quality import classify
 from rowtrail.llm.rlz import substring_duplicates
 from rowtrail.llm.shared import Scratch
+from rowtrail.llm.words import SEPARATOR, words_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -231,6 +233,39 @@ def test_decontamination(spark):
     assert decontaminate(made(spark, []), benchmark).count() == 0
 
 
+def qualifies(same, item_words):
+    """Whether any stretch has enough equal words, and four in five of them equal."""
+    need = min(13, -(-4 * item_words // 5))
+    upto = np.concatenate([[0], np.cumsum(same)])
+    spans = [(upto[j] - upto[i], j - i) for i in range(len(same)) for j in range(i + 1, len(same) + 1)]
+    return any(m >= need and 5 * m >= 4 * n for m, n in spans)
+
+
+@pytest.mark.parametrize("size", [8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 25])
+def test_overlaps_wherever_words_are_replaced(size):
+    """All places for as many replaced words as the rule allows: seeds and verification together."""
+    index = Index([(0, " ".join(f"w{i}" for i in range(size)))])
+    texts = []
+    for gone in itertools.combinations(range(size), size // 5):
+        words = [f"x{i}" if i in gone else f"w{i}" for i in range(size)]
+        texts.append(" ".join(["before", *words, "after"]).encode())
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = overlaps(words_of(np.frombuffer(b"".join(texts), np.uint8), offsets, lower=True, blank=SEPARATOR), index)
+    assert [f[0] for f in found] == list(range(len(texts)))
+
+
+def test_overlaps_beside_brute_force():
+    rng = random.Random(16)
+    for _ in range(600):
+        size = rng.randrange(8, 45)
+        same = np.array([rng.random() < rng.choice((0.7, 0.8, 0.9)) for _ in range(size)])
+        first, length, matched = longest_stretch(same)
+        assert matched == same[first : first + length].sum() and 5 * matched >= 4 * length
+        item, text = " ".join(f"w{i}" for i in range(size)), " ".join(f"w{i}" if s else "x" for i, s in enumerate(same)).encode()
+        words = words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]), lower=True, blank=SEPARATOR)
+        assert bool(overlaps(words, Index([(0, item)]))) == qualifies(same, size)
+
+
 def test_decontamination_in_several_passes(spark, monkeypatch):
     from rowtrail.llm import decontaminate as module
 

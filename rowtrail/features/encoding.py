@@ -7,7 +7,8 @@ import re
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, PCA, HashingTF, OneHotEncoder
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,6 +154,25 @@ class _TextEncoder(ColumnwiseTransformer):
         return t.with_columns(exprs).drop(column, array)
 
 
+def _lowered(column: str):
+    return F.lower(F.coalesce(F.col(column), F.lit("")))
+
+
+def _long_texts(df: DataFrame, column: str) -> DataFrame | None:
+    """(_key, _long) of the distinct texts that are counted in pieces; None if there are none."""
+    found = df.select(_lowered(column).alias("_long")).filter(F.length("_long") > text.PIECE_CHARS)
+    found = found.select(F.sha2("_long", 256).alias("_key"), "_long").dropDuplicates(["_key"])
+    return None if found.isEmpty() else found
+
+
+def _added_up(texts: DataFrame, pieces: Column, items: Column, counter: HashingTF) -> DataFrame:
+    """(_key, counts): what ``items`` finds in each of a text's ``pieces``, counted and added up; no row holds all of a text's items."""
+    out = counter.getOutputCol()
+    rows = texts.select("_key", F.explode(pieces).alias("_piece")).repartition("_key", "_piece")
+    counted = counter.transform(rows.select("_key", items.alias(counter.getInputCol()))).select("_key", out)
+    return store(counted.groupBy("_key").agg(Summarizer.sum(F.col(out)).alias(out)), "counts")
+
+
 class MinHashEncoder(_TextEncoder):
     """Min-hash signature of a text's 2- to 4-grams: a projection, nothing to fit and nothing to shuffle."""
 
@@ -166,6 +186,17 @@ class MinHashEncoder(_TextEncoder):
         return t
 
 
+def _counted_by_length(df: DataFrame, column: str, count, count_long, items: str, out: str) -> DataFrame:
+    """``count`` of the rows with short texts, and the long ones met with the counts of their texts."""
+    long = _long_texts(df, column)
+    if long is None:
+        return count(df)
+    is_long = F.length(_lowered(column)) > text.PIECE_CHARS
+    kind = F.lit(None).cast("array<string>").alias(items)
+    joined = df.filter(is_long).withColumn("_key", F.sha2(_lowered(column), 256)).join(count_long(long), "_key")
+    return count(df.filter(~is_long)).unionByName(joined.select(*df.columns, kind, out))
+
+
 class GapEncoder(_TextEncoder):
     """Topic weights of a text's character 2- to 4-grams (LDA), fitted on the distinct training texts.
 
@@ -180,22 +211,34 @@ class GapEncoder(_TextEncoder):
     def fit(self, t: Tracked) -> "GapEncoder":
         self.models = {}
         for c in self.columns:
-            distinct = store(self.counter.transform(t.df.select(self._grams(c)).distinct()).select("_counts"), "grams")
+            long = _long_texts(t.df, c)
+            short = t.df if long is None else t.df.filter(F.length(_lowered(c)) <= text.PIECE_CHARS)
+            distinct = self.counter.transform(short.select(self._grams(c)).distinct()).select("_counts")
+            distinct = store(distinct if long is None else distinct.unionByName(self._long_counts(long).select("_counts")), "grams")
             lda = LDA(k=self.n_components, maxIter=self.iterations, featuresCol="_counts", seed=1)
             self.models[c] = lda.fit(distinct)
         return self
 
     def transform(self, t: Tracked) -> Tracked:
         for c, lda in self.models.items():
-            df = lda.transform(self.counter.transform(t.df.withColumn("_grams", self._grams(c))))
+            df = lda.transform(self._counted(t.df, c))
             df = df.withColumn("_topics", vector_to_array("topicDistribution"))
             df = df.drop("_grams", "_counts", "topicDistribution")
             t = self._spread(Tracked(df, t.trail, t.nodes), c, "_topics")
         return t
 
+    def _counted(self, df: DataFrame, column: str) -> DataFrame:
+        def count(rows):
+            return self.counter.transform(rows.withColumn("_grams", self._grams(column)))
+
+        return _counted_by_length(df, column, count, self._long_counts, "_grams", "_counts")
+
+    def _long_counts(self, texts: DataFrame) -> DataFrame:
+        return _added_up(texts, text.gram_pieces(F.col("_long"), 4), text.piece_grams(F.col("_piece"), 2, 4), self.counter)
+
     @staticmethod
     def _grams(column: str):
-        return text.ngram_range(F.lower(F.coalesce(F.col(column), F.lit(""))), 2, 4).alias("_grams")
+        return text.ngram_range(_lowered(column), 2, 4).alias("_grams")
 
 
 class TextEncoder(_TextEncoder):
@@ -225,10 +268,15 @@ class TextEncoder(_TextEncoder):
         return t
 
     def _counted(self, df: DataFrame, column: str) -> DataFrame:
-        words = F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), r"\s+")
-        return HashingTF(inputCol="_words", outputCol="_tf", numFeatures=self.buckets).transform(
-            df.withColumn("_words", words)
-        )
+        counter = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=self.buckets)
+
+        def count(rows):
+            return counter.transform(rows.withColumn("_words", F.split(_lowered(column), r"\s+")))
+
+        def count_long(texts):
+            return _added_up(texts, text.word_pieces(F.col("_long")), F.split("_piece", r"\s+"), counter)
+
+        return _counted_by_length(df, column, count, count_long, "_words", "_tf")
 
 
 def embed_with_model(t: Tracked, column: str, out: str, load) -> Tracked:

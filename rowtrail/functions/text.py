@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 MERSENNE = (1 << 31) - 1
 GRAM_FACTOR = 1_048_583
+PIECE_CHARS = 1 << 18
+"""Longer texts are worked on in pieces of so many characters."""
 
 
 def char_ngrams(text: Column, n: int) -> Column:
@@ -21,6 +24,38 @@ def char_ngrams(text: Column, n: int) -> Column:
     return F.when(count > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
+def gram_pieces(text: Column, high: int) -> Column:
+    """Pieces of a text that overlap by ``high`` - 1 characters: ``piece_grams`` of all of them are the text's n-grams."""
+    size = PIECE_CHARS
+
+    def cut(texts):
+        return texts.map(lambda x: [x[i : i + size + high - 1] for i in range(0, len(x), size)])
+
+    return F.pandas_udf(cut, "array<string>")(text)
+
+
+def piece_grams(piece: Column, low: int, high: int) -> Column:
+    """The n-grams that start in the first ``PIECE_CHARS`` characters."""
+    return F.concat(*[char_ngrams(F.substring(piece, 1, PIECE_CHARS + n - 1), n) for n in range(low, high + 1)])
+
+
+def word_pieces(text: Column) -> Column:
+    """A text cut at blanks, which are left out there: the pieces split at blanks are the words of the text split at blanks."""
+    size = PIECE_CHARS
+
+    def pieces(x):
+        blank, out, start = re.compile(r"[ \t\n\x0b\f\r]+"), [], 0
+        while len(x) - start > size:
+            found = blank.search(x, start + size)
+            if found is None or found.end() == len(x):
+                break
+            out.append(x[start : found.start()].rstrip(" \t\n\x0b\f\r"))
+            start = found.end()
+        return [*out, x[start:]]
+
+    return F.pandas_udf(lambda texts: texts.map(pieces), "array<string>")(text)
+
+
 def ngram_range(text: Column, low: int, high: int) -> Column:
     return F.concat(*[char_ngrams(text, n) for n in range(low, high + 1)])
 
@@ -50,6 +85,12 @@ def min_hashes(text: Column, n: int, low: int = 2, high: int = 4) -> Column:
         import numpy as np
 
         def signature(value: str) -> list[float]:
+            # pieces share the grams across their borders
+            pieces = [value[i : i + PIECE_CHARS + high - 1] for i in range(0, len(value), PIECE_CHARS)] or [""]
+            # only the last may be too short for a gram, and only where there are others
+            return np.min([of_piece(p) for p in pieces if len(p) >= low or len(pieces) == 1], axis=0).tolist()
+
+        def of_piece(value: str) -> list[float]:
             codes = np.frombuffer(value.encode("utf-32-le"), dtype="<u4").astype(np.int64)
             numbers = [np.empty(0, np.int64)]
             for k in range(low, high + 1):

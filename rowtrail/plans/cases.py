@@ -18,7 +18,7 @@ from rowtrail.functions import time
 from rowtrail.operators import lineage
 from rowtrail.operators.fuzzy import fuzzy_join
 from rowtrail.operators.split import stratified_split, train_test_split
-from rowtrail.operators.text_join import join_text
+from rowtrail.operators.text_join import join_whole_text
 from rowtrail.operators.tracked import Tracked
 from rowtrail.plans.feature_queries import IN_TEST
 from rowtrail.plans.fuzzy_queries import PLACES_SQL, best_sql, centroids, misspelt_code, places
@@ -643,12 +643,12 @@ def string_case(shop) -> Tracked:
         total_items=("item_id", "count"), total_price=("price_cents", "sum"), total_freight=("freight_cents", "sum"),
     )
     # one aggregate per grain, with the joined texts beside the numbers
-    paid = join_text(
+    paid = join_whole_text(
         shop.payments(), ["order_id"], {"payment_types": "payment_type"},
         max_installments=F.max("installments"), total_payment=F.sum("payment_cents"),
     )
     products = join(shop.order_items("product_items"), shop.products(), on="product_id", how="left")
-    bought = join_text(
+    bought = join_whole_text(
         products, ["order_id"], {"categories": "category"}, mean_weight=F.avg("weight"), max_weight=F.max("weight")
     )
     t = orders

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from rowtrail import Trail, aggregate, join, register_operator
 from rowtrail.features.encoding import (
-    MinHashEncoder, OneHotEncoder01, OrdinalEncoder, TableVectorizer, TargetEncoder, embed_with_model,
+    GapEncoder, MinHashEncoder, OneHotEncoder01, OrdinalEncoder, TableVectorizer, TargetEncoder, TextEncoder, embed_with_model,
 )
 from rowtrail.features.scaling import RobustScaler, SquashingScaler, StandardScaler
-from rowtrail.functions import time
+from rowtrail.functions import text, time
 from rowtrail.functions.text import min_hashes, trigram_set
 from rowtrail.operators import lineage, split
 from rowtrail.operators.fuzzy import best_matches, fuzzy_join
-from rowtrail.operators.text_join import aggregate_python, join_text, text_parts
+from rowtrail.operators.text_join import aggregate_python, join_text, join_whole_text, text_parts
 from rowtrail.sources.readers import read_csv, write_csv, write_parquet
 
 
@@ -56,6 +56,36 @@ def test_text_of_hot_groups(hot):
     assert {r["text"] for r in empty.df.collect()} == {""}
 
 
+def test_whole_text_of_hot_groups(hot):
+    t = hot(Trail()).with_columns({"v": F.when((F.col("v") < 8) | (F.col("v") > 17), F.col("v").cast("string")), "n": F.col("v")})
+    whole = " ".join(str(i) for i in range(40) if not 8 <= i <= 17)
+    joined = join_whole_text(t, ["k"], {"text": "v", "again": "v"}, part_rows=4, most=F.max("n"))
+    assert {tuple(r) for r in joined.df.select("k", "text", "again", "most").collect()} == {
+        ("hot", whole, whole, 39), ("cold", "0 1 2", "0 1 2", 2),
+    }
+    assert {r["k"]: r["_prov"] for r in lineage.consolidate(joined).collect()} == {"hot": list(range(40)), "cold": [40, 41, 42]}
+    empty = join_whole_text(t.with_columns({"v": F.lit(None).cast("string")}), ["k"], {"text": "v"}, part_rows=4)
+    assert [r["text"] for r in empty.df.collect()] == ["", ""]
+
+
+def test_long_texts_are_encoded_in_pieces(spark, source, monkeypatch):
+    """The same numbers whatever the length of the pieces."""
+    texts = ["", "a", None, "  two  Words ", "abcdefgh" * 3, " ".join(f"w{i % 7}" for i in range(60)), " " * 30 + "x" + " " * 30, "\u00e9\u4e2d " * 11]
+    t = source(Trail(), "t", "i bigint, s string", *[(i, s) for i, s in enumerate(texts * 2)])
+
+    def encoded():
+        counts = GapEncoder(["s"], 3)._counted(t.df, "s").select("i", "_counts").collect()
+        words = TextEncoder(["s"], 3)._counted(t.df, "s").select("i", "_tf").collect()
+        hashes = t.df.select("i", min_hashes(F.coalesce("s", F.lit("")), 5)).collect()
+        topics = GapEncoder(["s"], 3).fit(t).transform(t).df
+        assert topics.count() == len(texts) * 2 and set(topics.columns) == {*t.df.columns, "s_0", "s_1", "s_2"} - {"s"}
+        return [{r[0]: list(r[1].toArray() if hasattr(r[1], "toArray") else r[1]) for r in rows} for rows in (counts, words, hashes)]
+
+    whole = encoded()
+    monkeypatch.setattr(text, "PIECE_CHARS", 7)
+    assert encoded() == whole
+
+
 def test_parts_of_a_fan_out(source):
     """One left row meets many right rows, some rows meet none: parts stay bounded and whole."""
     trail = Trail()

@@ -6,8 +6,9 @@ Positions whose name occurs once are settled and leave, so only repeated runs ar
 one interval of the suffix array with a common prefix of 2^k lines or more; the order of the intervals among each other is never needed and
 not computed. A run of any length is named by the two names of the largest power of two that cover it.
 
-A run counts from ``min_chars`` characters on, so from each position the shortest run that long is looked up: the union of all that occur
-before, by (doc_id, line), is the union of all maximal repeated runs of at least that length in their later copies. Those lines go.
+A run counts from ``min_chars`` characters on, so from each position the shortest run that long is looked up, and the union of all that occur
+before, by (doc_id, line), goes. That is less than the union of all maximal repeated runs: the last lines of a repeated run stay where fewer
+than ``min_chars`` characters are left from each of them to its end. The SQL of the query has the same rule.
 """
 
 from __future__ import annotations
@@ -156,9 +157,9 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_chars: int = MIN_CHARS)
 def line_duplicates(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The columns of ``docs`` with what is left of ``text``, and n_lines, n_removed, kept_sha256 (of the text that is left).
 
-    Lines are what ``\\n`` separates, byte for byte. A line is removed where a run of consecutive lines that covers it, of ``min_chars``
-    characters or more in all (line breaks not counted), also starts at a smaller (doc_id, line); so the first copy stays, and a run
-    repeated inside one document goes as well. A NULL text becomes the empty text, one empty line. A row without doc_id stays whole and
+    Lines are what ``\\n`` separates, byte for byte. A line is removed where a run of consecutive lines that covers it, the shortest
+    from its first line on that has ``min_chars`` characters (line breaks not counted), also starts at a smaller (doc_id, line); so the first
+    copy stays, and a run repeated inside one document goes as well. Short last lines of a repeated run stay, see above. A NULL text becomes the empty text, one empty line. A row without doc_id stays whole and
     takes nothing from others. Equal rows are one document and come out equal; rows with one doc_id and different texts are put in an
     order of their own. Columns of ``docs`` named like the added ones are replaced. No rows give no rows.
     """

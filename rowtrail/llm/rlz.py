@@ -1,4 +1,7 @@
-"""Substring de-duplication by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring de-duplication by anchor blocks and hashes of runs, in the place of relative Lempel-Ziv factoring.
+
+No factor is found by extending a match greedily along a reference: that takes a document's whole parse in order, against references that
+must all be at hand. Here whole blocks are compared by their hashes, in joins, and runs of words one by one where versions differ.
 
 Every run of ``WINDOW`` words has an anchor: the smallest hash among its ``GRAM``-word grams, which depends on the run's words alone.
 Neighbouring runs with the same anchor make up one block of words. Blocks are the references: the index tells, for each

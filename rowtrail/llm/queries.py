@@ -16,6 +16,7 @@ from rowtrail.llm.packing import pack
 from rowtrail.llm.quality import classify
 from rowtrail.llm.rlz import substring_duplicates
 from rowtrail.llm.shared import table
+from rowtrail.llm.spelling import corpus_spellings
 from rowtrail.llm.tokens import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +109,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_spellings(table(spark, sf_dir, "documents"))

@@ -13,6 +13,7 @@ from rowtrail.llm.fingerprints import edited_fingerprints
 from rowtrail.llm.lines import MIN_CHARS, line_duplicates
 from rowtrail.llm.minhash import near_duplicates
 from rowtrail.llm.packing import pack
+from rowtrail.llm.phrases import collocations
 from rowtrail.llm.quality import classify
 from rowtrail.llm.rlz import substring_duplicates
 from rowtrail.llm.shared import table
@@ -114,3 +115,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_spelling_variants")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_spellings(table(spark, sf_dir, "documents"))
+
+
+PHRASES_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 6)) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, u.cut, u.a, x.f AS l, y.f AS r, t.n, CAST((1000::HUGEINT * u.a * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM u JOIN t USING (lang) JOIN f AS x ON x.lang = u.lang AND x.phrase = array_to_string(ws[1 : cut], ' ') JOIN f AS y ON y.lang = u.lang AND y.phrase = array_to_string(ws[cut + 1 :], ' ')),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM s),
+i AS (SELECT lang, k, a, ws, m, unnest(range(1, k - m + 2)) AS b FROM c, (SELECT unnest(range(2, 5)) AS m) WHERE m < k),
+v AS (SELECT DISTINCT i.lang, q.phrase FROM i JOIN c AS q ON q.lang = i.lang AND q.phrase = array_to_string(i.ws[b : b + m - 1], ' ') WHERE i.a >= q.a),
+z AS (SELECT o.*, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, o.phrase) AS rank FROM o ANTI JOIN v ON v.lang = o.lang AND v.phrase = o.phrase WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000"""
+
+
+@query("op11_phrase_collocations", PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))

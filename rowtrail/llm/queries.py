@@ -16,6 +16,7 @@ from rowtrail.llm.packing import pack
 from rowtrail.llm.phrases import collocations
 from rowtrail.llm.quality import classify
 from rowtrail.llm.rlz import substring_duplicates
+from rowtrail.llm.runindex import repeated_substrings
 from rowtrail.llm.shared import table
 from rowtrail.llm.spelling import corpus_spellings
 from rowtrail.llm.tokens import token_counts
@@ -112,6 +113,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op12_suffix_array_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings(table(spark, sf_dir, "documents"))
+
+
 @query("op13_spelling_variants")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_spellings(table(spark, sf_dir, "documents"))

@@ -30,10 +30,10 @@ from rowtrail.llm.shared import Scratch, column, slices, text_buffers
 from rowtrail.llm.words import U, mix, words_of
 
 DEPTH, LEAST, TOP = 5, 100, 2000
-BUDGET = 1 << 21
+BUDGET = 1 << 19
 """Suffixes that a group holds, about; a task sorts as many of its own at a time."""
 SMALL_WORDS = 4_000_000
-BLOCK, SALTS, TEXT_BYTES = 1024, 64, 8 << 20
+BLOCK, SALTS, TEXT_BYTES = 1024, 64, 4 << 20
 BREAK = np.zeros(256, bool)
 BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 BLANK = BREAK.copy()

@@ -1,15 +1,16 @@
 """Phrase collocations from word suffixes, partitioned vertically by their first words.
 
 The suffix at a word is that word and the up to four after it in its piece of text: a suffix tree cut at a depth of five words has the counts of
-all phrases as leaf totals. The tree is never whole in one place. It is partitioned by prefixes that fit a memory budget: a prefix is
-extended word by word until it holds a word that occurs at most ``BUDGET / 8`` times, so the suffixes below it are no more than that (five frequent words are a
-whole suffix, which is one row with a weight). Prefixes are dealt to groups of about ``BUDGET`` suffixes each.
+all phrases as leaf totals. The tree is never whole in one place. It is partitioned by prefixes that fit a memory budget: a prefix that occurs more than
+``BUDGET`` times is extended by a word, and its extensions are counted over all texts in their turn; there are few of them, no more than words over
+``BUDGET``. Prefixes are dealt to groups of about ``BUDGET`` suffixes each.
 
 1. Words are counted; words below the least count end a suffix, since no phrase with them can count.
-2. Every task sorts the suffixes of its texts, adds equal ones up and sends them, packed in blocks, to the groups of their prefixes.
-3. Each group builds its subtrees by itself: its sorted suffixes, in which a node of depth d is a run of equal first d words. Nodes above a
-   prefix, made of frequent words only, are in several groups; their parts are added up afterwards.
-4. Parts of candidates are looked up in the table of counts, scores are whole-number quotients of decimals.
+2. While there are prefixes beyond the budget, their extensions are counted: those whose last words are beyond it too, as others cannot be.
+3. Every task sorts the suffixes of its texts, adds equal ones up and sends them, packed in blocks, to the groups of their prefixes.
+4. Each group builds its subtrees by itself: its sorted suffixes, in which a node of depth d is a run of equal first d words. Nodes above a
+   prefix are spread over groups; these are the ones counted before.
+5. Parts of candidates are looked up in the table of counts, scores are whole-number quotients of decimals.
 
 Words are told apart by 64-bit hashes of language and word. The table of words that reach the least count is sent to all tasks if it
 has at most ``SMALL_WORDS`` rows; beyond that suffixes carry the hashes themselves and are not shortened, with the same results.
@@ -87,7 +88,7 @@ class Codes:
     hashes: np.ndarray | None  # ascending
     numbers: np.ndarray | None
     by_number: np.ndarray | None
-    heavy: np.ndarray  # numbers (or hashes) of the words that occur too often to end a prefix, ascending
+    heavy: list[np.ndarray]  # by number of words: chained hashes of the prefixes beyond the budget, ascending
     groups: int
 
     @property
@@ -105,11 +106,11 @@ class Codes:
     def names(self, codes: np.ndarray) -> np.ndarray:
         return codes if self.hashes is None else self.by_number[codes.astype(np.int64)]
 
-    def is_heavy(self, codes: np.ndarray) -> np.ndarray:
-        if not len(self.heavy):
-            return np.zeros(codes.shape, bool)
-        at = np.minimum(np.searchsorted(self.heavy, codes), len(self.heavy) - 1)
-        return self.heavy[at] == codes
+    def is_heavy(self, chain: np.ndarray, words: int) -> np.ndarray:
+        known = self.heavy[words - 1] if words <= len(self.heavy) else np.zeros(0, U)
+        if not len(known):
+            return np.zeros(len(chain), bool)
+        return known[np.minimum(np.searchsorted(known, chain), len(known) - 1)] == chain
 
     def pack(self, columns: list[np.ndarray]) -> list[np.ndarray]:
         """The words of a suffix in as few 64-bit keys as hold them, in order."""
@@ -128,14 +129,21 @@ class Codes:
         return [(keys[j // per] >> U(self.bits * (per - 1 - j % per))) & mask if per > 1 else keys[j] for j in range(DEPTH)]
 
     def group_of(self, columns: list[np.ndarray]) -> np.ndarray:
-        """The group of each suffix: by its words up to the first that is not heavy."""
-        h, going = np.zeros(len(columns[0]), U), np.ones(len(columns[0]), bool)
-        for c in columns:
-            h = np.where(going, mix(h + c + U(0x9E3779B97F4A7C15)), h)
-            going &= self.is_heavy(c)
+        """The group of each suffix: by its words up to the first prefix that is within the budget."""
+        h = chained(np.zeros(len(columns[0]), U), columns[0])
+        for d in range(1, DEPTH):
+            going = self.is_heavy(h, d)
+            if not going.any():
+                break
+            h = np.where(going, chained(h, columns[d]), h)
         return (h % U(self.groups)).astype(np.int32)
 
 
+def chained(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of sequences of words, one word longer."""
+    return mix(h + words + U(0x9E3779B97F4A7C15))
+
+
 def _summed(keys: list[np.ndarray], weights: np.ndarray, first: np.ndarray | None = None):
     """Keys in order (of ``first`` before all), equal ones added up."""
     order = np.lexsort([*keys[::-1], *([first] if first is not None else [])])
@@ -156,6 +164,45 @@ def _from_planes(raw: memoryview, rows: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, rows).T).view(U).reshape(rows)
 
 
+def _suffixes(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[list[np.ndarray]]:
+    """The words of every suffix, by place in it; 0 behind its end."""
+    for _, _, _, _, hashes, ends in _texts(batches):
+        last = codes.look(hashes)
+        columns, open_ = [last], last != 0
+        for j in range(1, DEPTH):
+            open_ = open_[:-1] & ~ends[j - 1 : -1] if len(open_) > 1 else open_[:0]
+            here = np.where(open_, last[j:], U(0))
+            open_ = here != 0
+            columns.append(np.append(here, np.zeros(len(last) - len(here), U)))
+        yield columns
+
+
+def extensions(shared, words: int):
+    """Counts, by task, of the prefixes of so many words that go on from one beyond the budget and may be beyond it themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: Codes = shared.value
+        total: dict[tuple[int, ...], int] = {}
+        for columns in _suffixes(batches, codes):
+            ok = columns[words - 1] != 0
+            for first in (0, 1):  # all words but the last, and all but the first
+                h = np.zeros(len(ok), U)
+                for c in columns[first : first + words - 1]:
+                    h = chained(h, c)
+                ok &= codes.is_heavy(h, words - 1)
+            rows = np.stack([codes.names(c[ok]) for c in columns[:words]], 1)
+            for key, n in zip(*map(np.ndarray.tolist, np.unique(rows, axis=0, return_counts=True)), strict=True):
+                total[tuple(key)] = total.get(tuple(key), 0) + n
+        found = list(total)
+        for lo in range(0, len(found), 1 << 14):
+            some = found[lo : lo + (1 << 14)]
+            flat = np.array(some, U).reshape(-1).view(np.int64)
+            phrase = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * words), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([phrase, pa.array([total[k] for k in some], pa.int64())], ["phrase", "f"])
+
+    return run
+
+
 def suffix_blocks(shared):
     """Suffixes of the texts, sorted and added up, in blocks for their groups."""
 
@@ -178,14 +225,7 @@ def suffix_blocks(shared):
                     [pa.array(group[s]), pa.array((e - s).astype(np.int32)), pa.array(blobs, pa.binary())], ["grp", "rows", "block"]
                 )
 
-        for _, _, _, _, hashes, ends in _texts(batches):
-            last = codes.look(hashes)
-            columns, open_ = [last], last != 0
-            for j in range(1, DEPTH):
-                open_ = open_[:-1] & ~ends[j - 1 : -1] if len(open_) > 1 else open_[:0]
-                here = np.where(open_, last[j:], U(0))
-                open_ = here != 0
-                columns.append(np.append(here, np.zeros(len(last) - len(here), U)))
+        for columns in _suffixes(batches, codes):
             keep = np.flatnonzero(columns[1])
             if len(keep):
                 held.append(codes.pack([c[keep] for c in columns]))
@@ -203,7 +243,7 @@ BLOCKS = "grp int, rows int, block binary"
 
 
 def subtrees(shared, least: int):
-    """The nodes of depth 2 and more of every group's subtrees with their leaf totals: those that reach the least count, and parts of nodes above a prefix."""
+    """The nodes of depth 2 and more of every group's subtrees that reach the least count, with their leaf totals. Nodes above a prefix are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: Codes = shared.value
@@ -218,16 +258,16 @@ def subtrees(shared, least: int):
         def nodes() -> Iterator[pa.RecordBatch]:
             *keys, weights = merged()
             columns = codes.unpack(keys)
-            differs, heavy = np.ones(len(weights), bool), np.ones(len(weights), bool)
+            differs, chain = np.ones(len(weights), bool), np.zeros(len(weights), U)
             differs[1:] = False
             for d, c in enumerate(columns, 1):
                 differs[1:] |= c[1:] != c[:-1]
-                heavy &= codes.is_heavy(c)
+                chain = chained(chain, c)
                 if d == 1:
                     continue
                 at = np.flatnonzero(differs)
                 total = np.add.reduceat(weights, at)
-                ok = (c[at] != 0) & ((total >= least) | (heavy[at] & (d < DEPTH)))
+                ok = (c[at] != 0) & (total >= least) & ~codes.is_heavy(chain[at], d)
                 at, total = at[ok], total[ok]
                 for lo in range(0, len(at), 1 << 16):
                     some = at[lo : lo + (1 << 16)]
@@ -260,20 +300,25 @@ NODES = "phrase array<long>, f long"
 
 
 def codes_of(words: DataFrame, suffixes: int, least: int, small: int = SMALL_WORDS) -> Codes:
-    """Numbers for the words of (h, n) that reach the least count, if they are few enough to be sent to all tasks."""
+    """Numbers for the words of (h, n) that reach the least count, if they are few enough to be sent to all tasks; and those beyond the budget."""
     frequent = words.filter(F.col("n") >= least)
     groups = max(-(-suffixes // BUDGET), 1)
-    bound = max(BUDGET // 8, least)
+    bound = max(BUDGET, least)
+
+    def heavy(codes: np.ndarray) -> list[np.ndarray]:
+        return [np.sort(chained(np.zeros(len(codes), U), codes))]
+
     if frequent.count() > small:
-        heavy = np.sort(np.array([r["h"] for r in frequent.filter(F.col("n") > bound).select("h").collect()], np.int64).view(U))
-        return Codes(None, None, None, heavy, groups)
+        many = frequent.filter(F.col("n") > bound).select("h").collect()
+        codes = np.array([r["h"] for r in many], np.int64).view(U)
+        return Codes(None, None, None, heavy(np.where(codes == 0, U(1), codes)), groups)
     rows = frequent.select("h", "n").toPandas()
     h, n = rows["h"].to_numpy(np.int64).view(U), rows["n"].to_numpy(np.int64)
     order = np.lexsort([h, -n])
     h, n = h[order], n[order]
     back = np.argsort(h)
-    heavy = np.arange(1, int((n > bound).sum()) + 1).astype(U)
-    return Codes(h[back], (back + 1).astype(U), np.append(U(0), h), heavy, groups)
+    numbers = np.arange(1, len(h) + 1).astype(U)
+    return Codes(h[back], (back + 1).astype(U), np.append(U(0), h), heavy(numbers[n > bound]), groups)
 
 
 def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, small: int = SMALL_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -284,12 +329,26 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, small:
     words = docs.mapInArrow(_word_counts, WORDS).groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
     words = scratch.write(words, "words")
     suffixes = words.agg(F.sum("n")).first()[0] or 0
-    shared = spark.sparkContext.broadcast(codes_of(words, suffixes, least, small))
+    codes = codes_of(words, suffixes, least, small)
+    shared = spark.sparkContext.broadcast(codes)
+    above = None
+    for n in range(2, DEPTH):
+        if not len(codes.heavy[-1]):
+            break
+        longer = docs.mapInArrow(extensions(shared, n), NODES).groupBy("phrase").agg(F.sum("f").alias("f"))
+        longer = scratch.write(longer.filter(F.col("f") > max(BUDGET, least)), "above")
+        above = longer if above is None else above.unionByName(longer)
+        h = np.zeros(longer.count(), U)
+        if len(h):  # at most one in BUDGET suffixes
+            phrases = np.array([r["phrase"] for r in longer.select("phrase").collect()], np.int64).view(U)
+            for c in phrases.T:
+                h = chained(h, codes.look(np.ascontiguousarray(c)))
+        codes.heavy.append(np.sort(h))
+        shared = spark.sparkContext.broadcast(codes)
     blocks = docs.mapInArrow(suffix_blocks(shared), BLOCKS)
     blocks = blocks.repartition(shared.value.groups, "grp").sortWithinPartitions("grp")
     nodes = blocks.mapInArrow(subtrees(shared, least), NODES)
-    counted = nodes.groupBy("phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    return words, scratch.write(counted, "phrases")
+    return words, scratch.write(nodes if above is None else nodes.unionByName(above), "phrases")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, small: int = SMALL_WORDS) -> DataFrame:

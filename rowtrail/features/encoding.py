@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, PCA, HashingTF, OneHotEncoder
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowtrail.features.base import ColumnwiseTransformer
+from rowtrail.features.factorise import Weights, activations, fitted_weights, gram_counts
 from rowtrail.functions import text, time
 from rowtrail.operators.parts import MAX_BROADCAST_GROUPS
 from rowtrail.operators.tracked import Tracked
@@ -198,47 +198,40 @@ def _counted_by_length(df: DataFrame, column: str, count, count_long, items: str
 
 
 class GapEncoder(_TextEncoder):
-    """Topic weights of a text's character 2- to 4-grams (LDA), fitted on the distinct training texts.
+    """Latent topics of a text's character 2- to 4-grams: activations of a Gamma-Poisson factorisation, fitted on the distinct training texts.
 
-    All grams count: they are hashed into ``buckets`` places, none is left out. LDA stands in for Gamma-Poisson factorisation: the same role, not the same numbers.
+    All grams count: they are hashed into ``buckets`` places, none is left out. Each distinct text is activated once, then met with its rows.
     """
 
     def __init__(self, columns: list[str], n_components: int = 30, buckets: int = 1 << 12, iterations: int = 10):
         super().__init__(columns, n_components)
-        self.iterations = iterations
-        self.counter = HashingTF(inputCol="_grams", outputCol="_counts", numFeatures=buckets)
+        self.buckets, self.iterations = buckets, iterations
 
     def fit(self, t: Tracked) -> "GapEncoder":
-        self.models = {}
+        self.models: dict[str, Weights] = {}
         for c in self.columns:
-            long = _long_texts(t.df, c)
-            short = t.df if long is None else t.df.filter(F.length(_lowered(c)) <= text.PIECE_CHARS)
-            distinct = self.counter.transform(short.select(self._grams(c)).distinct()).select("_counts")
-            distinct = store(distinct if long is None else distinct.unionByName(self._long_counts(long).select("_counts")), "grams")
-            lda = LDA(k=self.n_components, maxIter=self.iterations, featuresCol="_counts", seed=1)
-            self.models[c] = lda.fit(distinct)
+            counts = store(gram_counts(t.df, c, 2, 4, self.buckets), "grams")
+            self.models[c] = fitted_weights(counts, self.n_components, self.buckets, self.iterations)
         return self
 
     def transform(self, t: Tracked) -> Tracked:
-        for c, lda in self.models.items():
-            df = lda.transform(self._counted(t.df, c))
-            df = df.withColumn("_topics", vector_to_array("topicDistribution"))
-            df = df.drop("_grams", "_counts", "topicDistribution")
+        for c, weights in self.models.items():
+            active = activations(gram_counts(t.df, c, 2, 4, self.buckets), weights)
+            active = store(active.select(F.col("key").alias("_text"), F.col("active").alias("_topics")), "topics")
+            side = F.broadcast(active) if active.count() <= MAX_BROADCAST_GROUPS else active
+            df = t.df.join(side, F.sha2(_lowered(c), 256) == F.col("_text"), "left").drop("_text")
             t = self._spread(Tracked(df, t.trail, t.nodes), c, "_topics")
         return t
 
     def _counted(self, df: DataFrame, column: str) -> DataFrame:
-        def count(rows):
-            return self.counter.transform(rows.withColumn("_grams", self._grams(column)))
-
-        return _counted_by_length(df, column, count, self._long_counts, "_grams", "_counts")
-
-    def _long_counts(self, texts: DataFrame) -> DataFrame:
-        return _added_up(texts, text.gram_pieces(F.col("_long"), 4), text.piece_grams(F.col("_piece"), 2, 4), self.counter)
-
-    @staticmethod
-    def _grams(column: str):
-        return text.ngram_range(_lowered(column), 2, 4).alias("_grams")
+        """Rows with ``_counts``: their hashed grams in order, each with how often it occurs."""
+        counts = gram_counts(df, column, 2, 4, self.buckets)
+        times = F.coalesce("times", F.transform("codes", lambda _: F.lit(1)))
+        pairs = counts.select(F.col("key").alias("_text"), F.explode(F.arrays_zip(F.col("codes").alias("code"), times.alias("n"))).alias("p"))
+        added = pairs.groupBy("_text", "p.code").agg(F.sum("p.n").alias("n")).groupBy("_text")
+        listed = added.agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("_counts"))
+        rows = df.withColumn("_text", F.sha2(_lowered(column), 256)).join(listed, "_text", "left").drop("_text")
+        return rows.withColumn("_counts", F.coalesce("_counts", F.array().cast("array<struct<code:int,n:bigint>>")))
 
 
 class TextEncoder(_TextEncoder):

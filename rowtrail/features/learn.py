@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowtrail.features.base import Transformer
+from rowtrail.features.boosting import Settings, Training, boost, test_scores
 from rowtrail.functions import ids
 from rowtrail.operators.split import with_folds
 from rowtrail.operators.tracked import Tracked
@@ -20,42 +17,51 @@ from rowtrail.operators.tracked import Tracked
 
 @dataclass
 class Learner:
-    """Preprocessing and boosted trees, fitted on the frame given to ``fit`` and on nothing else."""
+    """Preprocessing and boosted trees, fitted on the frame given to ``fit`` and on nothing else. NULL features are missing values to the trees."""
 
     steps: list[Transformer]
     label: str
     kind: str = "classifier"
-    iterations: int = 20
+    iterations: int = 100
     depth: int = 5
     rate: float = 0.1
-    seed: int = 0
+    early_stopping: bool | None = None
 
     def fit(self, train: Tracked) -> "Learner":
-        train = train.stored("train")  # every fitted step reads it once or more
+        train = self._prepared(train.stored("train")).stored("features")
+        self.features = self._feature_names(train)
+        [self.model], _ = boost([Training(train.df, self.features, self.label)], self.settings)
+        return self
+
+    @property
+    def settings(self) -> Settings:
+        return Settings(self.kind, self.iterations, self.depth, rate=self.rate, early_stopping=self.early_stopping)
+
+    def training(self, train: Tracked, test: Tracked) -> Training:
+        """Rows for ``boost``: steps fitted on ``train`` alone, and what they make of ``train`` and of ``test``, which is only scored."""
         for step in self.steps:
             step.fit(train)
-            train = step.transform(train)
+            train, test = step.transform(train), step.transform(test)
         self.features = self._feature_names(train)
-        assembled = self._assembled(train)
-        options = dict(
-            labelCol=self.label, featuresCol="features", maxIter=self.iterations, maxDepth=self.depth,
-            stepSize=self.rate, seed=self.seed,
-        )
-        trees = GBTClassifier(**options) if self.kind == "classifier" else GBTRegressor(**options)
-        # boosting reads the training rows once per tree: keep them beside the executors, spilling to disk
-        rows = assembled.select(F.col(self.label).cast("double").alias(self.label), "features").persist()
-        self.model = trees.fit(rows)
-        rows.unpersist()
-        return self
+        sides = [t.df.select(*self.features, self.label).withColumn("_test", F.lit(x)) for t, x in ((train, False), (test, True))]
+        return Training(sides[0].unionByName(sides[1]), self.features, self.label, "_test")
+
+    def _prepared(self, t: Tracked) -> Tracked:
+        """Fits the steps one after the other."""
+        for step in self.steps:
+            step.fit(t)
+            t = step.transform(t)
+        return t
 
     def predict(self, t: Tracked) -> Tracked:
         """Adds ``prediction``, for classifiers also ``probability`` of class 1."""
         for step in self.steps:
             t = step.transform(t)
-        scored = self.model.transform(self._assembled(t))
-        columns = [F.col("prediction")]
+        scored = t.df.withColumn("_raw", self.model.column(t.df))
         if self.kind == "classifier":
-            columns.append(vector_to_array("probability")[1].alias("probability"))
+            columns = [(F.col("_raw") > 0).cast("double").alias("prediction"), (1 / (1 + F.exp(-F.col("_raw")))).alias("probability")]
+        else:
+            columns = [F.col("_raw").alias("prediction")]
         kept = [c for c in t.columns if not isinstance(t.df.schema[c].dataType, _vector_type())]
         return replace(t, df=scored.select(*kept, *columns, *t.hidden), fresh=None)
 
@@ -76,16 +82,6 @@ class Learner:
             c for step in self.steps for c in getattr(step, "exclude", ())
         }
 
-    def _assembled(self, t: Tracked) -> DataFrame:
-        """Trees of Spark need numbers everywhere: NULL becomes 0 next to a 0/1 column that says so."""
-        numbers = [c for c in self.features if isinstance(t.df.schema[c].dataType, T.NumericType)]
-        others = [c for c in self.features if c not in numbers]
-        filled = {f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers}
-        missing = {f"_m_{c}": F.col(c).isNull().cast("double") for c in numbers}
-        df = t.df.withColumns(filled | missing)
-        out = VectorAssembler(inputCols=[*filled, *missing, *others], outputCol="features").transform(df)
-        return out.drop(*filled, *missing)
-
 
 def _vector_type():
     from pyspark.ml.linalg import VectorUDT
@@ -105,11 +101,19 @@ def score(predicted: Tracked, label: str, kind: str = "classifier") -> DataFrame
     )
 
 
-def verdicts(predicted: Tracked, label: str, kind: str = "classifier") -> Tracked:
-    """The rows with what must hold of any fitted model: ``prediction_ok``, ``probability_ok`` (classifiers) and ``score_ok``.
+def baseline(predicted: Tracked, label: str, kind: str = "classifier") -> float:
+    """The score of always saying the same: the share of the larger class, or 0 for R², that of the mean."""
+    if kind != "classifier":
+        return 0.0
+    share = predicted.df.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return max(share, 1 - share) if share is not None else 0.0
+
+
+def verdicts(predicted: Tracked, label: str, kind: str = "classifier", margin: float = 0.0) -> Tracked:
+    """The rows with what must hold of the fitted model: ``prediction_ok``, ``probability_ok`` (classifiers) and ``score_ok``.
 
     A class is 0 or 1 and the likelier of the two, a regression is a finite number, a probability lies in [0, 1]; the reported score is the
-    one counted from these rows another way, and no better than perfect.
+    one counted from these rows another way, and better than that of always saying the same by ``margin`` or more.
     """
     predicted = predicted.stored("predicted")
     y, p = F.col(label).cast("double"), F.col("prediction")
@@ -123,7 +127,8 @@ def verdicts(predicted: Tracked, label: str, kind: str = "classifier") -> Tracke
         left, whole = predicted.df.agg(F.sum((y - p) ** 2), F.sum((y - mean) ** 2)).first()
         again = 1 - left / whole if whole else None
         flags = {"prediction_ok": ~F.isnan(p) & (F.abs(p) < float("inf"))}
-    ok = again is not None and abs(again - reported["score"]) < 1e-6 and reported["score"] <= 1
+    ok = again is not None and abs(again - reported["score"]) < 1e-6
+    ok = ok and baseline(predicted, label, kind) + margin <= reported["score"] <= 1
     return predicted.with_columns(flags | {"score_ok": F.lit(ok)})
 
 
@@ -132,19 +137,46 @@ def top_risks(predicted: Tracked, k: int) -> DataFrame:
     return predicted.df.orderBy(F.desc("probability"), *predicted.hidden).limit(k)
 
 
-def cross_validate(t: Tracked, make_learner, folds: int, seed: int = 0, key: str | None = None) -> list[tuple[int, float, int]]:
-    """(fold, score, test rows) of a learner fitted anew without each fold."""
+def cross_validate(t: Tracked, make_learner, folds: int, seed: int = 0, key: str | None = None) -> list[tuple[int, float, int, float]]:
+    """(fold, score, test rows, baseline) of a learner fitted anew without each fold."""
+    return cross_validate_all(t, {"": make_learner}, folds, seed, key)[""]
+
+
+def cross_validate_all(
+    t: Tracked, makers: dict, folds: int, seed: int = 0, key: str | None = None
+) -> dict[str, list[tuple[int, float, int, float]]]:
+    """(fold, score, test rows, baseline) of each learner, fitted anew without each fold.
+
+    Preprocessing is fitted per fold, on the other folds; the trees of all learners and folds then grow together, in the same jobs.
+    """
     folded = with_folds(t, folds, seed, key, "_fold").stored("folds")
-    out = []
-    for fold in range(folds):
-        train = folded.filter(F.col("_fold") != fold).drop("_fold")
-        test = folded.filter(F.col("_fold") == fold).drop("_fold")
-        value, n = make_learner().fit(train).score(test).first()
-        out.append((fold, value, n))
+    trainings, names = [], []
+    for name, make in makers.items():
+        for fold in range(folds):
+            learner = make()
+            train = folded.filter(F.col("_fold") != fold).drop("_fold")
+            test = folded.filter(F.col("_fold") == fold).drop("_fold")
+            names.append((name, fold))
+            trainings.append(learner.training(train, test))
+    settings = {make().settings for make in makers.values()}
+    if len(settings) > 1:
+        raise ValueError("learners that are compared must boost alike")
+    _, blocks = boost(trainings, settings.pop())
+    kind = next(iter(makers.values()))().kind
+    y, raw = F.col("y"), F.col("raw")
+    if kind == "classifier":
+        value, base = F.avg(((raw > 0) == (y > 0)).cast("double")), F.greatest(F.avg(y), 1 - F.avg(y))
+    else:
+        value, base = 1 - F.sum((y - raw) * (y - raw)) / (F.var_pop(y) * F.count(y)), F.lit(0.0)
+    scores = test_scores(blocks).groupBy("model").agg(value.alias("score"), F.count(F.lit(1)).alias("n"), base.alias("baseline"))
+    found = {r["model"]: r for r in scores.collect()}
+    out: dict[str, list[tuple[int, float, int, float]]] = {name: [] for name in makers}
+    for i, (name, fold) in enumerate(names):
+        out[name].append((fold, *(found[i][c] for c in ("score", "n", "baseline"))) if i in found else (fold, None, 0, None))
     return out
 
 
-def compare(spark, results: dict[str, list[tuple[int, float, int]]]) -> DataFrame:
-    """Fold scores of several learners as one table (name, fold, score, n)."""
+def compare(spark, results: dict[str, list[tuple[int, float, int, float]]]) -> DataFrame:
+    """Fold scores of several learners as one table (name, fold, score, n, baseline)."""
     rows = [(name, *fold) for name, folds in results.items() for fold in folds]
-    return spark.createDataFrame(rows, "name string, fold int, score double, n bigint")
+    return spark.createDataFrame(rows, "name string, fold int, score double, n bigint, baseline double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from rowtrail.features.base import Branches, Chain
@@ -214,15 +216,36 @@ def minhash_documents(shop):
     return shown(MinHashEncoder(["text"], 30).fit(t).transform(t))
 
 
+def gap_weighed(shop):
+    """Products with the activations of their names, those weighed and added up, and the number of grams; and the activations' names."""
+    n = F.char_length("product_name")
+    grams = reduce(lambda x, y: x + y, [F.greatest(n - k, F.lit(0)) for k in (1, 2, 3)])
+    t = shop.products().select("product_id", "product_name").with_columns({"grams": grams})
+    encoder = GapEncoder(["product_name"], 30).fit(t)
+    below = encoder.models["product_name"].below.tolist()
+    parts = [F.col(c) * F.lit(b) for c, b in zip(encoder.outputs(), below)]
+    return encoder.transform(t).with_columns({"weighed": reduce(lambda x, y: x + y, parts)}), encoder.outputs()
+
+
+def grams_sql(column: str) -> str:
+    return " + ".join(f"greatest(length({column}) - {n}, 0)" for n in (1, 2, 3))
+
+
 @query("gap_enc", f"SELECT p_partkey AS product_id, true AS weights_ok, {ONE}, 'products:' || p_partkey AS prov FROM part")
 def gap_enc(shop):
-    """Topic weights are not negative and add up to 1."""
-    t = shop.products().select("product_id", "product_name")
-    encoder = GapEncoder(["product_name"], 30).fit(t)
-    weights = F.array(*encoder.outputs())
-    total = F.aggregate(weights, F.lit(0.0), lambda x, y: x + y)
-    ok = (F.array_min(weights) >= 0) & (F.abs(total - 1) < 1e-6)
-    return shown(encoder.transform(t).with_columns({"weights_ok": ok}).select("product_id", "weights_ok"))
+    """Activations are not negative; weighed, they add up to the number of grams and what the prior adds."""
+    t, outputs = gap_weighed(shop)
+    ok = (F.array_min(F.array(*outputs)) >= 0) & (F.abs(F.col("weighed") - F.col("grams") - 3) < 1e-5)
+    return shown(t.with_columns({"weights_ok": ok}).select("product_id", "weights_ok"))
+
+
+@query(
+    "gap_totals",
+    f"SELECT p_partkey AS product_id, CAST({grams_sql('p_name')} + 3 AS DOUBLE) AS weighed, {ONE}, 'products:' || p_partkey AS prov FROM part",
+)
+def gap_totals(shop):
+    """What the activations add up to: the number of grams of each name, and a tenth per component from the prior."""
+    return rounded(shown(gap_weighed(shop)[0].select("product_id", "weighed")), ["weighed"], 4)
 
 
 @query("text_enc", f"SELECT doc_id, true AS variances_fall, {ONE}, 'documents:' || doc_id AS prov FROM documents")

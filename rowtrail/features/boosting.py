@@ -102,19 +102,19 @@ class Booster:
         return np.array([len(t) + 1 for t in self.thresholds], np.int64)
 
     def binned(self, values: list[pa.Array], rows: int) -> np.ndarray:
-        """(features, rows) bytes: the number of thresholds below a value, NULL and NaN the last bin of the feature."""
-        out = np.empty((len(self.thresholds), rows), np.uint8)
-        at = 0
+        """(features, rows) bytes of columns of numbers and of vectors."""
+        columns = []
         for (_, width), array in zip(self.features, values, strict=True):
             array = array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
-            if width == 1 and not pa.types.is_list(array.type):
-                columns = array.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(1, -1)
-            else:
-                columns = array.flatten().to_numpy(zero_copy_only=False).reshape(rows, width).T
-            for x in columns:
-                cut = self.thresholds[at]
-                out[at] = np.where(np.isnan(x), len(cut) + 1, np.searchsorted(cut, x, side="left"))
-                at += 1
+            flat = array.flatten() if pa.types.is_list(array.type) else array.cast(pa.float64())
+            columns.append(flat.to_numpy(zero_copy_only=False).reshape(rows, width).T)
+        return self.binned_values(np.concatenate(columns) if columns else np.zeros((0, rows)))
+
+    def binned_values(self, values: np.ndarray) -> np.ndarray:
+        """The number of thresholds below each value of (features, rows); NULL and NaN are the last bin of the feature."""
+        out = np.empty(values.shape, np.uint8)
+        for f, (x, cut) in enumerate(zip(values, self.thresholds, strict=True)):
+            out[f] = np.where(np.isnan(x), len(cut) + 1, np.searchsorted(cut, x, side="left"))
         return out
 
     def raw(self, bins: np.ndarray) -> np.ndarray:
@@ -158,26 +158,27 @@ def feature_widths(df: DataFrame, features: list[str]) -> list[tuple[str, int]]:
     return widths
 
 
-def bin_thresholds(df: DataFrame, widths: list[tuple[str, int]]) -> list[np.ndarray]:
-    """Middles between the values of a feature with up to ``MAX_BINS`` of them, else its quantiles; all rows count."""
-    columns: list[Column] = []
-    for c, width in widths:
-        x = as_number(df, c, width)
-        columns += [x] if is_scalar(df, c) else [x[i] for i in range(width)]
-    if not columns:
-        return []
-    names = [f"x{i}" for i in range(len(columns))]
-    values = df.select(*[F.when(~F.isnan(x), x).alias(n) for x, n in zip(columns, names, strict=True)])
-    kinds = values.agg(*[F.approx_count_distinct(n, 0.02).alias(n) for n in names]).first()
-    few = {n for n in names if kinds[n] <= MAX_BINS * 9 // 10}
+def all_values(df: DataFrame, widths: list[tuple[str, int]]) -> Column:
+    """The features of a row in one array, NaN as NULL."""
+    parts = [F.array(as_number(df, c, w)) if is_scalar(df, c) else as_number(df, c, w) for c, w in widths]
+    joined = F.concat(*parts) if parts else F.array().cast("array<double>")
+    return F.transform(joined, lambda x: F.when(~F.isnan(x), x))
+
+
+def bin_thresholds(values: DataFrame, features: int) -> list[np.ndarray]:
+    """Middles between the values of a feature with up to ``MAX_BINS`` of them, else its quantiles. ``values`` has an array ``xs`` per row; all rows count."""
+    listed = values.select(F.posexplode("xs").alias("f", "x")).filter("x IS NOT NULL")
     shares = [i / MAX_BINS for i in range(1, MAX_BINS)]
-    found = values.agg(
-        *[(F.collect_set(n) if n in few else F.percentile_approx(n, shares, 20_000)).alias(n) for n in names]
-    ).first()
+    stats = listed.groupBy("f").agg(F.approx_count_distinct("x", 0.02).alias("n"), F.percentile_approx("x", shares, 20_000).alias("q")).collect()
+    found = {r["f"]: r["q"] for r in stats}
+    few = [r["f"] for r in stats if r["n"] <= MAX_BINS * 9 // 10]
+    if few:
+        sets = listed.filter(F.col("f").isin(few)).groupBy("f").agg(F.collect_set("x").alias("v")).collect()
+        found |= {r["f"]: r["v"] for r in sets}
     out = []
-    for n in names:
-        v = np.unique(np.array(found[n] or [], np.float64))
-        if n in few and len(v) <= MAX_BINS:
+    for f in range(features):
+        v = np.unique(np.array(found.get(f, []), np.float64))
+        if f in few and len(v) <= MAX_BINS:
             v = v[:-1] / 2 + v[1:] / 2
         elif len(v) >= MAX_BINS:  # an estimate may be a little low
             v = v[np.linspace(0, len(v) - 1, MAX_BINS - 1).astype(int)]
@@ -198,7 +199,8 @@ def _to_blocks(model: int, booster: Booster):
                 n = some.num_rows
                 y = some.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
                 role = some.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
-                bins = booster.binned(some.columns[2:], n)
+                xs = some.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                bins = booster.binned_values(xs.reshape(n, -1).T if n and len(xs) else np.zeros((0, n)))
                 yield _block_row(model, number, n, bins, y, role, np.full(n, booster.start))
                 number += 1
 
@@ -480,16 +482,16 @@ def _prepared(training: Training, settings: Settings, model: int) -> tuple[Boost
     testing = F.coalesce(F.col(training.test).cast("boolean"), F.lit(False)) if training.test else F.lit(False)
     df = df.withColumn("_y", F.when(~F.isnan(y), y)).withColumn("_testing", testing)
     df = df.filter("_testing OR _y IS NOT NULL")
-    seen = df.filter("NOT _testing")
-    rows, mean = seen.agg(F.count(F.lit(1)), F.avg("_y")).first()
     widths = feature_widths(df, training.features)
-    booster = Booster(widths, bin_thresholds(seen, widths), settings.kind, start_of(settings.kind, mean))
+    # what the steps before make of a row is worked out once
+    table = store(df.select("_y", "_testing", all_values(df, widths).alias("xs")), "values")
+    seen = table.filter("NOT _testing")
+    rows, mean = seen.agg(F.count(F.lit(1)), F.avg("_y")).first()
+    booster = Booster(widths, bin_thresholds(seen, sum(w for _, w in widths)), settings.kind, start_of(settings.kind, mean))
     early = rows >= AUTO_ROWS if settings.early_stopping is None else settings.early_stopping
-    numbers = [as_number(df, c, w) for c, w in widths]
-    held = F.pmod(F.xxhash64("_y", *numbers), F.lit(10)) == 0 if early else F.lit(False)
+    held = F.pmod(F.xxhash64("_y", "xs"), F.lit(10)) == 0 if early else F.lit(False)
     role = F.when(F.col("_testing"), TEST).when(held, VALID).otherwise(TRAIN)
-    chosen = df.select("_y", role.alias("_role"), *[x.alias(f"x{i}") for i, x in enumerate(numbers)])
-    return booster, chosen.mapInArrow(_to_blocks(model, booster), BLOCKS)
+    return booster, table.select("_y", role.alias("_role"), "xs").mapInArrow(_to_blocks(model, booster), BLOCKS)
 
 
 Splits = dict[tuple[int, int], Split]

@@ -33,7 +33,7 @@ BLOCK_BYTES = 1 << 20
 STORE_EVERY = 10
 DIRECT_BYTES = 64 << 20
 """Sums of all tasks up to this size are added up by the driver; larger ones in a second stage, which also chooses the splits."""
-ONE_TASK_BYTES = 16 << 20
+ONE_TASK_BYTES = 32 << 20
 """A model with at most so many bytes of blocks grows in one task: the many short jobs would take longer than the sums."""
 TRAIN, TEST, VALID = 0, 1, 2
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowtrail import aggregate, join
-from rowtrail.operators import lineage
+from rowtrail.operators import coded, lineage
 from rowtrail.plans.chain import chain, plain_chain, shop_chain_inputs
 from rowtrail.plans.registry import query, shown
 from rowtrail.plans.shop import ITEMS_SQL, LINE_ORDER, LINES_SQL, SUMMARY_SQL, packed
@@ -104,6 +104,32 @@ def consolidate_hot_groups(shop):
     )
 
 
+CODED_SQL = f"""WITH {LINES_SQL} SELECT l_returnflag, count(*) AS prov_n, min(rid) AS first, max(rid) AS last, bit_xor(rid) AS prov_xor, sum(rid)::BIGINT AS prov_sum
+  FROM lines GROUP BY l_returnflag"""
+
+
+def decoded_summary(sets):
+    """Counts kept with the sets, beside what their decoded ids give."""
+    found = coded.decoded_sets(sets, ["l_returnflag"]).groupBy("l_returnflag").agg(
+        F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.bit_xor("row_id").alias("prov_xor"), F.sum("row_id").alias("prov_sum")
+    )
+    return sets.select("l_returnflag", F.col("_n").alias("prov_n")).join(found, "l_returnflag")
+
+
+@query("coded_groups", CODED_SQL)
+def coded_groups(shop):
+    """Three groups share the whole table: one row each, whatever their size."""
+    t = aggregate(shop.lines(), "l_returnflag", n=("l_linenumber", "count"))
+    return decoded_summary(coded.coded_sets(t, ["l_returnflag"]))
+
+
+@query("coded_merged", CODED_SQL)
+def coded_merged(shop):
+    """The same from the sets of smaller groups, some listed and some as bitmaps, merged without going back to the rows."""
+    t = aggregate(shop.lines(), ["l_returnflag", "l_linestatus", "l_quantity"], n=("l_linenumber", "count"))
+    return decoded_summary(coded.merged_sets(coded.coded_sets(t, ["l_returnflag", "l_linestatus", "l_quantity"]), ["l_returnflag"]))
+
+
 @query(
     "edges_factored",
     f"""WITH {LINES_SQL}, g AS (SELECT DISTINCT l_returnflag FROM lines),

@@ -19,7 +19,7 @@ SEPARATOR[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] =
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], U)
-BASE = 0x9E3779B97F4A7C1B  # odd; BASE - 1 is divisible by 4 only, so neighbouring powers differ in nearly all bits
+BASE = 0x9E3779B97F4A7C1B  # odd; BASE - 1 is divisible by 2 only, so neighbouring powers differ in nearly all bits
 INVERSE = pow(BASE, -1, 1 << 64)
 
 

@@ -18,6 +18,11 @@ def is_hidden(name: str) -> bool:
     return name.startswith(PREFIX)
 
 
+def table_number(column: str) -> int:
+    """The table of a hidden id column, from its name."""
+    return int(column.removeprefix(PREFIX).split("__")[0])
+
+
 def pack(table_id: int, row: Column) -> Column:
     if not 0 <= table_id < MAX_TABLES:
         raise ValueError(f"table id {table_id} does not fit in 16 bits")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowtrail.functions import ids
+from rowtrail.operators.forward import reached_keys
 from rowtrail.operators.parts import PART_ROWS, in_parts, largest_group
 from rowtrail.operators.tracked import GroupNode, Tracked
 from rowtrail.sources.storage import store
@@ -143,9 +144,8 @@ def trace_back(t: Tracked, condition: Column | str, keys: list[str]) -> DataFram
 
 
 def trace_forward(t: Tracked, inputs: DataFrame, keys: list[str]) -> DataFrame:
-    """Output rows reached from ``inputs`` (table_id, row_id)."""
-    hits = edges(t, keys).join(inputs.select("table_id", "row_id"), ["table_id", "row_id"], "left_semi")
-    return hits.select(*keys).distinct()
+    """Output rows reached from ``inputs`` (table_id, row_id), found from below: no edges are computed."""
+    return reached_keys(t, inputs, keys)
 
 
 def compose(upper: DataFrame, lower: DataFrame, on: list[str]) -> DataFrame:
@@ -250,17 +250,13 @@ def decode(consolidated: DataFrame, trail) -> DataFrame:
     return consolidated.withColumn("_prov", tokens)
 
 
-def _table_number(column: str) -> int:
-    return int(column.removeprefix(ids.PREFIX).split("__")[0])
-
-
 def _by_table(t: Tracked) -> list[str]:
-    return sorted(t.scalars, key=_table_number)
+    return sorted(t.scalars, key=ids.table_number)
 
 
 def _one_id_per_table(t: Tracked) -> bool:
     """True if the id columns in table order are the sorted set: no table twice, no negative packed ids."""
-    numbers = {_table_number(c) for c in t.scalars}
+    numbers = {ids.table_number(c) for c in t.scalars}
     return len(numbers) == len(t.scalars) and max(numbers, default=0) < ids.MAX_TABLES // 2
 
 
@@ -270,7 +266,7 @@ def decoded(t: Tracked, part_ids: int = PART_ROWS) -> DataFrame:
         # the table of each column is known: plain expressions instead of array functions with lambdas
         names = t.trail.names
         tokens = [
-            F.concat(F.lit(f"{names[_table_number(c)]}:"), ids.row_of(F.col(c)).cast("string")) for c in _by_table(t)
+            F.concat(F.lit(f"{names[ids.table_number(c)]}:"), ids.row_of(F.col(c)).cast("string")) for c in _by_table(t)
         ]
         return t.df.select(*t.columns, F.array_compact(F.array(*tokens)).alias("_prov"))
     return decode(consolidate(t, part_ids=part_ids), t.trail)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowtrail import aggregate, join
-from rowtrail.operators import coded, lineage
+from rowtrail.operators import coded, forward, lineage
 from rowtrail.plans.chain import chain, plain_chain, shop_chain_inputs
 from rowtrail.plans.registry import query, shown
 from rowtrail.plans.shop import ITEMS_SQL, LINE_ORDER, LINES_SQL, SUMMARY_SQL, packed
@@ -61,6 +61,46 @@ def trace_forward(shop):
     return lineage.trace_forward(t, wanted, ["customer_id"])
 
 
+def wanted_inputs(shop):
+    """The lines of supplier 5 and the orders whose key ends in 77, as input rows."""
+    lines = shop.numbered_lines.filter("l_suppkey = 5").select(
+        F.lit(shop.trail.table_id("order_items")).alias("table_id"), F.col("line_row").alias("row_id")
+    )
+    orders = shop.table("orders").filter("o_orderkey % 100 = 77").select(
+        F.lit(shop.trail.table_id("orders")).alias("table_id"), F.col("o_orderkey").alias("row_id")
+    )
+    return lines.unionByName(orders)
+
+
+REACHED_SQL = f"""{TWO_LEVELS}, hit AS (SELECT customer_id FROM e WHERE pid IN (SELECT {packed(1, 'rid')} FROM lines WHERE l_suppkey = 5)
+  UNION SELECT o_custkey FROM orders WHERE o_orderkey % 100 = 77)"""
+
+
+@query("trace_forward_tables", f"WITH {REACHED_SQL} SELECT customer_id FROM hit")
+def trace_forward_tables(shop):
+    return lineage.trace_forward(two_levels(shop), wanted_inputs(shop), ["customer_id"])
+
+
+def customers_with_orders(shop):
+    """Orders beside the totals of their customer: a row has its own order and, through two aggregates, all of the customer's rows behind it."""
+    t = two_levels(shop).select("customer_id", "n_orders")
+    orders = shop.tracked("orders", "o_orderkey").rename({"o_orderkey": "order_id", "o_custkey": "customer_id"})
+    return join(orders.select("order_id", "customer_id"), t, on="customer_id", how="left")
+
+
+AFFECTED_SQL = """SELECT o_orderkey AS order_id, o_custkey AS customer_id, count(*) OVER (PARTITION BY o_custkey) AS n_orders FROM orders"""
+
+
+@query("affected_rows", f"WITH {REACHED_SQL}, a AS ({AFFECTED_SQL}) SELECT * FROM a WHERE customer_id IN (SELECT customer_id FROM hit)")
+def affected_rows(shop):
+    return forward.affected(customers_with_orders(shop), wanted_inputs(shop)).untracked()
+
+
+@query("unaffected_rows", f"WITH {REACHED_SQL}, a AS ({AFFECTED_SQL}) SELECT * FROM a WHERE customer_id NOT IN (SELECT customer_id FROM hit)")
+def unaffected_rows(shop):
+    return forward.affected(customers_with_orders(shop), wanted_inputs(shop), reached=False).untracked()
+
+
 @query(
     "compose_edges",
     f"WITH {TWO_LEVELS} SELECT customer_id, 0 AS table_id, pid & {MASK} AS row_id FROM e WHERE pid >> 48 = 1",

@@ -100,8 +100,9 @@ def license_notices(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
 
     ``containment`` is the largest share of a template's shingles in one window, ``first_word`` the place (from 0) of the earliest matching
     shingle in such a window. Words are runs of letters and digits, lower-cased. A NULL text has none, and so do texts of fewer than five
-    words. Rows repeating a doc_id count as one document, and rows without doc_id as one with NULL. No rows give no rows. The templates
-    are a parameter of the code, some hundreds of shingles, whatever the size of the table.
+    words. Each text is searched by itself: a notice stands whole in one row's text. Rows repeating a doc_id give one row per license, from the
+    best of their texts, and so do rows without doc_id, under NULL. Very long texts have as many windows as words that may belong to a
+    template. Other columns are ignored. No rows give no rows. The templates are a parameter of the code, some hundreds of shingles, whatever the size of the table.
     """
     spark = docs.sparkSession
     known = template_table(spark, templates)
@@ -115,20 +116,24 @@ def license_notices(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
         starts,
         lambda i: F.get(w, i + SHINGLE - 1).isin(vocabulary) & F.get(w, i).isin(vocabulary) & shingle_hash(w, i).isin(hashes),
     )
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
-    found = split.select("doc_id", "w", F.explode(hits).alias("at")).select("doc_id", "at", shingle_hash(w, F.col("at")).alias("h"))
+    text = F.col("text").cast("string")
+    row = ["doc_id", "text_a", "text_b"]  # a text is told apart by 128 bits
+    split = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(1), text).alias("text_b"), words(text).alias("w")
+    )
+    found = split.select(*row, "w", F.explode(hits).alias("at")).select(*row, "at", shingle_hash(w, F.col("at")).alias("h"))
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # of SIZES, those that a template uses
     scales = F.explode(F.array(*[F.lit(s) for s in sizes]))
-    spread = found.select("doc_id", "at", "h", scales.alias("size"))
+    spread = found.select(*row, "at", "h", scales.alias("size"))
     half = F.floor(F.col("at") / (F.col("size") / 2)).cast("int")
-    spread = spread.select("doc_id", "at", "h", "size", F.explode(F.array(half, half - 1)).alias("window")).filter("window >= 0 OR at < size / 2")
-    windows = spread.groupBy("doc_id", "size", "window").agg(
+    spread = spread.select(*row, "at", "h", "size", F.explode(F.array(half, half - 1)).alias("window")).filter("window >= 0 OR at < size / 2")
+    windows = spread.groupBy(*row, "size", "window").agg(
         F.sort_array(F.collect_set(F.struct("at", "h"))).alias("own")
     )
     windows = windows.withColumn("hashes", F.array_distinct(F.transform("own", lambda x: x["h"])))
     keyed = windows.withColumn("band", F.explode(band_keys(F.col("hashes"))))
     bands = F.broadcast(known.select("size", "license", "template", "shingles", F.explode("bands").alias("band")))
-    met = keyed.join(bands, ["size", "band"]).dropDuplicates(["doc_id", "size", "window", "template"])
+    met = keyed.join(bands, ["size", "band"]).dropDuplicates([*row, "size", "window", "template"])
     share = F.size(F.array_intersect("hashes", "shingles")) / F.size("shingles")
     first = F.array_min(F.transform(F.filter("own", lambda x: F.array_contains("shingles", x["h"])), lambda x: x["at"]))
     held = met.select("doc_id", "license", share.alias("containment"), first.alias("first_word")).filter(F.col("containment") >= SHARE)

@@ -4,7 +4,7 @@ Only lengths decide where a piece goes, so the plan is made on the table of coun
 size of the corpus. Pieces above a third of the capacity fit at most twice into a sequence: they are matched greedily, the longest with
 the longest that still fits, which uses as few sequences for them as can be. Smaller pieces, longest first, fill the tightest gaps.
 Sequences filled alike are one line of the plan with a count. Each piece then finds its place from its number among the pieces of its
-length; the numbers are counted per task and offset by a small table, so no task sees more than its share.
+length; the numbers are counted per task and offset by a table of one row per length and task, so no task sees more than its share.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from pyspark.sql.window import Window
 from rowtrail.llm.shared import Scratch, column
 from rowtrail.llm.tokens import encoder, vocabulary
 
+SMALL_OFFSETS = 200_000
+"""At most so many rows of offsets, counted first, are broadcast (some 20 MB); more are joined by a shuffle of the pieces, which hold no text."""
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -109,7 +112,7 @@ def _tokenised(path: str, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None, small_offsets: int = SMALL_OFFSETS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs`` (doc_id, text; others are ignored).
 
     A document is the ids of its text by the tokenizers library, without special tokens added, then id 0; a NULL or empty text is id 0
@@ -128,6 +131,8 @@ def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> Data
     where = places(plan(by_length, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # Spark would judge the offsets by their file, which is coded and tiny
+    offsets = F.broadcast(offsets) if counts.count() <= small_offsets else offsets.hint("merge")
     numbered = pieces.join(offsets, ["length", "task"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("number")
     )

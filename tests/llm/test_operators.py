@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rowtrail.llm import chat, licenses, tokens
 from rowtrail.llm.decontaminate import Index, decontaminate, longest_stretch, overlaps
@@ -182,6 +183,9 @@ def test_packing(spark, given):
     library = tokens.encoder(tokens.vocabulary(None)).library
     rows = rows_of(given) + [(900, None), (901, ""), (902, "x y " * 5000), (903, "tie"), (903, "tie"), (None, "tie")]
     found = pack(made(spark, rows).repartition(6), capacity=512).collect()
+    shuffled = pack(made(spark, rows).repartition(6), capacity=512, small_offsets=0)
+    assert "Broadcast" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert (shuffled.count(), shuffled.agg(F.max("sequence_id")).first()[0]) == (len(found), max(r["sequence_id"] for r in found))
     pieces = defaultdict(list)
     for r in found:
         pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
@@ -327,6 +331,15 @@ def test_licenses(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_license_halves_in_two_rows(spark):
+    text = licenses.TEMPLATES["MIT"][2].split()
+    halves = [" ".join(text[:35]), "... " * 35 + " ".join(text[35:])]
+    whole = "before it " * 40 + " ".join(text)
+    rows = [(7, halves[0]), (7, halves[1]), (None, halves[0]), (None, halves[1]), (8, halves[0]), (8, whole), (8, whole), (9, "no notice here at all")]
+    found = licenses.license_notices(made(spark, rows)).collect()
+    assert [(r["doc_id"], r["license"], r["containment"], r["first_word"]) for r in found] == [(8, "MIT", 1.0, 80)]
+
+
 def test_quality_on_labelled_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("toxic", "is_toxic")

@@ -46,7 +46,7 @@ def test_same_as_edges(spark, shop, i):
     assert sorted(tuple(map(str, r)) for r in got.collect()) == by_edges(t, inputs, keys)
 
 
-@pytest.mark.parametrize("way, pairs", enumerate([CASES[1], CASES[3], CASES[2]]), ids=str)
+@pytest.mark.parametrize("way, pairs", list(enumerate([CASES[1], CASES[3], CASES[2]])), ids=str)
 def test_affected_and_the_rest_are_the_frame(spark, shop, tokens, pairs, way):
     back = shop[3]
     inputs = inputs_of(spark, *pairs)

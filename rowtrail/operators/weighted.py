@@ -38,6 +38,8 @@ SHARES = (0.15, 0.35, 0.6, 0.8, 0.92, 1.0)
 SMALL_MEETINGS = 50_000_000
 LEAST_WIDTH = 4e-6
 """Cells are no narrower: within them, squared distances cannot be told apart."""
+TEXT_PAIRS = 250_000
+"""With at most so many pairs of different texts, texts are compared once for all keys that have them, and numbers among the keys of a text."""
 CELL_COLUMNS = 3
 """So many numbers make up the cells; the others only count in the distance."""
 
@@ -79,6 +81,12 @@ def _squared(pairs: list[tuple[str, str]]) -> Column:
     return F.round(reduce(lambda a, b: a + b, [(F.col(x) - F.col(y)) * (F.col(x) - F.col(y)) for x, y in pairs]), 12)
 
 
+def _of_texts(keys: DataFrame, texts: list[str]) -> DataFrame:
+    """(id, texts…, keys): the different texts of the keys, numbered, and how many keys have them."""
+    counted = keys.groupBy(*texts).agg(F.count(F.lit(1)).alias("keys"))
+    return store(counted.withColumn("id", F.monotonically_increasing_id()), "texts")
+
+
 @dataclass
 class _Search:
     """Both sides' keys (lid or rid with scaled numbers x0…), their weighed grams, and the number of text columns."""
@@ -121,12 +129,21 @@ class _Search:
 
     def nearest_numbers(self, open_: DataFrame, meetings: int) -> DataFrame:
         """(lid, rid, d2) of the right key with the nearest numbers, as if it had no common gram."""
+        everything = F.lit(0).cast("long").alias("t")
+        found = self.nearest_within(self.left.join(open_, "lid", "left_semi").select("*", everything), self.right.select("*", everything), meetings)
+        return found.select("lid", "rid", (F.col("d2") + 2.0 * self.texts).alias("d2"))
+
+    def nearest_within(self, wanted: DataFrame, right: DataFrame, meetings: int) -> DataFrame:
+        """(lid, t, rid, d2) of the right key with the nearest numbers of those with the same ``t``; ``wanted`` has lid, t and the numbers."""
         xs = [f"x{i}" for i in range(self.numbers)]
         cells = xs[:CELL_COLUMNS]
-        right = store(self.right.groupBy(*xs).agg(F.min("rid").alias("rid")), "numbers")
-        todo = store(self.left.join(open_, "lid", "left_semi").select("lid", *xs), "numbers")
-        low_high = right.agg(*[F.min(x) for x in cells], *[F.max(x) for x in cells], F.count(F.lit(1)).alias("n")).first()
+        right = store(right.groupBy("t", *xs).agg(F.min("rid").alias("rid")), "numbers")
+        todo = store(wanted.select("lid", "t", *xs).join(right.select("t").distinct(), "t", "left_semi"), "numbers")
+        largest = right.groupBy("t").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar().alias("n")
+        low_high = right.agg(*[F.min(x) for x in cells], *[F.max(x) for x in cells], largest).first()
         k = len(cells)
+        if low_high["n"] is None:
+            return todo.select("lid", "t", F.lit(0).cast("long").alias("rid"), F.lit(0.0).alias("d2")).limit(0)
         span = max(max(low_high[k + i] - low_high[i] for i in range(k)), 1e-9)
         width = max(span / max(low_high["n"], 1) ** (1 / k), LEAST_WIDTH)
 
@@ -134,8 +151,8 @@ class _Search:
             return (F.floor(F.col(x) / width) + shift).alias(f"c{x}")
 
         def met(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-            near = [F.struct(*[cell(x, d) for x, d in zip(cells, shift, strict=True)]) for shift in product((-1, 0, 1), repeat=k)]
-            return rows.withColumn("cell", F.explode(F.array(*near))), right.withColumn("cell", F.struct(*[cell(x, 0) for x in cells]))
+            near = [F.struct("t", *[cell(x, d) for x, d in zip(cells, shift, strict=True)]) for shift in product((-1, 0, 1), repeat=k)]
+            return rows.withColumn("cell", F.explode(F.array(*near))), right.withColumn("cell", F.struct("t", *[cell(x, 0) for x in cells]))
 
         def pairs_of(rows: DataFrame) -> int:
             sides = [df.groupBy("cell").agg(F.count(F.lit(1)).alias(n)) for df, n in zip(met(rows), "ab", strict=True)]
@@ -151,14 +168,34 @@ class _Search:
             ls, rs = met(todo)
             rs = rs.select("cell", F.col("rid"), *[F.col(x).alias(f"r{x}") for x in xs])
             d2 = _squared([(x, f"r{x}") for x in xs])
-            near = ls.join(rs, "cell").select("lid", F.struct(d2.alias("d2"), "rid").alias("m"))
-            near = near.groupBy("lid").agg(F.min("m").alias("m")).select("lid", "m.rid", "m.d2").filter(F.col("d2") + 2e-12 <= width * width)
+            near = ls.join(rs, "cell").select("lid", "t", F.struct(d2.alias("d2"), "rid").alias("m"))
+            near = near.groupBy("lid", "t").agg(F.min("m").alias("m")).select("lid", "t", "m.rid", "m.d2").filter(F.col("d2") + 2e-12 <= width * width)
             found.append(store(near, "matches"))
-            todo = store(todo.join(found[-1], "lid", "left_anti"), "numbers")
+            todo = store(todo.join(found[-1], ["lid", "t"], "left_anti"), "numbers")
             width *= 4
         if not found:
-            return open_.select("lid", F.lit(0).cast("long").alias("rid"), F.lit(0.0).alias("d2")).limit(0)
-        return reduce(DataFrame.unionByName, found).withColumn("d2", F.col("d2") + 2.0 * self.texts)
+            return todo.select("lid", "t", F.lit(0).cast("long").alias("rid"), F.lit(0.0).alias("d2")).limit(0)
+        return reduce(DataFrame.unionByName, found)
+
+    def nearest_by_texts(self, open_: DataFrame, pairs: DataFrame, meetings: int) -> DataFrame:
+        """(lid, rid, d2) for keys that have few different texts (``t`` of both sides): ``pairs`` (lt, t, dt) has all squared distances of texts.
+
+        The nearest numbers are looked for among the keys with the nearest text first; what they reach leaves few other texts.
+        """
+        wanted = store(self.left.join(open_, "lid", "left_semi").withColumnRenamed("t", "lt"), "wanted")
+        nearest = pairs.groupBy("lt").agg(F.min(F.struct("dt", "t")).alias("m")).select("lt", "m.t", "m.dt")
+
+        def reached(candidates: DataFrame) -> DataFrame:
+            near = self.nearest_within(candidates, self.right, meetings)
+            near = near.join(candidates.select("lid", "t", "dt"), ["lid", "t"])
+            return store(near.select("lid", "rid", "t", (F.col("dt") + F.col("d2")).alias("d2")), "matches")
+
+        first = reached(wanted.join(F.broadcast(nearest), "lt"))
+        bounds = first.select("lid", F.col("t").alias("first_t"), F.col("d2").alias("bound"))
+        others = wanted.join(bounds, "lid").join(F.broadcast(pairs), "lt")
+        others = store(others.filter((F.col("t") != F.col("first_t")) & (F.col("dt") <= F.col("bound") + 1e-9)), "wanted")
+        both = first.unionByName(reached(others)).select("lid", F.struct("d2", "rid").alias("m"))
+        return both.groupBy("lid").agg(F.min("m").alias("m")).select("lid", "m.rid", "m.d2")
 
 
 def nearest_keys(
@@ -176,13 +213,27 @@ def nearest_keys(
             mean, spread_ = stats[f"{i}m"] or 0.0, stats[f"{i}s"] or 1.0
             scaled[f"x{i}"] = F.coalesce((F.col(c).cast("double") - mean) / spread_, F.lit(0.0))
     grams = [None, None]
+    by_texts = texts and numbers and n
+    if by_texts:
+        of_texts = [_of_texts(side, texts) for side in (left, right)]
+        by_texts = of_texts[0].count() * of_texts[1].count() <= TEXT_PAIRS
     if texts and n:
-        listed = store(_listed(right, texts), "grams")
-        df = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+        # a gram counts once for every right key, also where many keys have the same texts
+        weighing = of_texts if by_texts else [left, right.withColumn("keys", F.lit(1))]
+        listed = store(_listed(weighing[1], texts), "grams")
+        df = listed.join(weighing[1].select("id", "keys"), "id").groupBy("gram").agg(F.sum("keys").alias("df"))
         idf = store(df.select("gram", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
         default = math.log(1 + n) + 1
-        grams = [_weighed(_listed(left, texts), idf, default, "l"), _weighed(listed, idf, default, "r")]
-    sides = [side.select(F.col("id").alias(name), *[x.alias(c) for c, x in scaled.items()]) for side, name in ((left, "lid"), (right, "rid"))]
+        grams = [_weighed(_listed(weighing[0], texts), idf, default, "l"), _weighed(listed, idf, default, "r")]
+    placed = [left, right]
+    if by_texts:
+        same_texts = [reduce(lambda a, b: a & b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in texts])] * 2
+        placed = [
+            side.alias("a").join(F.broadcast(t.alias("b")), same).select("a.*", F.col("b.id").alias("t"))
+            for side, t, same in zip(placed, of_texts, same_texts, strict=True)
+        ]
+    kept = ["t"] if by_texts else []
+    sides = [side.select(F.col("id").alias(name), *kept, *[x.alias(c) for c, x in scaled.items()]) for side, name in zip(placed, ("lid", "rid"), strict=True)]
     search = _Search(*sides, *grams, len(texts), len(scaled))
 
     same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names])
@@ -196,7 +247,14 @@ def nearest_keys(
         found.append(store(met.filter(F.col("d2") <= radius), "matches"))
         open_ = store(open_.join(found[-1], "lid", "left_anti"), "open")
 
-    if texts and n:
+    if by_texts:
+        products = grams[0].join(grams[1], "gram").groupBy("lid", "rid").agg(F.sum(F.col("lw") * F.col("rw")).alias("dot"))
+        all_pairs = of_texts[0].select(F.col("id").alias("lid")).crossJoin(of_texts[1].select(F.col("id").alias("rid"))).join(products, ["lid", "rid"], "left")
+        dt = F.round(F.greatest(F.lit(apart) - 2 * F.coalesce("dot", F.lit(0.0)), F.lit(0.0)), 9)
+        pairs = store(all_pairs.select(F.col("lid").alias("lt"), F.col("rid").alias("t"), dt.alias("dt")), "text_pairs")
+        found.append(search.nearest_by_texts(open_, pairs, small_meetings).filter(F.col("d2") <= farthest))
+        rest = found[0].limit(0)
+    elif texts and n:
         if search.meetings(open_) <= small_meetings:
             pending = store(search.all_common(open_), "pending")
             settle(pending, min(apart, farthest))
@@ -212,7 +270,7 @@ def nearest_keys(
         rest = pending.join(open_, "lid", "left_semi")
     else:
         rest = found[0].limit(0)
-    if n and farthest >= apart and not open_.isEmpty():
+    if n and not by_texts and farthest >= apart and not open_.isEmpty():
         if numbers:
             rest = rest.unionByName(search.nearest_numbers(open_, small_meetings))
         else:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from rowtrail.operators import weighted
 from rowtrail.operators.weighted import nearest_keys
 
 WAYS = (10**9, 0)
@@ -102,3 +103,20 @@ def test_empty_sides(spark):
     rows = [{"a": "one", "x": 1.0}]
     check(spark, rows, [], ["a"], ["x"])
     check(spark, [], rows, ["a"], ["x"])
+
+
+@pytest.mark.parametrize("pairs", [10**6, 0])
+def test_few_texts_with_many_numbers(spark, monkeypatch, pairs):
+    """Texts are compared once for all keys that have them; without that, the joins on grams find the same."""
+    monkeypatch.setattr(weighted, "TEXT_PAIRS", pairs)
+    if pairs:
+        for name in ("reaching", "all_common"):  # keys by keys with a common gram: grows with the product of both sides
+            monkeypatch.setattr(weighted._Search, name, None)
+    r = random.Random(5)
+    towns = ["north town", "south town", "nord town", "hill", None]
+    left = [{"a": r.choice([*towns, "qqq", "hills"]), "x": r.choice([None, r.randint(-50, 50) / 4])} for _ in range(80)]
+    right = [{"a": r.choice(towns), "x": r.choice([None, r.randint(-40, 40) / 4])} for _ in range(60)]
+    found = nearest_keys(*[spark.createDataFrame([(k["a"], k["x"]) for k in side], "a string, x double") for side in (left, right)], ["a"], ["x"], None, 50)
+    got = {(row["l_a"], row["l_x"]): (row["r_a"], row["r_x"], round(row["distance"], 4)) for row in found.collect()}
+    expected = {k: (*v[0], round(v[1], 4)) for k, v in brute(left, right, ["a"], ["x"]).items()}
+    assert got == expected

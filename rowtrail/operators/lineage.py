@@ -8,6 +8,8 @@ Everything else is an aggregate over edges.
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +23,8 @@ from rowtrail.sources.storage import store
 
 
 # A walk through more aggregates than this writes its intermediate (output, group) pairs, else the plan of
-# level k would hold the plans of all levels above it.
-STORED_DEPTH = 16
+# level k would hold the plans and the broadcast tables of all levels above it, and the driver those of all levels.
+STORED_DEPTH = 2
 
 
 # -- edges -------------------------------------------------------------------------------------------
@@ -41,7 +43,18 @@ def edges(t: Tracked, keys: list[str] | None = None, bag: bool = False) -> DataF
     )
 
 
-def _packed_edges(t: Tracked, keys: list[str] | None, bag: bool) -> tuple[DataFrame, list[str]]:
+@dataclass(frozen=True)
+class _Start:
+    """Where a walk begins: rows with their names ``outs`` and hidden columns; ``unique`` if each id comes once per name."""
+
+    rows: DataFrame
+    outs: list[str]
+    scalars: list[str]
+    links: dict[str, GroupNode]
+    unique: bool
+
+
+def _start(t: Tracked, keys: list[str] | None) -> _Start:
     outs = list(keys) if keys is not None else ["_out"]
     node = t.fresh
     if node and (keys is None or tuple(keys) == node.keys):
@@ -50,21 +63,27 @@ def _packed_edges(t: Tracked, keys: list[str] | None, bag: bool) -> tuple[DataFr
         named = [F.col("_h")[k].alias(k) for k in keys or []] if keys is not None else [
             F.struct(F.col("_h").alias(handle)).alias("_out")
         ]
-        rows = node.inputs.select(*named, *node.scalars, *node.links)
-        found = _walk(rows, outs, list(node.scalars), node.links, bag)
-        unique = node.exact
-    else:
-        named = list(keys) if keys is not None else [t.row_identity().alias("_out")]
-        rows = t.df.select(*named, *t.hidden)
-        found = _walk(rows, outs, t.scalars, t.nodes, bag)
-        unique = t.exact and keys is None
+        return _Start(node.inputs.select(*named, *node.scalars, *node.links), outs, list(node.scalars), node.links, node.exact)
+    named = list(keys) if keys is not None else [t.row_identity().alias("_out")]
+    return _Start(t.df.select(*named, *t.hidden), outs, t.scalars, t.nodes, t.exact and keys is None)
+
+
+def _packed_edges(t: Tracked, keys: list[str] | None, bag: bool) -> tuple[DataFrame, list[str]]:
+    start = _start(t, keys)
+    outs, unique = start.outs, start.unique
+    found = reduce(DataFrame.unionByName, _walk(start.rows, outs, start.scalars, start.links, bag))
     if bag:
         return found.groupBy(*outs, "_pid").agg(F.sum("times").alias("times")), outs
     return (found if unique else found.distinct()), outs
 
 
-def _walk(rows: DataFrame, outs: list[str], scalars: list[str], links: dict[str, GroupNode], bag: bool) -> DataFrame:
-    """Follow every path from ``rows`` down to source ids; returns (outs…, _pid, times)."""
+def _walk(
+    rows: DataFrame, outs: list[str], scalars: list[str], links: dict[str, GroupNode], bag: bool, whole: dict[int, DataFrame] | None = None
+) -> list[DataFrame]:
+    """Follow every path from ``rows`` down to source ids; returns frames of (outs…, _pid, times).
+
+    The groups of the aggregates whose numbers are in ``whole`` are not opened: it takes their distinct pairs (outs…, _h).
+    """
     weight = [F.lit(1).cast("long").alias("times")] if bag else []
     carried = ["times"] if bag else []
     found: list[DataFrame] = []
@@ -87,6 +106,9 @@ def _walk(rows: DataFrame, outs: list[str], scalars: list[str], links: dict[str,
         depth += 1
         wanted = reduce(DataFrame.unionByName, wanted)
         wanted = wanted.groupBy(*outs, "_h").agg(F.sum("times").alias("times")) if bag else wanted.distinct()
+        if whole is not None and node.number in whole:
+            whole[node.number] = wanted
+            continue
         if not node.keys:
             wanted = store(wanted, "wanted")
             if wanted.limit(2).count() > 1:
@@ -100,9 +122,9 @@ def _walk(rows: DataFrame, outs: list[str], scalars: list[str], links: dict[str,
         if depth > STORED_DEPTH:
             wanted = store(wanted, "wanted")
         visit(wanted.join(node.inputs, "_h"), node.scalars, node.links, carried)
-    if not found:
+    if not found and not whole:
         raise ValueError("the frame carries no lineage")
-    return reduce(DataFrame.unionByName, found)
+    return found
 
 
 def factored(t: Tracked, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +148,7 @@ def factored(t: Tracked, keys: list[str]) -> tuple[DataFrame, DataFrame]:
         handle = F.col(column)
         direct.append(t.df.filter(handle.isNotNull()).select(*keys, name(node, handle).alias("group"), nothing.alias("_pid")))
         rows = node.inputs.select(name(node, F.col("_h")).alias("group"), *node.scalars, *node.links)
-        members.append(_walk(rows, ["group"], list(node.scalars), node.links, False).select("group", "_pid").distinct())
+        members += [found.select("group", "_pid") for found in _walk(rows, ["group"], list(node.scalars), node.links, False)]
     if not members:
         members.append(t.df.sparkSession.createDataFrame([], "group string, _pid long"))
 
@@ -282,18 +304,53 @@ def token_edges(t: Tracked, keys: list[str]) -> DataFrame:
 
 
 def summary(t: Tracked, keys: list[str]) -> DataFrame:
-    """Per output row: number of ids, smallest, largest and the xor of all. Built without arrays."""
-    packed, outs = _packed_edges(t, keys, bag=False)
-    return packed.groupBy(*outs).agg(
-        F.count(F.lit(1)).alias("prov_n"),
-        F.min("_pid").alias("prov_min"),
-        F.max("_pid").alias("prov_max"),
-        F.bit_xor("_pid").alias("prov_xor"),
+    """Per output row: number of ids, smallest, largest and the xor of all. Built without arrays.
+
+    A group that many rows refer to is summed up once: where no other path leads to its table, its ids are counted beside those of the
+    other paths, and rows are never multiplied by the members of their groups.
+    """
+    start = _start(t, keys)
+    nodes = _nodes_below(start.links)
+    tables = Counter(ids.table_number(c) for scalars in (start.scalars, *(n.scalars for n in nodes.values())) for c in scalars)
+    alone = {i: n for i, n in nodes.items() if n.exact and n.keys and all(tables[ids.table_number(c)] == 1 for c in n.scalars)}
+    whole: dict[int, DataFrame] = dict.fromkeys(alone)
+    found = _walk(start.rows, start.outs, start.scalars, start.links, False, whole)
+    parts = []
+    if found:
+        pairs = reduce(DataFrame.unionByName, found)
+        parts.append((pairs if start.unique else pairs.distinct()).groupBy(*start.outs).agg(*summed()))
+    for number, node in alone.items():
+        members = node.inputs.select("_h", F.col(node.scalars[0]).alias("_pid")).filter("_pid is not null").distinct()
+        parts.append(whole[number].join(members.groupBy("_h").agg(*summed()), "_h").drop("_h"))
+    if len(parts) == 1 and found:
+        return parts[0]
+    return reduce(DataFrame.unionByName, parts).groupBy(*start.outs).agg(
+        F.sum("prov_n").alias("prov_n"), F.min("prov_min").alias("prov_min"), F.max("prov_max").alias("prov_max"), F.bit_xor("prov_xor").alias("prov_xor")
     )
 
 
+def summed() -> list[Column]:
+    """The columns of a summary, of different ids."""
+    pid = F.col("_pid")
+    return [F.count(F.lit(1)).alias("prov_n"), F.min(pid).alias("prov_min"), F.max(pid).alias("prov_max"), F.bit_xor(pid).alias("prov_xor")]
+
+
+def _nodes_below(links: dict[str, GroupNode]) -> dict[int, GroupNode]:
+    """All aggregates that a walk through ``links`` meets, by number."""
+    found: dict[int, GroupNode] = {}
+    todo = list(links.values())
+    while todo:
+        node = todo.pop()
+        if node.number not in found:
+            found[node.number] = node
+            todo += node.links.values()
+    return found
+
+
 def with_summary(t: Tracked, keys: list[str]) -> DataFrame:
     """The data beside its lineage summary; ``keys`` must name the rows."""
+    if t.nodes and not (t.fresh and tuple(keys) == t.fresh.keys):
+        t = t.stored("summed")  # read once for the data and once for each hidden column
     named = {k: f"_k{i}" for i, k in enumerate(keys)}
     sizes = summary(t, keys).withColumnsRenamed(named)
     plain = t.fresh and t.fresh.null_free and tuple(keys) == t.fresh.keys

@@ -31,8 +31,10 @@ MAX_BINS = 255  # fixed value: bins of a feature, beside the one for missing val
 MAX_FEATURES = 4096
 BLOCK_BYTES = 1 << 20
 STORE_EVERY = 10
-DIRECT_BYTES = 64 << 20
-"""Sums of all tasks up to this size are added up by the driver; larger ones in a second stage, which also chooses the splits."""
+DIRECT_BYTES = 1 << 19
+"""A level's sums of all tasks up to this size are added up by the driver; larger ones in a second stage, which also chooses the splits.
+
+A model has hundreds of levels: all their sums together must stay small for the driver, too."""
 ONE_TASK_BYTES = 32 << 20
 """A model with at most so many bytes of blocks grows in one task: the many short jobs would take longer than the sums."""
 TRAIN, TEST, VALID = 0, 1, 2
@@ -74,10 +76,23 @@ class Tree:
 
     def leaves_of(self, bins: np.ndarray, missing: np.ndarray) -> np.ndarray:
         """The node in which each row ends; ``bins`` is (features, rows)."""
-        node = np.zeros(bins.shape[1], np.int64)
-        while (self.left[node] >= 0).any():
-            node = self.step(bins, missing, node)
-        return node
+        out = np.zeros(bins.shape[1], np.int64)
+        todo: list[tuple[int, np.ndarray | None]] = [(0, None)]  # a node and its rows, None: all
+        while todo:
+            node, rows = todo.pop()
+            if self.left[node] < 0:
+                out[slice(None) if rows is None else rows] = node
+                continue
+            f = self.feature[node]
+            b = bins[f] if rows is None else bins[f][rows]
+            to_left = b <= self.bin[node]
+            lost = b == missing[f]
+            to_left = to_left | lost if self.missing_left[node] else to_left & ~lost
+            if rows is None:
+                todo += [(self.left[node], np.flatnonzero(to_left)), (self.right[node], np.flatnonzero(~to_left))]
+            else:
+                todo += [(self.left[node], rows[to_left]), (self.right[node], rows[~to_left])]
+        return out
 
     def step(self, bins: np.ndarray, missing: np.ndarray, node: np.ndarray) -> np.ndarray:
         """One level down from each row's node, where there is one."""

@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from rowtrail import Trail
+from rowtrail.features import boosting
 from rowtrail.features.boosting import Settings, Shape, Training, best_split, boost, test_scores as scores_of
 from rowtrail.features.learn import Learner, baseline, cross_validate, cross_validate_all, score, verdicts
 
@@ -198,3 +199,22 @@ def test_verdicts_tell_good_from_useless(shop_rows):
     assert score(useless, "y").first()["score"] == pytest.approx(baseline(t, "y"))
     assert {r["score_ok"] for r in verdicts(useless, "y", margin=0.05).df.collect()} == {False}
     assert good.hidden == t.hidden
+
+
+def test_rows_end_in_the_leaf_that_steps_lead_to():
+    rng = np.random.default_rng(3)
+    bins, missing = rng.integers(0, 6, (3, 500), dtype=np.uint8), np.array([5, 5, 5])
+    tree = boosting.Tree(
+        np.array([0, 1, 2, 0, 0, 0, 0]), np.array([2, 1, 3, 0, 0, 0, 0]), np.array([True, False, True, False, False, False, False]),
+        np.array([1, 3, 5, -1, -1, -1, -1]), np.array([2, 4, 6, -1, -1, -1, -1]), np.arange(7.0),
+    )
+    node = np.zeros(500, np.int64)
+    for _ in range(2):
+        node = tree.step(bins, missing, node)
+    assert (tree.leaves_of(bins, missing) == node).all()
+    assert tree.leaves_of(bins[:, :0], missing).shape == (0,)
+
+
+def test_the_sums_of_all_levels_stay_small_for_the_driver():
+    settings = boosting.Settings()
+    assert boosting.DIRECT_BYTES * settings.iterations * settings.depth < 500 << 20

@@ -14,7 +14,7 @@ from rowtrail.features.encoding import (
 from rowtrail.features.scaling import RobustScaler, SquashingScaler, StandardScaler
 from rowtrail.functions import text, time
 from rowtrail.functions.text import min_hashes, trigram_set
-from rowtrail.operators import lineage, split
+from rowtrail.operators import fuzzy, lineage, split
 from rowtrail.operators.fuzzy import best_matches, fuzzy_join
 from rowtrail.operators.text_join import aggregate_python, join_text, join_whole_text, text_parts
 from rowtrail.sources.readers import read_csv, write_csv, write_parquet
@@ -305,6 +305,25 @@ def test_fuzzy_paths_agree_with_brute_force(spark):
             assert {r["l0"]: (r["r0"], round(r["distance"], 9)) for r in got} == brute(1.0 if limit is None else limit), (limit, small)
 
 
+def test_numbers_meet_on_several_grams_together(spark):
+    left = [f"x{i}" for i in range(10000, 30000, 67)] + ["12", "7", "no number", "1234 and a long text about the number 1234 which has many grams"]
+    right = [str(i) for i in range(10000, 30000, 3)] + ["x9", "a long text about the number 1234 which has many grams, 99"]
+    ldf, rdf = (spark.createDataFrame([(x,) for x in side], "k0 string") for side in (left, right))
+
+    def found(small):
+        return {(r["l0"], r["r0"], round(r["distance"], 9)) for r in best_matches(ldf, rdf, 1, 0.5, small_meetings=small).collect()}
+
+    assert found(0) == found(10**9)
+    keys = [df.withColumn(f"{side}id", F.xxhash64("k0")) for df, side in ((ldf, "l"), (rdf, "r"))]
+    sets = fuzzy._rare_first(*[fuzzy._grams(df, ["k0"], side) for df, side in zip(keys, "lr")])
+    met = []
+    for together in (1, 3):
+        sides = [fuzzy._with_spare(df, side, 0.5).withColumn("own", F.least("own", F.lit(together))) for df, side in zip(sets, "lr")]
+        levels = [{r["own"] for r in df.select("own").distinct().collect()} for df in sides]
+        met.append(fuzzy._signature_meetings(*fuzzy._signatures(*sides, *levels), 1)[0])
+    assert met[1] * 5 < met[0], met
+
+
 def test_short_texts(spark):
     df = spark.createDataFrame([("",), ("a",), ("ab",)], "s string")
     rows = df.select(trigram_set(F.col("s")).alias("g"), min_hashes(F.col("s"), 3).alias("h")).collect()

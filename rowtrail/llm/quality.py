@@ -202,7 +202,7 @@ def train(at: np.ndarray, w: np.ndarray, bounds: np.ndarray, target: np.ndarray,
     weights = np.zeros((WIDTH, 3))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     n = len(target)
-    owner = np.repeat(np.arange(n), np.diff(bounds))
+    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds))
     for step in range(1, rounds + 1):
         p = probabilities(weights, at, w, bounds)
         error = (p - target) / max(n, 1)
@@ -303,6 +303,7 @@ def fit(docs: DataFrame, lexicon: np.ndarray, train_rows: int = TRAIN_ROWS) -> n
             return
         at, w = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
+        parts.clear()  # held once more by ``at`` and ``w``
         weights = train(at, w, bounds, np.concatenate(targets)).astype(np.float32)
         yield pd.DataFrame({"weights": [weights.tobytes()]})
 

@@ -218,3 +218,53 @@ def test_rows_end_in_the_leaf_that_steps_lead_to():
 def test_the_sums_of_all_levels_stay_small_for_the_driver():
     settings = boosting.Settings()
     assert boosting.DIRECT_BYTES * settings.iterations * settings.depth < 500 << 20
+
+
+def test_features_of_few_bins_are_summed_together():
+    rng = np.random.default_rng(5)
+    shape = Shape(np.array([3, 256, 3, 12, 3, 3, 3, 3, 3, 3, 3]))
+    bins = np.array([rng.integers(0, s, 3000) for s in shape.sizes], np.uint8)
+    y, role, slot = rng.integers(0, 2, 3000).astype(float), rng.integers(0, 3, 3000).astype(np.uint8), rng.integers(-1, 4, 3000)
+    block = boosting.Block(0, bins, y, role, rng.normal(size=3000))
+    got = boosting.node_sums("classifier", block, slot, 4, shape)
+    g, h = boosting.gradients("classifier", y, block.raw)
+    want = np.zeros((4, shape.total, 3))
+    for i in np.flatnonzero((role == boosting.TRAIN) & (slot >= 0)):
+        want[slot[i], shape.offsets + bins[:, i]] += [g[i], h[i], 1]
+    assert np.allclose(got, want, atol=1e-12) and (got[..., 2] == want[..., 2]).all()
+    assert sorted(sum(boosting.bundles(shape), [])) == list(range(11)) and len(boosting.bundles(shape)) <= 4
+    block.codes = boosting.combined(bins, shape)
+    assert (boosting.node_sums("classifier", block, slot, 4, shape) == got).all()
+
+
+def test_best_split_is_that_of_all_features_at_once():
+    """Features of few and of many bins, some of them alike: the first of equal gains, whichever width it has."""
+    few = np.array([[-4.0, 4, 30], [4, 4, 30], [0, 0, 0]])
+    wide = np.vstack([few[:2], np.zeros((30, 3))])
+    for parts, first in (([few, wide], 0), ([wide, few], 0), ([np.vstack([[[0, 8, 60]], np.zeros((31, 3))]), wide, few], 1)):
+        s = best_split(np.vstack(parts), Shape(np.array([len(p) for p in parts])), Settings())
+        assert s.feature == first and s.gain == pytest.approx(8)
+    better = few * [2, 1, 1]
+    s = best_split(np.vstack([wide, better, few]), Shape(np.array([32, 3, 3])), Settings())
+    assert s.feature == 1
+
+
+def test_a_job_adds_one_tree_of_each_model_at_most(spark, monkeypatch):
+    added = []
+    stored_again = boosting._stored_again
+
+    def counted(since, missing):
+        added.append(max(map(len, since.values())))
+        return stored_again(since, missing)
+
+    monkeypatch.setattr(boosting, "_stored_again", counted)
+    rows, y = numbers()
+    boost([Training(framed(spark, rows, y), ["a", "b", "c"], "y")], Settings("regressor", iterations=4, depth=2), one_task_bytes=0)
+    assert set(added) == {1}
+
+
+def test_blocks_hold_more_rows_than_an_arrow_batch(spark):
+    df = spark.range(0, 25_000, 1, 1).select((F.col("id") % 7 * 1.0).alias("a"), (F.col("id") % 2).alias("y"))
+    booster, blocks = boosting._prepared(Training(df, ["a"], "y"), Settings(), 0)
+    [block] = blocks.collect()
+    assert block["rows"] == 25_000 and len(block["bins"]) == 25_000 and len(block["y"]) == 8 * 25_000

@@ -3,6 +3,7 @@
 import heapq
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -268,3 +269,17 @@ def test_blocks_hold_more_rows_than_an_arrow_batch(spark):
     booster, blocks = boosting._prepared(Training(df, ["a"], "y"), Settings(), 0)
     [block] = blocks.collect()
     assert block["rows"] == 25_000 and len(block["bins"]) == 25_000 and len(block["y"]) == 8 * 25_000
+
+
+def test_folds_are_prepared_side_by_side(shop_rows):
+    """Each fold's steps wait until those of another fold have begun; one after the other, they would wait in vain."""
+    begun = threading.Barrier(2, timeout=60)
+
+    class Meet(Keep):
+        def fit(self, t):
+            begun.wait()
+            return self
+
+    t = shop_rows(Trail(), 60)
+    found = cross_validate(t, lambda: Learner([Meet()], "y", iterations=1), 2, key="k")
+    assert [fold for fold, *_ in found] == [0, 1] and sum(n for _, _, n, _ in found) == 60

@@ -110,6 +110,7 @@ def attach(t: Tracked, df: DataFrame, keys: list[str], result: DataFrame, null_f
         links=dict(t.nodes),
         exact=t.exact,
         null_free=null_free,
+        numbered=t.exact and t.numbered,
     )
     column = f"{ids.GROUP_PREFIX}{node.number}"
     return replace(t, df=result.withColumn(column, handle), nodes={column: node}, fresh=node, exact=False)

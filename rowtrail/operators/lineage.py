@@ -320,7 +320,9 @@ def summary(t: Tracked, keys: list[str]) -> DataFrame:
         pairs = reduce(DataFrame.unionByName, found)
         parts.append((pairs if start.unique else pairs.distinct()).groupBy(*start.outs).agg(*summed()))
     for number, node in alone.items():
-        members = node.inputs.select("_h", F.col(node.scalars[0]).alias("_pid")).filter("_pid is not null").distinct()
+        members = node.inputs.select("_h", F.col(node.scalars[0]).alias("_pid")).filter("_pid is not null")
+        if not node.numbered:  # a declared key may repeat after all
+            members = members.distinct()
         parts.append(whole[number].join(members.groupBy("_h").agg(*summed()), "_h").drop("_h"))
     if len(parts) == 1 and found:
         return parts[0]
@@ -375,10 +377,11 @@ def rows_without_lineage(t: Tracked) -> DataFrame:
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of one frame missing in the other, with repeats counted; empty means the same content."""
+    """Rows of one frame missing in the other, with repeats counted; empty means the same content.
+
+    Both frames are read and counted once, together."""
     columns = sorted(a.columns)
-    a, b = a.select(*columns), b.select(*columns)
-    return (
-        a.exceptAll(b).withColumn("_side", F.lit("first"))
-        .unionByName(b.exceptAll(a).withColumn("_side", F.lit("second")))
-    )
+    both = a.select(*columns, F.lit(1).alias("_n")).unionByName(b.select(*columns, F.lit(-1).alias("_n")))
+    more = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    side = F.when(F.col("_n") > 0, "first").otherwise("second").alias("_side")
+    return more.select(*columns, side, F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))).alias("_copy")).drop("_copy")

@@ -50,6 +50,7 @@ class GroupNode:
     links: dict[str, "GroupNode"]
     exact: bool  # every input row carries exactly one id, and no two rows the same one
     null_free: bool  # no key is NULL
+    numbered: bool = False  # exact, and not by declaration: the ids were assigned row by row
 
 
 @dataclass(frozen=True)
@@ -59,6 +60,7 @@ class Tracked:
     nodes: dict[str, GroupNode] = field(default_factory=dict)
     fresh: GroupNode | None = None  # rows are exactly the groups of this node, keys untouched
     exact: bool = False  # one id column, unique per row
+    numbered: bool = False  # the first table's ids were assigned row by row; with ``exact`` they cannot repeat
 
     # -- columns -----------------------------------------------------------------------------------
 

@@ -49,7 +49,7 @@ class Shop:
         return _numbered[key]
 
     def lines(self, as_name: str = "lineitem") -> Tracked:
-        return self.trail.source(self.numbered_lines, as_name, row_key="line_row", unique=True).drop("line_row")
+        return self.trail.source(self.numbered_lines, as_name, row_key="line_row", numbered=True).drop("line_row")
 
     def documents(self) -> Tracked:
         return self.trail.source(self.table("documents"), "documents", row_key="doc_id", unique=True)
@@ -91,7 +91,7 @@ class Shop:
             cents("l_extendedprice * l_tax").alias("freight_cents"),
             F.col("line_row").alias("item_row"),
         )
-        return self.trail.source(df, as_name, row_key="item_row", unique=True)
+        return self.trail.source(df, as_name, row_key="item_row", numbered=True)
 
     def payments(self, as_name: str = "payments") -> Tracked:
         """order_id, payment_type, installments, payment_value; the value in whole cents too."""
@@ -104,7 +104,7 @@ class Shop:
             F.col("l_shipdate").alias("paid"),
             "line_row",
         )
-        return self.trail.source(df, as_name, row_key="line_row", unique=True).drop("line_row")
+        return self.trail.source(df, as_name, row_key="line_row", numbered=True).drop("line_row")
 
     def order_payments(self) -> Tracked:
         """order_id, payment_type, installments, payment_cents: the one payment of each order."""

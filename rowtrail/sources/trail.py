@@ -53,12 +53,14 @@ class Trail:
         nan_columns: list[str] | None = None,
         unique: bool = False,
         verify: bool = False,
+        numbered: bool = False,
     ) -> Tracked:
         """Register ``df`` as table ``name`` and attach one id per row.
 
         ``row_key``: a column of whole numbers in [0, 2^48) that is the row number; other values are errors when read.
         ``unique`` declares that no value of it comes twice, as of a primary key: edges then need no ``distinct``. ``verify`` checks
         range and uniqueness now, with two aggregates, and implies ``unique``. Rows of a repeated key have one id together.
+        ``numbered``: ``row_key`` was assigned by ``number_rows``, so no value can repeat; it implies ``unique``.
         ``order_by``: columns that order the table; the row number is the place in that order.
         ``nan_columns``: float columns whose NaN must become NULL (all of them by default).
         A frame that is tracked already is returned unchanged.
@@ -80,12 +82,12 @@ class Trail:
             if verify:
                 _check_key(df, row_key)
             df = df.withColumn(column, ids.pack(table_id, ids.checked_row(F.col(row_key), row_key)))
-            unique = unique or verify
+            unique = unique or verify or numbered
         else:
-            unique = True
+            unique = numbered = True
             df = number_rows(df, order_by)
             df = df.withColumn(column, ids.pack(table_id, F.col("_row"))).drop("_row")
-        return Tracked(df, self, exact=unique)
+        return Tracked(df, self, exact=unique, numbered=numbered)
 
 
 def _check_key(df: DataFrame, key: str) -> None:

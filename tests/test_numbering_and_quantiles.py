@@ -65,3 +65,29 @@ def test_exact_quantiles_both_ways(spark, small):
     assert got["x"] == pytest.approx(list(np.quantile(x, probs)))
     assert got["hot"] == pytest.approx(list(np.quantile(hot, probs)))
     assert exact_quantiles(df, ["none"], [0.5])["none"] == [None]
+
+
+def test_no_task_numbers_more_rows_than_a_part(spark, monkeypatch):
+    from rowtrail.sources import numbering
+
+    monkeypatch.setattr(numbering, "ROWS_PER_PART", 500, raising=False)
+    monkeypatch.setattr(numbering, "MIN_PART_ROWS", 500, raising=False)
+    rows = [(None, 0)] * 3 + [(i // 3, i % 3) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint").repartition(5)
+    out = number_rows(df, ["k", "v"], "r")
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 500 and sum(sizes) == len(rows)
+    assert [(r["k"], r["v"]) for r in out.orderBy("r").collect()] == rows
+    assert {r["r"] for r in out.collect()} == set(range(len(rows)))
+
+
+def test_differences_count_repeats_and_nulls_in_one_pass(spark):
+    from rowtrail.operators import lineage
+
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (None, "y"), (2, None)], "k bigint, v string")
+    b = spark.createDataFrame([(1, "x"), (None, "y"), (None, "y"), (3, "z"), (2, None)], "k bigint, v string")
+    found = lineage.differences(a, b)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(
+        [(1, "x", "first"), (1, "x", "first"), (None, "y", "second"), (3, "z", "second")], key=repr
+    )
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2

@@ -168,6 +168,26 @@ def test_python_aggregate_in_blocks(hot):
     assert lineage.edges(t, ["k"]).count() == 43
 
 
+def test_python_aggregate_keeps_keys_and_values_and_shuffles_states_only(spark):
+    def partial(values):
+        assert len(values) <= 4
+        return [float(len(values)), float(values.sum())]
+
+    rows = [(i, [i % 2, None], (i % 3,), None if i % 5 == 0 else i) for i in range(60)]
+    t = Trail().source(spark.createDataFrame(rows, "n bigint, a array<int>, s struct<x: int>, v bigint").repartition(3), "t", row_key="n")
+    merge = lambda states: sum(s[0] for s in states) * 1e6 + sum(s[1] for s in states)
+    found = aggregate_python(t, ["a", "s"], "v", "total", partial, merge, part_rows=4).untracked()
+    wanted = {}
+    for _, a, s, v in rows:
+        n, total = wanted.get((tuple(a), s), (0, 0))
+        wanted[tuple(a), s] = (n + (v is not None), total + (v or 0))
+    assert {(tuple(r["a"]), tuple(r["s"])): r["total"] for r in found.collect()} == {k: n * 1e6 + x for k, (n, x) in wanted.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    one = aggregate_python(t, [], "v", "total", partial, merge, part_rows=4).untracked().collect()
+    assert [r["total"] for r in one] == [48 * 1e6 + sum(i for i in range(60) if i % 5)]
+
+
 def test_bag_counts_every_path(source):
     trail = Trail()
     left = source(trail, "l", "k bigint", (1,), (1,), (2,))

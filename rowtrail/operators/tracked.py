@@ -161,6 +161,11 @@ class Tracked:
         as by fits, and for long chains of operators."""
         return replace(self, df=store(self.df, label))
 
+    def dealt(self, tasks: int, *columns: str) -> "Tracked":
+        """Deal the rows out by ``columns`` to so many tasks, as many as were asked for however well the rows compress: for
+        rows that are few per key, as groups are, before a join on it."""
+        return replace(self, df=self.df.repartition(tasks, *columns))
+
     # -- user operators ---------------------------------------------------------------------------------
 
     def apply(self, operator: str, *args, **kwargs) -> "Tracked":

@@ -212,10 +212,11 @@ def invariance(shop):
     orders, items = shop.table("orders"), shop.numbered_lines
     plain = (
         items.groupBy("l_orderkey").agg(F.count("l_linenumber").alias("n"), F.max("l_shipdate").alias("last"))
+        .repartition(shop.tasks, "l_orderkey")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "right")
         .filter("o_orderstatus = 'F'").select("o_orderkey", "n", "last")
     )
-    lines = aggregate(shop.lines(), "l_orderkey", n=("l_linenumber", "count"), last=("l_shipdate", "max"))
+    lines = aggregate(shop.lines(), "l_orderkey", n=("l_linenumber", "count"), last=("l_shipdate", "max")).dealt(shop.tasks, "l_orderkey")
     t = join(lines, shop.tracked("orders", "o_orderkey"), left_on="l_orderkey", right_on="o_orderkey", how="right")
     t = t.filter("o_orderstatus = 'F'").select("o_orderkey", "n", "last")
     return compared(t.untracked(), plain)

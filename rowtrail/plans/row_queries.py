@@ -34,8 +34,8 @@ def src_ids(shop):
     FROM e JOIN n ON e.order_id = n.order_id GROUP BY e.order_id""",
 )
 def src_two_names(shop):
-    first = aggregate(shop.payments("payments"), "order_id", n=("installments", "count"))
-    second = aggregate(shop.payments("order_payments"), "order_id", n_again=("installments", "count"))
+    first = aggregate(shop.payments("payments"), "order_id", n=("installments", "count")).dealt(shop.tasks, "order_id")
+    second = aggregate(shop.payments("order_payments"), "order_id", n_again=("installments", "count")).dealt(shop.tasks, "order_id")
     return lineage.with_summary(join(first, second, on="order_id"), ["order_id"])
 
 

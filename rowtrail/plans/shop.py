@@ -23,6 +23,7 @@ LINE_ORDER = [
     "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
 ESTIMATED_DAYS = 720
+LINES_PER_TASK = 500_000
 
 _numbered: dict[tuple[str, str], DataFrame] = {}
 
@@ -48,6 +49,12 @@ class Shop:
             _numbered[key] = store(number_rows(self.table("lineitem"), LINE_ORDER, "line_row"), "lineitem")
         return _numbered[key]
 
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks in which groups of lines meet, so that none holds more than about ``LINES_PER_TASK`` lines' groups at any size."""
+        known = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(known, -(-self.numbered_lines.count() // LINES_PER_TASK))
+
     def lines(self, as_name: str = "lineitem") -> Tracked:
         return self.trail.source(self.numbered_lines, as_name, row_key="line_row", numbered=True).drop("line_row")
 

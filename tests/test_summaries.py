@@ -57,3 +57,21 @@ def test_the_plan_of_a_chain_grows_with_its_steps(source, spark):
     found = lineage.summary(t, ["category", "user_id"])
     assert sorted(map(tuple, found.collect()), key=repr) == by_edges(t, ["category", "user_id"])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2 * 6
+
+
+def test_groups_of_lines_meet_in_as_many_tasks_as_asked_for(spark, monkeypatch):
+    from rowtrail.plans import lineage_queries, row_queries, shop
+
+    monkeypatch.setattr(shop, "LINES_PER_TASK", 500, raising=False)
+    at = shop.Shop(spark, "/root/testdata/sf0.001")
+    assert at.tasks >= at.numbered_lines.count() / 500
+    kept = []
+    monkeypatch.setattr(lineage_queries, "compared", lambda a, b: kept.extend((a, b)) or a)
+    monkeypatch.setattr(row_queries.lineage, "with_summary", lambda t, keys: kept.append(t.df))
+    lineage_queries.invariance(at)
+    row_queries.src_two_names(at)
+    # dealt by an explicit number, which adaptive execution leaves alone: one aggregate each in the first two, two in the third
+    plans = [df._jdf.queryExecution().optimizedPlan().toString().splitlines() for df in kept]
+    dealt = [[line for line in plan if "RepartitionByExpression" in line] for plan in plans]
+    assert [len(lines) for lines in dealt] == [1, 1, 2]
+    assert all(line.rstrip().endswith(f", {at.tasks}") for lines in dealt for line in lines)

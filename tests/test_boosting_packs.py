@@ -1,9 +1,10 @@
 """Sums over the combinations of bins that occur, blocks put together for one task, and values counted in one pass."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rowtrail.features import boosting
-from rowtrail.features.boosting import TEST, TRAIN, VALID, Block, Shape
+from rowtrail.features.boosting import TEST, TRAIN, VALID, Block, Settings, Shape, Training
 
 
 def test_flags_of_one_column_are_summed_together():
@@ -43,7 +44,19 @@ def test_thresholds_of_many_features_take_one_pass(spark):
     few, fives, wide, none = boosting.bin_thresholds(values, 4)
     assert few.tolist() == [0.5, 1.5] and len(none) == 0
     assert 250 <= len(fives) <= 255 and 250 <= len(wide) <= 255
-    at_most = spark.createDataFrame([([float(i % 229), float(i % 230)],) for i in range(1000)], "xs array<double>").repartition(7)
-    exact, quantiles = boosting.bin_thresholds(at_most, 2)
-    assert exact.tolist() == [i + 0.5 for i in range(228)]  # middles between all values
-    assert set(quantiles.tolist()) <= {float(i) for i in range(230)}
+    clear = spark.createDataFrame([([float(i % 190), float(i % 400)],) for i in range(2000)], "xs array<double>").repartition(7)
+    exact, quantiles = boosting.bin_thresholds(clear, 2)
+    assert exact.tolist() == [i + 0.5 for i in range(189)]  # middles between all values
+    assert set(quantiles.tolist()) <= {float(i) for i in range(400)}
+
+
+def test_a_packed_model_is_the_same(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(k), float(x), float(x + 3 * (k % 3) + e)) for k, x, e in zip(rng.integers(0, 12, 900), rng.normal(size=900), rng.normal(size=900))]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    df = df.select(*[(F.col("k") == k).cast("int").alias(f"k{k}") for k in range(12)], "x", "y")
+    trees = []
+    for pack_bytes in (0, 1 << 30):
+        [booster], _ = boosting.boost([Training(df, df.columns[:-1], "y")], Settings("regressor", iterations=6, depth=3), pack_bytes=pack_bytes)
+        trees.append([(t.feature.tolist(), t.bin.tolist(), np.round(t.value, 9).tolist()) for t in booster.trees])
+    assert trees[0] == trees[1] and len(trees[0]) == 6
